@@ -82,7 +82,8 @@ def fmt_seconds(value: Column, unit: str = "ms") -> Column:
 
 
 def kb_text(n_bytes: Column) -> Column:
-    kb = F.round(to_int(n_bytes) / F.lit(1024.0), 1)
+    # n / 1024 is exact, so half-even rounding sees true ties only.
+    kb = F.bround(to_int(n_bytes) / F.lit(1024.0), 1)
     return F.coalesce(_plain_decimal(kb, 1), F.lit("n/a"))
 
 
