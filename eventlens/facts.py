@@ -13,7 +13,7 @@ from eventlens.operators import jobs as jb
 from eventlens.operators import stages as st
 from eventlens.operators import tasks as tk
 from eventlens.plans import flatten, metrics
-from eventlens.session import configure
+from eventlens.session import configure, size_shuffles
 from eventlens.sources import bad_lines, event_counts, parse_events, read_events
 
 
@@ -44,6 +44,8 @@ class LogFacts:
     ):
         self.spark = configure(spark)
         self.lines = read_events(spark, source)
+        if not isinstance(source, DataFrame):
+            size_shuffles(spark, source)
         self.store = store.rstrip("/") if store else None
         self.strict = strict
         self.match = match
@@ -73,7 +75,7 @@ class LogFacts:
     @property
     def event_counts(self) -> DataFrame:
         """Lines per event name, those that are not used further included."""
-        return event_counts(parse_events(self.lines, None, self.strict).select("log_id", "event"))
+        return event_counts(self.lines)
 
     @property
     def bad_lines(self) -> DataFrame:
@@ -151,13 +153,19 @@ class LogFacts:
     def plan_metrics(self) -> DataFrame:
         return self._table("plan_metrics", lambda: flatten.plan_metrics(self.plan_tree))
 
+    @property
+    def resolved_metrics(self) -> DataFrame:
+        """Stage accumulators with their operators; read several times by the next table."""
+        return self._table(
+            "resolved_metrics",
+            lambda: metrics.resolve_stage_metrics(self.stage_accumulables, self.plan_metrics),
+        )
+
     @property
     def stage_plan_metrics(self) -> DataFrame:
         return self._table(
             "stage_plan_metrics",
-            lambda: metrics.stage_plan_metrics(
-                self.stage_accumulables, self.plan_metrics, self.match
-            ),
+            lambda: metrics.stage_plan_metrics(self.resolved_metrics, self.match),
         )
 
     TABLES = (

@@ -68,10 +68,8 @@ def post_scan_filters(resolved: DataFrame, match: str = "exact") -> DataFrame:
     )
 
 
-def stage_plan_metrics(
-    stage_accumulables: DataFrame, plan_metrics: DataFrame, match: str = "exact"
-) -> DataFrame:
-    resolved = resolve_stage_metrics(stage_accumulables, plan_metrics)
+def stage_plan_metrics(resolved: DataFrame, match: str = "exact") -> DataFrame:
+    """:func:`resolve_stage_metrics` with the post-scan filters marked."""
     marked = post_scan_filters(resolved, match).withColumn("filter_role", F.lit("post_scan"))
     return resolved.join(marked, [*S.STAGE_KEY, "acc_id"], "left").select(
         *S.STAGE_KEY,

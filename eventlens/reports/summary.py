@@ -134,9 +134,10 @@ def execution_trace(
             "shuffle_read_bytes",
             "disk_spill_bytes",
         )
-        if execution_id is not None:
-            tasks = tasks.join(trace.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
-        trace = trace.join(tasks, S.STAGE_KEY, "left")
+        # Inner join plus the rows without tasks instead of a left join: Spark
+        # can split a hot stage only on the side that an outer join preserves.
+        without = trace.filter(F.coalesce("tasks", F.lit(0)) == 0)
+        trace = tasks.join(trace, S.STAGE_KEY).unionByName(without, allowMissingColumns=True)
         sort += [by_duration(), "task_id", "task_attempt_id"]
     return trace.orderBy(*sort).drop("job_order", "submit_seq")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
@@ -18,12 +19,35 @@ RUNTIME_SETTINGS = {
 }
 
 
+BYTES_PER_PARTITION = 128 * 1024 * 1024
+MAX_PARTITIONS = 50_000
+_PARTITIONS = "spark.sql.shuffle.partitions"
+_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
+def size_shuffles(spark: SparkSession, paths: str | Sequence[str]) -> int:
+    """Raises the initial number of shuffle partitions to suit the size of the logs.
+
+    Adaptive execution merges small partitions but starts from a fixed number,
+    by default 200, which is far too few for terabytes.  Returns the number.
+    """
+    text = spark.read.option("recursiveFileLookup", True).text(
+        paths if isinstance(paths, str) else list(paths)
+    )
+    n_bytes = int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or spark.conf.get(_PARTITIONS))
+    wanted = min(n_bytes // BYTES_PER_PARTITION, MAX_PARTITIONS)
+    if wanted > current:
+        spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
+    return max(wanted, current)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str | None:
     """A new folder for written tables, below ``spark.checkpoint.dir``.
 

@@ -12,6 +12,7 @@ from eventlens.functions import int_or_zero, to_int
 from eventlens.sources.lines import skip_blank
 
 _EVENT_FIRST = '{"Event":"'
+_NAME_ONLY = "`Event` STRING"
 
 
 def _may_be(value: Column, kinds: Sequence[str]) -> Column:
@@ -24,10 +25,10 @@ def _may_be(value: Column, kinds: Sequence[str]) -> Column:
     return ~value.startswith(_EVENT_FIRST) | name.isin(*kinds)
 
 
-def _decode(lines: DataFrame) -> DataFrame:
+def _decode(lines: DataFrame, fields: str = S.LINE_SCHEMA) -> DataFrame:
     decoded = F.from_json(
         "value",
-        f"{S.LINE_SCHEMA}, `{S.CORRUPT}` STRING",
+        f"{fields}, `{S.CORRUPT}` STRING",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT},
     )
     # Decoding through a one-element explode: filters on decoded fields stay
@@ -44,7 +45,7 @@ def _decode(lines: DataFrame) -> DataFrame:
 
 def bad_lines(lines: DataFrame) -> DataFrame:
     """Lines that are not JSON objects."""
-    return _decode(lines).filter("is_bad").select("log_id", "seq", "value")
+    return _decode(lines, _NAME_ONLY).filter("is_bad").select("log_id", "seq", "value")
 
 
 def parse_events(
@@ -183,5 +184,7 @@ def route(events: DataFrame, *kinds: str) -> DataFrame:
     return events.filter(F.col("event").isin(*kinds))
 
 
-def event_counts(events: DataFrame) -> DataFrame:
-    return events.groupBy("log_id", "event").agg(F.count("*").alias("n"))
+def event_counts(lines: DataFrame) -> DataFrame:
+    """Lines per event name, from a decoding of just that key."""
+    named = _decode(lines, _NAME_ONLY).filter(~F.col("is_bad"))
+    return named.groupBy("log_id", F.col("j.Event").alias("event")).agg(F.count("*").alias("n"))
