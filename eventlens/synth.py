@@ -327,7 +327,5 @@ def _branch(k: Column, region_name: Column) -> Column:
 def copies_of(lines: DataFrame, n: int) -> DataFrame:
     """``n`` logs for each log, to see how run time grows."""
     return lines.select(
-        F.concat("log_id", F.lit("-"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).alias("log_id"),
-        "seq",
-        "value",
-    )
+        "log_id", "seq", "value", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("copy")
+    ).select(F.concat_ws("-", "log_id", "copy").alias("log_id"), "seq", "value")
