@@ -14,6 +14,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -32,7 +33,7 @@ REPORTS = {
     "job_summary": reports.job_summary,
     "trace": reports.execution_trace,
     "trace_with_tasks": lambda facts: reports.execution_trace(facts, task_breakdown=True),
-    "trace_one_execution": lambda facts: reports.execution_trace(facts, 0, "synth-0"),
+    "trace_one_execution": lambda facts: reports.execution_trace(facts, 0, facts.first_log),
 }
 
 
@@ -61,17 +62,23 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    # The logs themselves are input, not part of the measured work.
+    # The log files are input, not part of the measured work.
     lines = synth_lines(spark, sf_dir)
     if copies > 1:
         lines = copies_of(lines, copies)
-    path = shared_folder(spark, "bench-lines")
-    lines.write.parquet(path)
-    lines = spark.read.parquet(path)
-    n_lines, n_bytes = lines.selectExpr("count(*)", "sum(length(value))").first()
+    path = shared_folder(spark, "bench-logs")
+    (
+        lines.repartitionByRange("log_id", "seq")
+        .sortWithinPartitions("log_id", "seq")
+        .select("log_id", "value")
+        .write.partitionBy("log_id")
+        .text(path)
+    )
+    n_lines, n_bytes = spark.read.text(path).selectExpr("count(*)", "sum(length(value))").first()
 
-    facts = LogFacts(spark, lines, store=shared_folder(spark, "bench-facts"))
+    facts = LogFacts(spark, path, store=shared_folder(spark, "bench-facts"))
     times = {"decode_events": timed(lambda: facts.events)}
+    facts.first_log = facts.events.agg(F.min("log_id")).first()[0]
     for name in ("tasks", "stage_submissions", "stages", "plan_tree", "stage_plan_metrics"):
         times[name] = timed(lambda: getattr(facts, name))
     times["other_facts"] = timed(facts.build)

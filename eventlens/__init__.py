@@ -1,7 +1,7 @@
 """Spark event logs as tables and performance reports."""
 
 from eventlens.facts import LogFacts
-from eventlens.reports import trace_execution
+from eventlens.reports import show_report, trace_execution, write_executions
 from eventlens.session import configure, shared_folder
 from eventlens.sources import parse_events, read_events
 
@@ -11,5 +11,7 @@ __all__ = [
     "parse_events",
     "read_events",
     "shared_folder",
+    "show_report",
     "trace_execution",
+    "write_executions",
 ]

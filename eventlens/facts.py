@@ -13,7 +13,7 @@ from eventlens.operators import jobs as jb
 from eventlens.operators import stages as st
 from eventlens.operators import tasks as tk
 from eventlens.plans import flatten, metrics
-from eventlens.session import configure, size_shuffles
+from eventlens.session import configure, is_complete, size_shuffles
 from eventlens.sources import bad_lines, event_counts, parse_events, read_events
 
 
@@ -27,7 +27,9 @@ class LogFacts:
     machines of the cluster can reach, the events are decoded once and written
     there as Parquet, and so is each table when it is first asked for.  Later
     tables and reports read the columns they need from these files, and a lost
-    executor costs no more than its own tasks.
+    executor costs no more than its own tasks.  Tables that a store already
+    holds in full are read, not made again, so a store can be opened later
+    (``source`` may then be None) and a broken run resumed.
 
     ``match`` and ``initial_plans`` widen what counts as a Parquet scan and
     which plans are read (see ``plans``).
@@ -36,15 +38,17 @@ class LogFacts:
     def __init__(
         self,
         spark: SparkSession,
-        source: str | Sequence[str] | DataFrame,
+        source: str | Sequence[str] | DataFrame | None,
         store: str | None = None,
         strict: bool = False,
         match: str = "exact",
         initial_plans: bool = False,
     ):
         self.spark = configure(spark)
-        self.lines = read_events(spark, source)
-        if not isinstance(source, DataFrame):
+        if source is None and store is None:
+            raise ValueError("either a source or a store is needed")
+        self.lines = None if source is None else read_events(spark, source)
+        if source is not None and not isinstance(source, DataFrame):
             size_shuffles(spark, source)
         self.store = store.rstrip("/") if store else None
         self.strict = strict
@@ -54,12 +58,13 @@ class LogFacts:
 
     def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
-            table = make()
             if self.store:
                 path = f"{self.store}/{name}"
-                table.write.mode("error").parquet(path)
-                table = self.spark.read.parquet(path)
-            self._made[name] = table
+                if not is_complete(self.spark, path):
+                    make().write.mode("overwrite").parquet(path)
+                self._made[name] = self.spark.read.parquet(path)
+            else:
+                self._made[name] = make()
         return self._made[name]
 
     def _events(self, *kinds: str) -> DataFrame:

@@ -21,7 +21,7 @@ from eventlens.reports.summary import (
     stage_summary,
     trace_execution,
 )
-from eventlens.reports.text import with_text
+from eventlens.reports.text import show_report, with_text
 
 __all__ = [
     "execution_jobs",
@@ -30,6 +30,7 @@ __all__ = [
     "job_stage_list",
     "job_summary",
     "scan_selectivity",
+    "show_report",
     "skew_suspects",
     "skipped_stages",
     "slowest_files",

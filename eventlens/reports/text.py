@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from eventlens.functions import fmt_seconds, kb_text, thousands_text
 
 
+def show_report(report: dict[str, DataFrame], n: int = 20) -> None:
+    """Prints the tables of a report, readable columns included."""
+    for name, table in report.items():
+        print(name)
+        with_text(table).show(n, truncate=False)
+
+
 def with_text(report: DataFrame) -> DataFrame:
     """Adds a text column beside each raw column of a known unit.
 

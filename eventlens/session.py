@@ -61,3 +61,9 @@ def shared_folder(spark: SparkSession, name: str) -> str | None:
             return None
         base = tempfile.mkdtemp(prefix="eventlens-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to the end."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -85,3 +85,14 @@ def test_one_execution_equals_its_part_of_all(spark, lines):
         assert rows(report(facts, execution_id=2, log_id="synth-0")) == rows(every)
     every = R.execution_trace(facts, task_breakdown=True).filter("execution_id = 2")
     assert rows(R.execution_trace(facts, 2, task_breakdown=True)) == rows(every)
+
+
+def test_store_is_reused_and_resumed(spark, lines, expected):
+    store = shared_folder(spark, "t")
+    LogFacts(spark, lines, store=store).jobs  # noqa: B018  writes events and jobs
+    again = LogFacts(spark, lines, store=store)
+    assert snapshot(again) == expected
+    opened = LogFacts(spark, None, store=store)
+    assert rows(opened.jobs.drop("log_id", "start_seq")) == expected["jobs"]
+    with pytest.raises(ValueError, match="source or a store"):
+        LogFacts(spark, None)
