@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens import LogFacts, shared_folder
+from eventlens import LogFacts, configure, shared_folder
 from eventlens import functions as fn
 from eventlens import reports as R
 from eventlens import schema as S
@@ -24,27 +24,42 @@ from eventlens.synth import synth_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_lines: dict[tuple[str, str], DataFrame] = {}
 _facts: dict[tuple[str, str], LogFacts] = {}
 _files: dict[tuple[str, str], str | None] = {}
 
 
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines, written once per session where there is a shared folder."""
+    key = _key(spark, sf_dir)
+    if key not in _lines:
+        lines, path = synth_lines(configure(spark), sf_dir), shared_folder(spark, "lines")
+        if path:
+            lines.write.parquet(path)
+            lines = spark.read.parquet(path)
+        _lines[key] = lines
+    return _lines[key]
+
+
 def facts_of(spark: SparkSession, sf_dir: str) -> LogFacts:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key not in _facts:
-        _facts[key] = LogFacts(
-            spark, synth_lines(spark, sf_dir), store=shared_folder(spark, "facts")
-        )
+        _facts[key] = LogFacts(spark, lines_of(spark, sf_dir), store=shared_folder(spark, "facts"))
     return _facts[key]
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> str | DataFrame:
     """The logs as text files, one folder per log, lines in log order."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _key(spark, sf_dir)
     if key not in _files:
         path = shared_folder(spark, "logs")
         if path:
             (
-                synth_lines(spark, sf_dir)
+                lines_of(spark, sf_dir)
                 .repartitionByRange("log_id", "seq")
                 .sortWithinPartitions("log_id", "seq")
                 .select("log_id", "value")
@@ -52,7 +67,7 @@ def log_files(spark: SparkSession, sf_dir: str) -> str | DataFrame:
                 .text(path)
             )
         _files[key] = path
-    return _files[key] or synth_lines(spark, sf_dir)
+    return _files[key] or lines_of(spark, sf_dir)
 
 
 def _log_name(df: DataFrame) -> DataFrame:
