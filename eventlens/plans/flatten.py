@@ -11,9 +11,10 @@ from eventlens.session import configure
 from eventlens.sources.events import route
 
 # Levels of the tree decoded in one pass.  A recursion step handles that many
-# levels at once; plans are usually done in one or two steps, and the text of a
-# subtree is decoded again only every LEVELS levels.
-LEVELS = 12
+# levels at once; plans are usually done in two or three steps, and the text of a
+# subtree is decoded again only every LEVELS levels.  (The analyzer needs about
+# seven of its 100 iterations per level of nested lambdas.)
+LEVELS = 10
 
 _FIELDS = (
     "nodeName: STRING, simpleString: STRING, metadata: MAP<STRING, STRING>, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions import fmt_seconds, kb_text, thousands_text
+from eventlens.functions import fmt_seconds, kb_text, metric_value_text, thousands_text
 
 
 def show_report(report: dict[str, DataFrame], n: int = 20) -> None:
@@ -19,7 +19,8 @@ def with_text(report: DataFrame) -> DataFrame:
     """Adds a text column beside each raw column of a known unit.
 
     ``*_ms`` columns get ``*_text`` in seconds, ``*_bytes`` columns ``*_kb``,
-    row counts of scans and filters ``*_text`` with grouped thousands.
+    row counts of scans and filters ``*_text`` with grouped thousands, and the
+    values of plan metrics ``value_text``.
     """
     added = {}
     for name in report.columns:
@@ -29,4 +30,6 @@ def with_text(report: DataFrame) -> DataFrame:
             added[name.removesuffix("_bytes") + "_kb"] = kb_text(F.col(name))
         elif name in ("scan_rows", "filter_rows"):
             added[name + "_text"] = thousands_text(F.col(name))
+    if {"metric_name", "value"} <= set(report.columns):
+        added["value_text"] = metric_value_text(F.col("metric_name"), F.col("value"))
     return report.withColumns(added) if added else report

@@ -101,3 +101,5 @@ def test_with_text(spark):
     got = with_text(df).first().asDict()
     assert (got["duration_text"], got["input_kb"], got["scan_rows_text"]) == ("1.5 s", "2.0", "12 345")
     assert rows(with_text(df.select("file_name"))) == [("f",)]
+    metrics = spark.createDataFrame([("scan time", "2500")], "metric_name string, value string")
+    assert with_text(metrics).first().value_text == "2.5 s"
