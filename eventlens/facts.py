@@ -13,7 +13,7 @@ from eventlens.operators import jobs as jb
 from eventlens.operators import stages as st
 from eventlens.operators import tasks as tk
 from eventlens.plans import flatten, metrics
-from eventlens.session import configure, is_complete, size_shuffles
+from eventlens.session import configure, is_complete
 from eventlens.sources import bad_lines, event_counts, parse_events, read_events
 
 
@@ -48,8 +48,6 @@ class LogFacts:
         if source is None and store is None:
             raise ValueError("either a source or a store is needed")
         self.lines = None if source is None else read_events(spark, source)
-        if source is not None and not isinstance(source, DataFrame):
-            size_shuffles(spark, source)
         self.store = store.rstrip("/") if store else None
         self.strict = strict
         self.match = match

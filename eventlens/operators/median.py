@@ -18,7 +18,8 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     ``value`` is a whole number; nulls do not count.  A group may hold any share
     of all rows: rows are first counted per (group, value), which combines
     map-side and spreads over the cluster, and the windows see per group only
-    the occupied buckets and the at most 65,536 values of one bucket.
+    the occupied buckets (a year of milliseconds has 480,000) and the at most
+    65,536 values of one bucket.
     """
     keys = list(keys)
     # The counts are used twice below.  With all null checks stated here both

@@ -82,7 +82,8 @@ def stages(events: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
     def any_scope(text: str) -> Column:
         return F.exists("scope_names", lambda s: s.contains(text))
 
-    # Stage ids may be null in broken events; the null-safe join keeps them.
+    # Both sides are unique per key.  Stage ids may be null in broken events; the
+    # null-safe join keeps them.
     s, c = mapped.alias("s"), completed.alias("c0")
     same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c0.{k}")) for k in S.STAGE_KEY]
     joined = s.join(c, same[0] & same[1] & same[2], "full").select(

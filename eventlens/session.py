@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,20 +30,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, paths: str | Sequence[str]) -> int:
-    """Raises the initial number of shuffle partitions to suit the size of the logs.
+def size_shuffles(files: DataFrame, factor: float = 1.0) -> int:
+    """Raises the initial number of shuffle partitions to suit the size of the input.
 
     Adaptive execution merges small partitions but starts from a fixed number,
-    by default 200, which is far too few for terabytes.  Returns the number.
+    by default 200, which is far too few for terabytes.  ``files`` is a plain
+    read of files, whose size Spark knows without running a job; ``factor`` is
+    how much more the data weighs where it is shuffled.  Returns the number.
     """
-    text = spark.read.option("recursiveFileLookup", True).text(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    n_bytes = int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    current = int(spark.conf.get(_INITIAL_PARTITIONS, None) or spark.conf.get(_PARTITIONS))
-    wanted = min(n_bytes // BYTES_PER_PARTITION, MAX_PARTITIONS)
+    conf = files.sparkSession.conf
+    n_bytes = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    current = int(conf.get(_INITIAL_PARTITIONS, None) or conf.get(_PARTITIONS))
+    wanted = min(int(n_bytes * factor) // BYTES_PER_PARTITION, MAX_PARTITIONS)
     if wanted > current:
-        spark.conf.set(_INITIAL_PARTITIONS, str(wanted))
+        conf.set(_INITIAL_PARTITIONS, str(wanted))
     return max(wanted, current)
 
 

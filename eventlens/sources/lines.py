@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.session import size_shuffles
+
 
 def read_events(spark: SparkSession, source: str | Sequence[str] | DataFrame) -> DataFrame:
     """Lines of one or many event logs as ``(log_id, seq, value)``.
@@ -23,25 +25,28 @@ def read_events(spark: SparkSession, source: str | Sequence[str] | DataFrame) ->
     if isinstance(source, DataFrame):
         return source.select("log_id", "seq", "value")
 
+    files = text_files(spark, source)
+    size_shuffles(files)
     file_name = F.col("_metadata.file_name")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     # Rolled logs (events_<n>_<app>) and logs rewritten by Spark (part-<n>-...)
     # are one log per folder.
     roll = F.regexp_extract(file_name, r"^(?:events_|part-)(\d+)", 1)
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(source if isinstance(source, str) else list(source))
-        .select(
-            F.when(roll == "", file_name).otherwise(folder).alias("log_id"),
-            F.struct(
-                F.coalesce(roll.try_cast("bigint"), F.lit(0).cast("bigint")).alias("roll"),
-                F.col("_metadata.file_block_start").alias("split_start"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("seq"),
-            "value",
-        )
+    return files.select(
+        F.when(roll == "", file_name).otherwise(folder).alias("log_id"),
+        F.struct(
+            F.coalesce(roll.try_cast("bigint"), F.lit(0).cast("bigint")).alias("roll"),
+            F.col("_metadata.file_block_start").alias("split_start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("seq"),
+        "value",
     )
 
 
+def text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", True)
+    return reader.text(paths if isinstance(paths, str) else list(paths))
+
+
 def skip_blank(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").rlike(r"\S"))

@@ -47,3 +47,17 @@ def test_median_counts_are_shuffled_once(spark):
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
+
+
+def test_shuffles_grow_with_the_input(spark):
+    from eventlens.session import size_shuffles
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    try:
+        assert size_shuffles(orders) == 4
+        assert spark.conf.get(name, None) is None
+        assert 4 < size_shuffles(orders, factor=1e5) < 1000
+        assert size_shuffles(orders, factor=1e12) == 50_000
+    finally:
+        spark.conf.unset(name)

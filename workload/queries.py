@@ -19,6 +19,7 @@ from eventlens import functions as fn
 from eventlens import reports as R
 from eventlens import schema as S
 from eventlens.plans.metrics import order_by_path
+from eventlens.session import size_shuffles
 from eventlens.sources import parse_events, read_events, route, skip_blank
 from eventlens.synth import synth_lines
 
@@ -37,7 +38,9 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log lines, written once per session where there is a shared folder."""
     key = _key(spark, sf_dir)
     if key not in _lines:
-        lines, path = synth_lines(configure(spark), sf_dir), shared_folder(spark, "lines")
+        # A row of orders becomes some 1.2 kB of log text.
+        size_shuffles(configure(spark).read.parquet(f"{sf_dir}/orders.parquet"), factor=60)
+        lines, path = synth_lines(spark, sf_dir), shared_folder(spark, "lines")
         if path:
             lines.write.parquet(path)
             lines = spark.read.parquet(path)
