@@ -70,6 +70,10 @@ class LogFacts:
             return parse_events(self.lines, kinds, self.strict)
         return self.events.filter(F.col("event").isin(*kinds))
 
+    def of_log(self, log_id: str | None) -> LogFacts | OneLog:
+        """The same tables, limited to one log; None for all of them."""
+        return self if log_id is None else OneLog(self, log_id)
+
     @property
     def events(self) -> DataFrame:
         """Typed events of the ten kinds."""
@@ -191,3 +195,24 @@ class LogFacts:
         for name in self.TABLES:
             getattr(self, name)
         return self
+
+
+class OneLog:
+    """The tables of a :class:`LogFacts`, limited to one log.
+
+    The limit is put on every table: Spark carries it over inner joins by
+    itself, but not into all inputs of outer joins.
+    """
+
+    def __init__(self, facts: LogFacts, log_id: str):
+        self._facts, self._log_id = facts, log_id
+
+    def of_log(self, log_id: str | None) -> OneLog:
+        """This log, whichever is asked for; another one has no rows here."""
+        return self if log_id in (None, self._log_id) else OneLog(self, log_id)
+
+    def __getattr__(self, name: str):
+        value = getattr(self._facts, name)
+        if isinstance(value, DataFrame):
+            return value.filter(F.col("log_id") == self._log_id)
+        return value

@@ -10,18 +10,11 @@ from eventlens.facts import LogFacts
 from eventlens.operators.topk import by_duration
 
 
-def only(
-    df: DataFrame,
-    execution_id: int | None = None,
-    log_id: str | None = None,
-    job_id: int | None = None,
-) -> DataFrame:
-    if log_id is not None:
-        df = df.filter(F.col("log_id") == log_id)
-    if execution_id is not None:
-        df = df.filter(F.col("execution_id") == execution_id)
-    if job_id is not None:
-        df = df.filter(F.col("job_id") == job_id)
+def only(df: DataFrame, **wanted: int | None) -> DataFrame:
+    """Rows with the given column values; None stands for any."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.filter(F.col(column) == value)
     return df
 
 
@@ -34,7 +27,8 @@ def jobs_of_executions(
     facts: LogFacts, execution_id: int | None = None, log_id: str | None = None
 ) -> DataFrame:
     """Jobs that belong to a SQL execution, unordered, with their sort key ``job_order``."""
-    jobs = only(facts.jobs, execution_id, log_id).filter(F.col("execution_id").isNotNull())
+    jobs = only(facts.of_log(log_id).jobs, execution_id=execution_id)
+    jobs = jobs.filter(F.col("execution_id").isNotNull())
     return jobs.withColumn(
         "job_order",
         F.struct(
@@ -58,9 +52,8 @@ def job_stage_list(
     facts: LogFacts, job_id: int | None = None, log_id: str | None = None
 ) -> DataFrame:
     """Stage attempts of a job, by attempt and submission."""
-    return only(facts.stages, job_id=job_id, log_id=log_id).filter(
-        F.col("job_id").isNotNull()
-    ).orderBy("log_id", "job_id", "stage_attempt_id", "submit_seq")
+    stages = only(facts.of_log(log_id).stages, job_id=job_id).filter(F.col("job_id").isNotNull())
+    return stages.orderBy("log_id", "job_id", "stage_attempt_id", "submit_seq")
 
 
 def stages_of_executions(
@@ -70,7 +63,7 @@ def stages_of_executions(
     jobs = jobs_of_executions(facts, execution_id, log_id).select(
         "log_id", "job_id", "execution_id", "job_order"
     )
-    return facts.stages.join(jobs, ["log_id", "job_id"]).withColumn(
+    return facts.of_log(log_id).stages.join(jobs, ["log_id", "job_id"]).withColumn(
         "stage_order", F.struct("job_order", "submit_seq")
     )
 
@@ -86,12 +79,8 @@ def stage_tasks(
     log_id: str | None = None,
 ) -> DataFrame:
     """Ended tasks of stage attempts."""
-    tasks = only(ended_tasks(facts), log_id=log_id)
-    if stage_id is not None:
-        tasks = tasks.filter(F.col("stage_id") == stage_id)
-    if stage_attempt_id is not None:
-        tasks = tasks.filter(F.col("stage_attempt_id") == stage_attempt_id)
-    return tasks
+    tasks = ended_tasks(facts.of_log(log_id))
+    return only(tasks, stage_id=stage_id, stage_attempt_id=stage_attempt_id)
 
 
 def task_breakdown(

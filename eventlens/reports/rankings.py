@@ -24,8 +24,9 @@ def slowest_stages(
     facts: LogFacts, execution_id: int | None = None, log_id: str | None = None, top_n: int = 5
 ) -> DataFrame:
     """The slowest stage attempts of each execution."""
+    facts = facts.of_log(log_id)
     slowest = top_k(
-        stages_of_executions(facts, execution_id, log_id),
+        stages_of_executions(facts, execution_id),
         PER_EXECUTION,
         [by_duration(), F.col("stage_order").asc()],
         top_n,
@@ -42,13 +43,9 @@ def slowest_stages(
     )
 
 
-def _tasks_in_scope(
-    facts: LogFacts, stages: DataFrame, execution_id: int | None, log_id: str | None
-) -> DataFrame:
+def _tasks_in_scope(facts: LogFacts, stages: DataFrame, execution_id: int | None) -> DataFrame:
     """Ended tasks; cut down early where only one execution is asked for."""
     tasks = ended_tasks(facts)
-    if log_id is not None:
-        tasks = tasks.filter(F.col("log_id") == log_id)
     if execution_id is not None:
         tasks = tasks.join(stages.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
     return tasks
@@ -63,10 +60,11 @@ def slowest_tasks(
     of the final list; only those meet the stages, so the large table is never
     joined.
     """
-    stages = stages_of_executions(facts, execution_id, log_id).select(*PER_EXECUTION[1:], *S.STAGE_KEY)
+    facts = facts.of_log(log_id)
+    stages = stages_of_executions(facts, execution_id).select("execution_id", *S.STAGE_KEY)
     ties = ["task_id", "task_attempt_id"]
     candidates = top_k(
-        _tasks_in_scope(facts, stages, execution_id, log_id).select(
+        _tasks_in_scope(facts, stages, execution_id).select(
             *S.TASK_KEY, "duration_ms", "partition_id", "locality", "input_bytes", "disk_spill_bytes"
         ),
         S.STAGE_KEY,
@@ -101,10 +99,11 @@ def skew_suspects(
     min_tasks: int = 4,
 ) -> DataFrame:
     """Stage attempts whose slowest task took over ``ratio`` times the upper median."""
-    stages = stages_of_executions(facts, execution_id, log_id).select(
+    facts = facts.of_log(log_id)
+    stages = stages_of_executions(facts, execution_id).select(
         "execution_id", "job_id", *S.STAGE_KEY
     )
-    tasks = _tasks_in_scope(facts, stages, execution_id, log_id).select(
+    tasks = _tasks_in_scope(facts, stages, execution_id).select(
         *S.TASK_KEY, "duration_ms", "partition_id"
     )
     slowest = F.max_by(
@@ -159,8 +158,9 @@ def slowest_files(
     facts: LogFacts, execution_id: int | None = None, log_id: str | None = None, top_n: int = 5
 ) -> DataFrame:
     """Sum of stage durations per scanned file; ties in order of first appearance."""
+    facts = facts.of_log(log_id)
     per_file = (
-        stages_of_executions(facts, execution_id, log_id)
+        stages_of_executions(facts, execution_id)
         .select(*S.STAGE_KEY, "execution_id", "duration_ms", "stage_order")
         .join(stage_files(facts), S.STAGE_KEY)
         .groupBy(*PER_EXECUTION, "file_name")

@@ -40,7 +40,8 @@ def job_summary(
     facts: LogFacts, execution_id: int | None = None, log_id: str | None = None
 ) -> DataFrame:
     """One row per job: stage attempts, duration, result, skipped stages."""
-    jobs = only(facts.jobs, execution_id, log_id)
+    facts = facts.of_log(log_id)
+    jobs = only(facts.jobs, execution_id=execution_id)
     attempts = (
         facts.stages.filter(F.col("job_id").isNotNull())
         .groupBy(*JOB_KEY)
@@ -111,9 +112,10 @@ def execution_trace(
     Jobs without stages and stages without tasks keep a row.  Sorted by
     execution, job, attempt, submission and, with tasks, duration.
     """
-    order = jobs_of_executions(facts, execution_id, log_id).select(*JOB_KEY, "job_order")
+    facts = facts.of_log(log_id)
+    order = jobs_of_executions(facts, execution_id).select(*JOB_KEY, "job_order")
     jobs = (
-        job_summary(facts, execution_id, log_id)
+        job_summary(facts, execution_id)
         .withColumnRenamed("duration_ms", "job_duration_ms")
         .join(order, JOB_KEY)
     )

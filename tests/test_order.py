@@ -96,3 +96,12 @@ def test_store_is_reused_and_resumed(spark, lines, expected):
     assert rows(opened.jobs.drop("log_id", "start_seq")) == expected["jobs"]
     with pytest.raises(ValueError, match="source or a store"):
         LogFacts(spark, None)
+
+
+def test_tables_of_one_log(spark, lines):
+    facts = LogFacts(spark, copies_of(lines, 2))
+    one = facts.of_log("synth-0-1")
+    assert rows(one.jobs.select("log_id").distinct()) == [("synth-0-1",)]
+    assert one.of_log(None) is one
+    assert one.of_log("synth-0-0").jobs.count() == 0
+    assert rows(R.slowest_stages(one)) == rows(R.slowest_stages(facts).filter("log_id = 'synth-0-1'"))

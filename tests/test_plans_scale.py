@@ -61,3 +61,12 @@ def test_shuffles_grow_with_the_input(spark):
         assert size_shuffles(orders, factor=1e12) == 50_000
     finally:
         spark.conf.unset(name)
+
+
+def test_one_log_limits_every_scan(spark, capsys):
+    from workload.queries import facts_of
+
+    R.execution_trace(facts_of(spark, SF_DIR), 0, "synth-0", task_breakdown=True).explain("formatted")
+    pushed = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters")]
+    assert len(pushed) > 8
+    assert all("EqualTo(log_id,synth-0)" in line for line in pushed)
