@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF_DIR
 
-from __spark_entry__ import queries
+from workload.queries import all_queries as queries
 from eventlens import LogFacts
 from eventlens import reports as R
 from workload.queries import log_files

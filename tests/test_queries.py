@@ -7,6 +7,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SF_DIR, rows
+from workload.oracle import all_oracles
+from workload.queries import all_queries
 
 
 @pytest.fixture(scope="module")
@@ -18,13 +20,14 @@ def db():
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, db, name):
-    got = queries()[name](spark, SF_DIR)
-    cur = db.execute(oracle_sql()[name])
+    got = all_queries()[name](spark, SF_DIR)
+    cur = db.execute(all_oracles()[name])
     names = [d[0] for d in cur.description]
     assert sorted(got.columns) == sorted(names)
     order = [names.index(c) for c in sorted(names)]
