@@ -68,10 +68,39 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY h)
 """
 
+# Bytes as two hexadecimal digits each.
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x,
+    octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(substr(x, 2 * i + 1, 200)),
+    sha1(substr(x, 2 * i + 1, 200)) ORDER BY doc_id, i) > 1 AS again
+  FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM d)),
+r AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i,
+          CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new
+        FROM s WHERE again)),
+spans AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b
+  FROM (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n, n FROM d)),
+kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS x
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+totals AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
+"""
+
 
 def llm_oracles() -> dict[str, str]:
     return {
         "op2_decontamination": OP2,
         "op3_ngram_jaccard_join": OP3,
         "op4_exact_dedup": OP4,
+        "op6_suffix_array_dedup": OP6,
     }

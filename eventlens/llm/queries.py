@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.ngram_join import ngram_join
+from eventlens.llm.repeats import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +30,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
     }
