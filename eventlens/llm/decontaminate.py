@@ -54,12 +54,21 @@ def _winnowed(grams: Column, window: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row.
+
+    Catalyst would copy the expression to each place that uses it, lambdas included; it
+    does not do so across a generator, here of one element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _fingerprints(words: DataFrame, span: int, k: int, short: list[int]) -> DataFrame:
     """Adds ``marks`` to a table with folded ``words``: what finds spans of ``span`` words,
     and every run of as many words as a short item has."""
     marks = _winnowed(F.col("grams"), span - k + 1)
     return (
-        words.withColumn("grams", _grams(F.col("words"), k))
+        _once(words, "grams", _grams(F.col("words"), k))
         .withColumn("marks", F.concat(marks, *(_grams(F.col("words"), n) for n in short)))
         .drop("grams")
     )
@@ -100,7 +109,7 @@ def decontaminate(
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")
     ).filter("item_id is not null")
-    items = items.withColumn("words", _exact_words("text")).filter("size(words) > 0")
+    items = _once(items, "words", _exact_words("text")).filter("size(words) > 0")
     # Which lengths below the span occur: nine numbers at most.
     short = sorted(
         r[0]
@@ -114,7 +123,9 @@ def decontaminate(
     )
     # A passage holds its own words only, so its marks are those of any text around it.
     item_marks = stored(
-        _fingerprints(passages.select(_folded_words("passage").alias("words")), span, k, short)
+        _fingerprints(
+            _once(passages.select("passage"), "words", _folded_words("passage")), span, k, short
+        )
         .select(F.explode("marks").alias("mark"))
         .select(F.shiftright("mark", _PLACE_BITS).alias("mark"))
         .distinct(),
@@ -123,7 +134,7 @@ def decontaminate(
 
     rows = keyed(docs, id_col, text_col)
     marked = stored(
-        _fingerprints(rows.withColumn("words", _folded_words("text")), span, k, short).select(
+        _fingerprints(_once(rows, "words", _folded_words("text")), span, k, short).select(
             *KEY,
             F.when(F.col("text").isNull(), 0).otherwise(F.size("words")).cast("bigint")
             .alias("n_words"),
@@ -144,7 +155,7 @@ def decontaminate(
     )
 
     # The spans around each hit, compared as text.
-    found = attach(rows, hits, how="inner").withColumn("words", _exact_words("text"))
+    found = _once(attach(rows, hits, how="inner"), "words", _exact_words("text"))
     size = F.size("words")
     lengths = F.array(*(F.lit(n) for n in [span, *short]))
     around = F.array_distinct(
@@ -154,7 +165,7 @@ def decontaminate(
             )
         )
     )
-    found = found.withColumn("around", around).select(
+    found = _once(found, "around", around).select(
         *KEY,
         F.flatten(
             F.transform(
