@@ -61,6 +61,26 @@ def attach(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEY, how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in keys))
 
 
+#: Values that a key is hashed to before a join, and so the most rows of what is broadcast.
+BUCKETS = 1 << 20
+
+
+def key_bucket(columns: tuple[str, ...] = KEY) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...] = KEY) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``keys``, before any shuffle.
+
+    The hash buckets of ``keys``, at most :data:`BUCKETS` numbers, are broadcast.  Where
+    they are all taken nothing is left out; a join on the key itself must follow.
+    """
+    buckets = keys.select(key_bucket(columns).alias("__bucket")).distinct()
+    return rows.join(
+        F.broadcast(buckets), key_bucket(columns) == F.col("__bucket"), "left_semi"
+    )
+
+
 def only(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """The rows of ``docs``, with all their columns, whose key is in ``kept`` (a table of KEY)."""
     ids = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import KEY, attach, keyed, stored
+from eventlens.llm.common import KEY, attach, keyed, narrowed, stored
 from eventlens.llm.components import components
 from eventlens.llm.textbytes import pieces, shingle_sets
 
@@ -18,8 +19,11 @@ from eventlens.llm.textbytes import pieces, shingle_sets
 #: last in the order of shingles; how many there are changes speed, never results.
 FREQUENT = 20_000
 _PREFIX = (
-    "doc_id long, text_key long, n long, digest binary, gid long, rare int, prefix array<long>"
+    "doc_id long, text_key long, n long, digest binary, rid long, gid long, rare int, "
+    "prefix array<long>"
 )
+#: Groups that a task knows to have given a prefix for; it starts anew beyond that.
+KNOWN_GROUPS = 1 << 20
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -57,18 +61,23 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """One row per document: size and digest of its set, its prefix, the id of its group."""
+    """One row per document: size and digest of its set, the id of its group, its prefix.
+
+    Copies repeat the prefix of a group once a task, not once a row.  ``rid`` numbers
+    the rows; these are short numbers where group ids are not.
+    """
     order = np.argsort(frequent)
     known, place = frequent[order], order.astype(np.int64)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid, given = TaskContext.get().partitionId() << 32, set()
         for batch in batches:
             for a, b, data, offsets in pieces(batch, "text"):
                 n, digests, gids, rares, prefixes = [], [], [], [], []
                 for s in shingle_sets(data, offsets, words):
                     n.append(len(s))
                     if not len(s):
-                        digests.append(None), gids.append(None), rares.append(0), prefixes.append([])
+                        digests.append(None), gids.append(None), rares.append(0), prefixes.append(None)
                         continue
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     keep = len(s) - -(-percent * len(s) // 100) + 1
@@ -82,52 +91,41 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                     else:
                         prefix = s[:keep]
                         rares.append(keep)
-                    prefixes.append(prefix.view(np.int64))
                     gid = hashlib.blake2b(prefix.tobytes() + b"%d" % len(s), digest_size=8).digest()
                     gids.append(int.from_bytes(gid, "little", signed=True))
+                    prefixes.append(None if gids[-1] in given else prefix.view(np.int64))
+                    given.add(gids[-1])
+                if len(given) > KNOWN_GROUPS:
+                    given.clear()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         batch.column("text_key").slice(a, b - a),
                         pa.array(n, pa.int64()),
                         pa.array(digests, pa.binary()),
+                        pa.array(np.arange(rid, rid + b - a)),
                         pa.array(gids, pa.int64()),
                         pa.array(rares, pa.int32()),
                         pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_key", "n", "digest", "gid", "rare", "prefix"],
+                    names=["doc_id", "text_key", "n", "digest", "rid", "gid", "rare", "prefix"],
                 )
+                rid += b - a
 
     return docs.mapInArrow(make, _PREFIX)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``(digest, shingles)`` of each document; the set as its 64-bit hashes."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in pieces(batch, "text"):
-                sets = [s.tobytes() for s in shingle_sets(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets]),
-                        pa.array(sets, pa.binary()),
-                    ],
-                    names=["digest", "shingles"],
-                )
-
-    return docs.select("text").mapInArrow(make, "digest binary, shingles binary")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough."""
+def _verified(
+    pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """The pairs of classes ``(a, b)`` whose sets are similar enough, from their texts."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                y = np.frombuffer(y.as_buffer(), np.uint64)
+            xs = (s for *_, data, at in pieces(batch, "x") for s in shingle_sets(data, at, words))
+            ys = (s for *_, data, at in pieces(batch, "y") for s in shingle_sets(data, at, words))
+            for x, y in zip(xs, ys, strict=True):
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -137,10 +135,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 [batch.column("a"), batch.column("b")], names=["a", "b"]
             ).filter(pa.array(linked, pa.bool_()))
 
-    x = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    pairs = stored(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
+    sides = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    docs = stored(classes.join(sides, "digest", "left_semi").select("digest", "doc.*"), "sides")
+    texts = attach(narrowed(rows, docs), docs, how="inner").dropDuplicates(["digest"])
+    texts = stored(texts.select("digest", "text"), "texts")
+    x = texts.select(F.col("digest").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("digest").alias("b"), F.col("text").alias("y"))
     return (
-        pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         .mapInArrow(check, "a binary, b binary")
     )
 
@@ -188,88 +191,97 @@ def ngram_join(
         full.groupBy("digest", "n", "gid").agg(F.min(F.struct(*KEY)).alias("doc")), "classes"
     )
     groups = classes.groupBy("gid").agg(
-        F.min("doc").alias("doc"), F.min("digest").alias("first"), F.max("digest").alias("last")
-    )
-    # Groups with one row each, with their prefix.
-    heads = attach(
-        full.select(*KEY, "n", "rare", "prefix"), groups.select("gid", "doc.*"), how="inner"
-    ).dropDuplicates(["gid"])
-    # A little wider than the ratio of sizes, against rounding.
-    bucket = F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("int")
-    marks = heads.select(
-        "gid", "n", "rare", bucket.alias("bucket"), F.posexplode("prefix").alias("place", "shingle")
+        F.min("digest").alias("first"), F.max("digest").alias("last")
     )
-    # Size classes: a partner is in the same bucket or the next one.
-    here = marks.select("*", F.col("bucket").alias("at"), F.lit(True).alias("own"))
     # A frequent shingle may be in a third of all rows: its rows are dealt out anew.
+    marks = full.filter("prefix is not null").select(
+        "rid", "n", "rare", F.posexplode("prefix").alias("place", "shingle")
+    )
     hot = F.col("place") >= F.col("rare")
-    here = here.withColumn(
-        "salt", F.when(hot, F.pmod(F.col("gid"), F.lit(salts))).otherwise(0).cast("int")
+    marks = marks.select(
+        "shingle",
+        F.when(hot, F.pmod(F.xxhash64("rid"), F.lit(salts)) + 1).otherwise(0).cast("int").alias("salt"),
+        "rid",
+        # One number of two, for a short row.
+        F.shiftleft(F.col("n"), 31).bitwiseOR(F.col("place").cast("long")).alias("n_place"),
     )
     by_shingle = Window.partitionBy("shingle", "salt")
+    # Size classes: a partner is in the same one or the next; a little wider than the
+    # ratio of sizes, against rounding.
+    bucket = F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("int")
     shared = stored(
-        here.withColumns(
-            {"least": F.min("gid").over(by_shingle), "most": F.max("gid").over(by_shingle)}
+        marks.withColumns(
+            {"least": F.min("rid").over(by_shingle), "most": F.max("rid").over(by_shingle)}
+        )
+        .filter((F.col("least") != F.col("most")) | (F.col("salt") > 0))
+        .select(
+            "shingle",
+            "salt",
+            "rid",
+            F.shiftright("n_place", 31).alias("n"),
+            F.col("n_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"),
         )
-        .filter((F.col("least") != F.col("most")) | hot)
-        .select("shingle", "salt", "gid", "n", "bucket", "place"),
+        .withColumn("bucket", bucket),
         "shared-prefixes",
     )
 
-    # Sets of the classes that can have a partner.
-    partnered = shared.select("gid").union(groups.filter("first <> last").select("gid")).distinct()
-    wanted = classes.join(partnered, "gid", "left_semi").select("doc.*")
-    sets = stored(_sets(attach(rows, wanted, how="left_semi"), words).dropDuplicates(["digest"]), "sets")
-
-    members = classes.select("gid", "digest", "n")
-    # Round 1: the classes of a group with its first one, and one class of each group with
-    # that of the pivot of a shingle and size class.
-    pivot = Window.partitionBy("shingle", "salt", "bucket").orderBy("n", "gid")
+    # Round 1: the classes of a group with its first one, and each group with that pivot
+    # of its shingles and size class that it shares most shingles with.
+    pivot = Window.partitionBy("shingle", "salt", "bucket").orderBy("n", "rid")
     star = (
         shared.withColumns(
-            {"p_gid": F.first("gid").over(pivot), "p_n": F.first("n").over(pivot)}
+            {"p_rid": F.first("rid").over(pivot), "p_n": F.first("n").over(pivot)}
         )
-        .filter(F.col("gid") != F.col("p_gid"))
+        .filter(F.col("rid") != F.col("p_rid"))
         .filter(_fits("n", "p_n", percent))
-        .groupBy("gid", "p_gid").agg(F.count(F.lit(1)).alias("common"))
-        .groupBy("gid").agg(F.max(F.struct("common", "p_gid")).alias("best"))
-        .select("gid", "best.p_gid")
+        .groupBy("rid", "p_rid").agg(F.count(F.lit(1)).alias("common"))
+        .groupBy("rid").agg(F.max(F.struct("common", "p_rid")).alias("best"))
+        .select("rid", "best.p_rid")
     )
-    first = groups.select("gid", "first")
-    within = members.join(first, "gid").filter(F.col("digest") != F.col("first")).select(
-        F.col("first").alias("a"), F.col("digest").alias("b")
+    within = (
+        classes.select("gid", "digest")
+        .join(groups.filter("first <> last"), "gid")
+        .select(F.col("first").alias("a"), F.col("digest").alias("b"))
     )
+    of_row = full.select("rid", "digest")
     across = (
-        star.join(first, "gid")
-        .join(first.select(F.col("gid").alias("p_gid"), F.col("first").alias("a")), "p_gid")
-        .select("a", F.col("first").alias("b"))
+        star.join(of_row.withColumnRenamed("digest", "b"), "rid")
+        .join(of_row.select(F.col("rid").alias("p_rid"), F.col("digest").alias("a")), "p_rid")
+        .select("a", "b")
     )
-    links = stored(_verified(within.union(across).distinct(), sets, percent), "links-1")
+    links = stored(_verified(within.union(across), classes, rows, words, percent), "links-1")
     part = components(links)
 
     # Round 2: pairs of groups that are not yet in one component.
     of_class = stored(
-        members.join(part, members["digest"] == part["node"], "left").select(
-            "gid", "digest", "n", F.coalesce("component", "digest").alias("component")
+        classes.join(part, classes["digest"] == part["node"], "left").select(
+            "gid", "digest", F.coalesce("component", "digest").alias("component")
         ),
         "class-components",
     )
-    of_group = of_class.groupBy("gid").agg(
-        F.min("component").alias("c_min"), F.max("component").alias("c_max")
+    of_group = stored(
+        of_class.groupBy("gid").agg(
+            F.min("component").alias("c_min"), F.max("component").alias("c_max")
+        ),
+        "group-components",
+    )
+    short = full.filter("prefix is not null").select("rid", "gid").join(of_group, "gid").select(
+        "rid", "gid", "c_min", "c_max"
     )
-    open_rows = shared.join(of_group, "gid")
+    open_rows = shared.drop("salt").join(short, "rid")
     settled = open_rows.groupBy("shingle").agg(
         F.min("c_min").alias("s_min"), F.max("c_max").alias("s_max")
     )
     open_rows = stored(
         open_rows.join(settled.filter("s_min <> s_max").select("shingle"), "shingle", "left_semi")
-        .select("shingle", "gid", "n", "bucket", "place", "c_min", "c_max"),
+        .select("shingle", "gid", "n", "bucket", "place", "c_min", "c_max")
+        .distinct(),
         "open-rows",
     )
     right = open_rows.select(
         "shingle",
-        *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "place", "c_min", "c_max")),
-        F.explode(F.array(F.col("bucket"), F.col("bucket") + 1, F.col("bucket") - 1)).alias("bucket"),
+        *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "place", "bucket", "c_min", "c_max")),
+        F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
     )
     # 100 * common >= percent * union, as a bound of the common shingles.
     need = F.ceil((F.col("n") + F.col("r_n")) * percent / F.lit(100 + percent) - 1e-9)
@@ -277,8 +289,8 @@ def ngram_join(
     beyond = F.ceil(F.greatest("n", "r_n") * percent / F.lit(100) - 1e-9) - 1
     pairs = (
         open_rows.join(right, ["shingle", "bucket"])
-        .filter(F.col("gid") < F.col("r_gid"))
-        .filter(~((F.col("c_min") == F.col("r_c_max")) & (F.col("c_max") == F.col("r_c_min"))))
+        .filter("gid <> r_gid and (bucket <> r_bucket or gid < r_gid)")
+        .filter("not (c_min = r_c_max and c_max = r_c_min)")
         .filter(_fits("n", "r_n", percent))
         .filter(F.least("place", "r_place") + 1 + rest >= need)
         .groupBy("gid", "r_gid", "n", "r_n").agg(F.count(F.lit(1)).alias("common"))
@@ -297,7 +309,9 @@ def ngram_join(
         .filter("ca <> cb and a < b")
     )
     more = stored(
-        _verified(expanded.select("a", "b").union(inside.select("a", "b")), sets, percent),
+        _verified(
+            expanded.select("a", "b").union(inside.select("a", "b")), classes, rows, words, percent
+        ),
         "links-2",
     )
     joined = components(links.union(more))
