@@ -96,6 +96,17 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM d JOIN kept USING (doc_id) LEFT JOIN totals USING (doc_id)
 """
 
+OP8 = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n
+  FROM pages),
+r AS (SELECT html, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m <> page_id THEN m END AS refers_to
+FROM p LEFT JOIN r ON p.html = r.html
+"""
+
 
 def llm_oracles() -> dict[str, str]:
     return {
@@ -103,4 +114,5 @@ def llm_oracles() -> dict[str, str]:
         "op3_ngram_jaccard_join": OP3,
         "op4_exact_dedup": OP4,
         "op6_suffix_array_dedup": OP6,
+        "op8_warc_salvage": OP8,
     }

@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from eventlens.llm.common import scratch
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
+from eventlens.llm.mixing import mix_sources
 from eventlens.llm.ngram_join import ngram_join
 from eventlens.llm.repeats import remove_repeats
+from eventlens.llm.warc import read_warc, warc_records, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +39,35 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    write_warc(warc_records(table(spark, sf_dir, "pages")), path)
+    records = read_warc(spark, path, payloads=False).filter("kind = 'record'")
+    header = records["headers"].getItem
+    digest = F.when(
+        F.col("warc_type") == "revisit", F.substring_index(header("WARC-Payload-Digest"), ":", -1)
+    ).otherwise(F.col("payload_sha1"))
+    return records.select(
+        header("X-Page-ID").try_cast("long").alias("page_id"),
+        F.when(F.col("warc_type") == "revisit", header("X-Payload-Length").try_cast("long"))
+        .otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        F.regexp_extract(header("WARC-Refers-To"), "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+        .alias("refers_to"),
+    )
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op8_warc_salvage": op8_warc_salvage,
+        "op10_source_mixing": op10_source_mixing,
     }
