@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from eventlens.llm.common import scratch
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
+from eventlens.llm.language_id import fit_language_id, identify_languages
 from eventlens.llm.mixing import mix_sources
 from eventlens.llm.ngram_join import ngram_join
 from eventlens.llm.repeats import remove_repeats
+from eventlens.llm.toxicity import fit_characters, fit_toxicity, score_toxicity
 from eventlens.llm.warc import read_warc, warc_records, write_warc
 
 
@@ -20,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    net = fit_language_id(docs.filter(~held_out))
+    found = identify_languages(docs, net)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate(docs, items).drop("text_key")
@@ -58,16 +72,32 @@ def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    labelled = docs.select("doc_id", "text").join(
+        labels.filter(~held_out).select("doc_id", "toxic"), "doc_id"
+    )
+    model = fit_toxicity(labelled, fit_characters(docs))
+    scored = score_toxicity(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_decontamination": op2_decontamination,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op8_warc_salvage": op8_warc_salvage,
+        "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
     }
