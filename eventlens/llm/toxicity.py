@@ -15,8 +15,9 @@ from eventlens.llm.common import KEY, keyed, stored
 
 #: Labelled texts that are learned from, at most (those with the smallest hashes).
 TRAIN_ROWS = 20_000
-#: Texts a feature must be in, and pseudo-texts at the overall rate added to each.
-MIN_TEXTS, PRIOR = 3, 4.0
+#: How surprising a feature's share of toxic texts must be (nats), and pseudo-texts at the
+#: overall rate added to each.
+SURPRISE, PRIOR = 10.0, 4.0
 #: Words whose restoration a task remembers; it starts anew beyond that.
 KNOWN_WORDS = 300_000
 
@@ -29,7 +30,7 @@ STANDS_FOR = {
     "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou",
 }
 #: Costs in nats: a substitute, a wildcard, a dropped separator, digit or repetition.
-_SUBSTITUTE, _WILDCARD, _SEPARATOR, _DIGIT, _REPEAT = 1.5, 3.0, 1.5, 6.0, 0.5
+_SUBSTITUTE, _WILDCARD, _SEPARATOR, _DIGIT, _REPEAT = 1.5, 3.0, 1.5, 10.0, 0.5
 _SIZE = len(LETTERS) + 1
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _CODE = np.zeros(1 << 16, np.int32)
@@ -98,7 +99,10 @@ def _arcs(token: str) -> list[list[tuple[int, str, float]]]:
         elif c in STANDS_FOR:
             cost = _WILDCARD if len(STANDS_FOR[c]) > 2 else _SUBSTITUTE
             arcs = [(_INDEX[x], x, cost) for x in STANDS_FOR[c]]
-            arcs.append((-1, "", _DIGIT if c.isdigit() and c != before else _SEPARATOR))
+            if c.isdigit():
+                arcs.append((-1, "", _WILDCARD if c == before else _DIGIT))
+            else:
+                arcs.append((-1, "", _SEPARATOR))
         elif c.isalnum():
             arcs = [(0, c, 0.0)]
         else:
@@ -174,12 +178,12 @@ def restored_text(text: str, model: np.ndarray) -> str:
 
 
 def features_of(word: str) -> list[str]:
-    """A word, and its beginnings of four and five letters."""
+    """A word, and its beginnings of five and four letters."""
     out = [word]
-    if len(word) > 4:
-        out.append(word[:4] + "-")
     if len(word) > 5:
         out.append(word[:5] + "-")
+    if len(word) > 4:
+        out.append(word[:4] + "-")
     return out
 
 
@@ -187,7 +191,7 @@ def features_of(word: str) -> list[str]:
 class ToxicityModel:
     characters: np.ndarray
     rate: float
-    #: Chance that a feature makes a text toxic.
+    #: Chance that a feature makes a text toxic, over the overall rate.
     lexicon: dict[str, float] = field(default_factory=dict)
 
 
@@ -200,8 +204,9 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Learns a lexicon of restored words and beginnings from ``rows`` labelled texts.
 
-    Equal texts count once.  Features are counted by Spark; those that stand in several
-    toxic texts, and above the overall rate, make the lexicon.
+    Equal texts count once.  Features are counted by Spark; those that stand in far more
+    toxic texts than the overall rate would have it make the lexicon.  Without texts of
+    both labels it stays empty.
     """
     texts = labelled.select(
         F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("toxic")
@@ -215,6 +220,8 @@ def fit_toxicity(
     )
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     rate = (toxic or 0) / n if n else 0.0
+    if not 0 < rate < 1:
+        return ToxicityModel(characters, rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}
@@ -230,16 +237,31 @@ def fit_toxicity(
                 names=["feature", "toxic"],
             )
 
+    share = F.col("a") / F.col("n")
+    clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - rate))).otherwise(0.0)
+    surprise = F.col("n") * (share * F.log(share / rate) + clean)
     chance = (F.col("a") + PRIOR * rate) / (F.col("n") + PRIOR)
-    learned = (
+    counted = stored(
         sample.mapInArrow(count, "feature string, toxic int")
         .groupBy("feature").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("a") >= MIN_TEXTS)
-        .select("feature", ((chance - rate) / max(1 - rate, 1e-9)).alias("e"))
-        .filter("e > 0.25")
-        .collect()
+        .select("feature", "n", "a"),
+        "features",
+    )
+    telling = (F.col("a") > rate * F.col("n")) & (surprise >= SURPRISE)
+    lexicon = {
+        r[0]: r[1]
+        for r in counted.filter(telling)
+        .select("feature", ((chance - rate) / (1 - rate)).alias("e")).filter("e > 0.25").collect()
+    }
+    # Words and longer beginnings that say nothing, where a shorter beginning would.
+    short = sorted({f[:4] for f in lexicon if f.endswith("-")})
+    neutral = (
+        counted.filter(F.substring("feature", 1, 4).isin(short) & ~telling & (F.col("n") > 1))
+        .select("feature").collect()
+        if short
+        else []
     )
-    return ToxicityModel(characters, rate, {r[0]: r[1] for r in learned})
+    return ToxicityModel(characters, rate, {r[0]: 0.0 for r in neutral} | lexicon)
 
 
 def score_toxicity(
@@ -247,8 +269,7 @@ def score_toxicity(
 ) -> DataFrame:
     """``(doc_id, text_key, score, found)`` of each row, from its whole text.
 
-    Each restored word counts with its strongest feature in the lexicon, each feature
-    once; independent chances are combined.  ``found`` has the restored words that
+    Each restored word counts with its longest feature in the lexicon, each feature once; independent chances are combined.  ``found`` has the restored words that
     counted.  Null and empty texts have the score of no evidence.  Repeated rows get the
     same result; other columns are not read.
     """
@@ -266,7 +287,8 @@ def score_toxicity(
                 for word in words:
                     if word[:4] not in beginnings:
                         continue
-                    e, feature = max((lexicon.get(f, 0.0), f) for f in features_of(word))
+                    feature = next((f for f in features_of(word) if f in lexicon), None)
+                    e = lexicon.get(feature, 0.0)
                     if e:
                         best[feature] = e
                         found.append(word)
