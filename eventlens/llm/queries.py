@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from eventlens.llm.language_id import fit_language_id, identify_languages
 from eventlens.llm.mixing import mix_sources
 from eventlens.llm.ngram_join import ngram_join
 from eventlens.llm.repeats import remove_repeats
+from eventlens.llm.token_counts import count_tokens, unigram_pieces
 from eventlens.llm.toxicity import fit_characters, fit_toxicity, score_toxicity
 from eventlens.llm.warc import read_warc, warc_records, write_warc
 
@@ -53,6 +55,11 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = unigram_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(table(spark, sf_dir, "documents"), pieces).drop("text_key")
+
+
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_warc(warc_records(table(spark, sf_dir, "pages")), path)
@@ -97,6 +104,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op7_token_counts": op7_token_counts,
         "op8_warc_salvage": op8_warc_salvage,
         "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
