@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import scratch
+from eventlens.llm.common import scratch, stored
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.language_id import fit_language_id, identify_languages
 from eventlens.llm.mixing import mix_sources
 from eventlens.llm.ngram_join import ngram_join
 from eventlens.llm.repeats import remove_repeats
+from eventlens.llm.secrets import fit_secret_filter, rule_labels, scan_secrets, secret_features
 from eventlens.llm.token_counts import count_tokens, unigram_pieces
 from eventlens.llm.toxicity import fit_characters, fit_toxicity, score_toxicity
 from eventlens.llm.warc import read_warc, warc_records, write_warc
@@ -50,6 +51,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings are labelled by rules; the forest learns from documents that are not held out."""
+    features = rule_labels(secret_features(table(spark, sf_dir, "documents")))
+    features = stored(features, "findings")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    learned = fit_secret_filter(features.filter(~held_out))
+    return scan_secrets(features, learned).select(
+        "doc_id", held_out.alias("held_out"), "place", F.sha2("value", 256).alias("value_sha256"),
+        F.col("length").cast("long").alias("n_chars"), "dictionary_coverage", "label", "score",
+        "is_secret",
+    )
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -103,6 +117,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontamination": op2_decontamination,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_secret_scan": op5_secret_scan,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_warc_salvage": op8_warc_salvage,
