@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from eventlens.llm.textbytes import pieces, shingle_sets
 #: last in the order of shingles; how many there are changes speed, never results.
 FREQUENT = 20_000
 _PREFIX = (
-    "doc_id long, text_key long, n long, digest binary, rid long, gid long, rare int, "
+    "doc_id long, text_key long, n long, digest binary, gid long, rare int, "
     "prefix array<long>"
 )
 #: Groups that a task knows to have given a prefix for; it starts anew beyond that.
@@ -63,14 +62,15 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """One row per document: size and digest of its set, the id of its group, its prefix.
 
-    Copies repeat the prefix of a group once a task, not once a row.  ``rid`` numbers
-    the rows; these are short numbers where group ids are not.
+    Copies repeat the prefix of a group once a task, not once a row.  A group id is a
+    hash of 40 bits, which keeps shuffled rows short; two groups with one id are
+    compared as if they were one, so a clash costs a little time and loses no link.
     """
     order = np.argsort(frequent)
     known, place = frequent[order], order.astype(np.int64)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, given = TaskContext.get().partitionId() << 32, set()
+        given: set[int] = set()
         for batch in batches:
             for a, b, data, offsets in pieces(batch, "text"):
                 n, digests, gids, rares, prefixes = [], [], [], [], []
@@ -91,8 +91,8 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                     else:
                         prefix = s[:keep]
                         rares.append(keep)
-                    gid = hashlib.blake2b(prefix.tobytes() + b"%d" % len(s), digest_size=8).digest()
-                    gids.append(int.from_bytes(gid, "little", signed=True))
+                    gid = hashlib.blake2b(prefix.tobytes() + b"%d" % len(s), digest_size=5).digest()
+                    gids.append(int.from_bytes(gid, "little"))
                     prefixes.append(None if gids[-1] in given else prefix.view(np.int64))
                     given.add(gids[-1])
                 if len(given) > KNOWN_GROUPS:
@@ -103,31 +103,35 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                         batch.column("text_key").slice(a, b - a),
                         pa.array(n, pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.array(np.arange(rid, rid + b - a)),
                         pa.array(gids, pa.int64()),
                         pa.array(rares, pa.int32()),
                         pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "text_key", "n", "digest", "rid", "gid", "rare", "prefix"],
+                    names=["doc_id", "text_key", "n", "digest", "gid", "rare", "prefix"],
                 )
-                rid += b - a
 
     return docs.mapInArrow(make, _PREFIX)
 
 
 def _verified(
-    pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int
+    pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int, salts: int
 ) -> DataFrame:
-    """The pairs of classes ``(a, b)`` whose sets are similar enough, from their texts."""
+    """The pairs of classes ``(a, b)`` whose sets are similar enough, from their texts.
+
+    The text of ``a`` goes to each of its salts once, and the texts of its partners there.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = None
         for batch in batches:
-            linked = []
-            xs = (s for *_, data, at in pieces(batch, "x") for s in shingle_sets(data, at, words))
-            ys = (s for *_, data, at in pieces(batch, "y") for s in shingle_sets(data, at, words))
-            for x, y in zip(xs, ys, strict=True):
-                if len(x) > len(y):
-                    x, y = y, x
+            linked, partner = [], batch.column("b").is_valid()
+            sets = (s for *_, data, at in pieces(batch, "text") for s in shingle_sets(data, at, words))
+            for y, is_partner in zip(sets, partner.to_pylist(), strict=True):
+                if not is_partner:
+                    hub = y
+                    linked.append(False)
+                    continue
+                x, y = (hub, y) if len(hub) < len(y) else (y, hub)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
@@ -135,15 +139,18 @@ def _verified(
                 [batch.column("a"), batch.column("b")], names=["a", "b"]
             ).filter(pa.array(linked, pa.bool_()))
 
-    pairs = stored(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    docs = stored(classes.join(sides, "digest", "left_semi").select("digest", "doc.*"), "sides")
-    texts = attach(narrowed(rows, docs), docs, how="inner").dropDuplicates(["digest"])
-    texts = stored(texts.select("digest", "text"), "texts")
-    x = texts.select(F.col("digest").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("digest").alias("b"), F.col("text").alias("y"))
+    pairs = pairs.filter("a <> b").select("a", "b").distinct()
+    pairs = stored(
+        pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")), "pairs"
+    )
+    hubs = pairs.select(F.col("a").alias("digest"), "a", "salt", F.lit(None).cast("binary").alias("b"))
+    sides = hubs.distinct().union(pairs.select(F.col("b").alias("digest"), "a", "salt", "b"))
+    sides = stored(classes.join(sides, "digest").select("doc.*", "a", "salt", "b"), "sides")
     return (
-        pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        attach(narrowed(rows, sides), sides, how="inner").select("a", "salt", "b", "text")
+        .repartition("a", "salt")
+        .sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+        .select("a", "b", "text")
         .mapInArrow(check, "a binary, b binary")
     )
 
@@ -159,7 +166,7 @@ def ngram_join(
     text_col: str = "text",
     words: int = 5,
     percent: int = 80,
-    salts: int = 64,
+    salts: int = 16,
 ) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of ``percent`` or more.
 
@@ -195,13 +202,13 @@ def ngram_join(
     )
     # A frequent shingle may be in a third of all rows: its rows are dealt out anew.
     marks = full.filter("prefix is not null").select(
-        "rid", "n", "rare", F.posexplode("prefix").alias("place", "shingle")
+        "gid", "n", "rare", F.posexplode("prefix").alias("place", "shingle")
     )
     hot = F.col("place") >= F.col("rare")
     marks = marks.select(
         "shingle",
-        F.when(hot, F.pmod(F.xxhash64("rid"), F.lit(salts)) + 1).otherwise(0).cast("int").alias("salt"),
-        "rid",
+        F.when(hot, F.pmod(F.col("gid"), F.lit(salts)) + 1).otherwise(0).cast("int").alias("salt"),
+        "gid",
         # One number of two, for a short row.
         F.shiftleft(F.col("n"), 31).bitwiseOR(F.col("place").cast("long")).alias("n_place"),
     )
@@ -211,45 +218,57 @@ def ngram_join(
     bucket = F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("int")
     shared = stored(
         marks.withColumns(
-            {"least": F.min("rid").over(by_shingle), "most": F.max("rid").over(by_shingle)}
+            {"least": F.min("gid").over(by_shingle), "most": F.max("gid").over(by_shingle)}
         )
         .filter((F.col("least") != F.col("most")) | (F.col("salt") > 0))
         .select(
             "shingle",
             "salt",
-            "rid",
+            "gid",
             F.shiftright("n_place", 31).alias("n"),
             F.col("n_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"),
         )
+        .dropDuplicates(["shingle", "salt", "gid"])
         .withColumn("bucket", bucket),
         "shared-prefixes",
     )
 
+    # 100 * common >= percent * union, as a bound of the common shingles, of which those
+    # beyond the prefixes are the most that can be shared outside of them.
+    def need(n: str, m: str):
+        return F.ceil((F.col(n) + F.col(m)) * percent / F.lit(100 + percent) - 1e-9)
+
+    def beyond(n: str, m: str):
+        return F.ceil(F.greatest(n, m) * percent / F.lit(100) - 1e-9) - 1
+
     # Round 1: the classes of a group with its first one, and each group with that pivot
-    # of its shingles and size class that it shares most shingles with.
-    pivot = Window.partitionBy("shingle", "salt", "bucket").orderBy("n", "rid")
+    # of its shingles and size class that it shares most shingles with.  Pairs with few
+    # shared shingles wait for the second round, which counts all of them.
+    pivot = Window.partitionBy("shingle", "salt", "bucket").orderBy("n", "gid")
     star = (
         shared.withColumns(
-            {"p_rid": F.first("rid").over(pivot), "p_n": F.first("n").over(pivot)}
+            {"p_gid": F.first("gid").over(pivot), "p_n": F.first("n").over(pivot)}
         )
-        .filter(F.col("rid") != F.col("p_rid"))
+        .filter(F.col("gid") != F.col("p_gid"))
         .filter(_fits("n", "p_n", percent))
-        .groupBy("rid", "p_rid").agg(F.count(F.lit(1)).alias("common"))
-        .groupBy("rid").agg(F.max(F.struct("common", "p_rid")).alias("best"))
-        .select("rid", "best.p_rid")
+        .groupBy("gid", "p_gid", "n", "p_n").agg(F.count(F.lit(1)).alias("common"))
+        .filter(2 * F.col("common") + beyond("n", "p_n") >= need("n", "p_n"))
+        .groupBy("gid").agg(F.max(F.struct("common", "p_gid")).alias("best"))
+        .select("gid", "best.p_gid")
     )
     within = (
         classes.select("gid", "digest")
         .join(groups.filter("first <> last"), "gid")
         .select(F.col("first").alias("a"), F.col("digest").alias("b"))
     )
-    of_row = full.select("rid", "digest")
+    first = groups.select("gid", "first")
     across = (
-        star.join(of_row.withColumnRenamed("digest", "b"), "rid")
-        .join(of_row.select(F.col("rid").alias("p_rid"), F.col("digest").alias("a")), "p_rid")
+        star.join(first.withColumnRenamed("first", "b"), "gid")
+        .join(first.select(F.col("gid").alias("p_gid"), F.col("first").alias("a")), "p_gid")
         .select("a", "b")
     )
-    links = stored(_verified(within.union(across), classes, rows, words, percent), "links-1")
+    links = _verified(within.union(across), classes, rows, words, percent, salts)
+    links = stored(links, "links-1")
     part = components(links)
 
     # Round 2: pairs of groups that are not yet in one component.
@@ -259,23 +278,18 @@ def ngram_join(
         ),
         "class-components",
     )
+    hashed = F.xxhash64("component")
     of_group = stored(
-        of_class.groupBy("gid").agg(
-            F.min("component").alias("c_min"), F.max("component").alias("c_max")
-        ),
+        of_class.groupBy("gid").agg(F.min(hashed).alias("c_min"), F.max(hashed).alias("c_max")),
         "group-components",
     )
-    short = full.filter("prefix is not null").select("rid", "gid").join(of_group, "gid").select(
-        "rid", "gid", "c_min", "c_max"
-    )
-    open_rows = shared.drop("salt").join(short, "rid")
+    open_rows = shared.drop("salt").join(of_group, "gid")
     settled = open_rows.groupBy("shingle").agg(
         F.min("c_min").alias("s_min"), F.max("c_max").alias("s_max")
     )
     open_rows = stored(
         open_rows.join(settled.filter("s_min <> s_max").select("shingle"), "shingle", "left_semi")
-        .select("shingle", "gid", "n", "bucket", "place", "c_min", "c_max")
-        .distinct(),
+        .select("shingle", "gid", "n", "bucket", "place", "c_min", "c_max"),
         "open-rows",
     )
     right = open_rows.select(
@@ -283,18 +297,15 @@ def ngram_join(
         *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "place", "bucket", "c_min", "c_max")),
         F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
     )
-    # 100 * common >= percent * union, as a bound of the common shingles.
-    need = F.ceil((F.col("n") + F.col("r_n")) * percent / F.lit(100 + percent) - 1e-9)
     rest = F.least(F.col("n") - F.col("place"), F.col("r_n") - F.col("r_place")) - 1
-    beyond = F.ceil(F.greatest("n", "r_n") * percent / F.lit(100) - 1e-9) - 1
     pairs = (
         open_rows.join(right, ["shingle", "bucket"])
         .filter("gid <> r_gid and (bucket <> r_bucket or gid < r_gid)")
         .filter("not (c_min = r_c_max and c_max = r_c_min)")
         .filter(_fits("n", "r_n", percent))
-        .filter(F.least("place", "r_place") + 1 + rest >= need)
+        .filter(F.least("place", "r_place") + 1 + rest >= need("n", "r_n"))
         .groupBy("gid", "r_gid", "n", "r_n").agg(F.count(F.lit(1)).alias("common"))
-        .filter(F.col("common") + beyond >= need)
+        .filter(F.col("common") + beyond("n", "r_n") >= need("n", "r_n"))
         .select("gid", "r_gid")
     )
     left_of = of_class.select("gid", F.col("digest").alias("a"), F.col("component").alias("ca"))
@@ -310,7 +321,8 @@ def ngram_join(
     )
     more = stored(
         _verified(
-            expanded.select("a", "b").union(inside.select("a", "b")), classes, rows, words, percent
+            expanded.select("a", "b").union(inside.select("a", "b")),
+            classes, rows, words, percent, salts,
         ),
         "links-2",
     )
