@@ -96,10 +96,7 @@ def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
-    labelled = docs.select("doc_id", "text").join(
-        labels.filter(~held_out).select("doc_id", "toxic"), "doc_id"
-    )
-    model = fit_toxicity(labelled, fit_characters(docs))
+    model = fit_toxicity(docs, labels.filter(~held_out), fit_characters(docs))
     scored = score_toxicity(docs, model)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score",

@@ -196,28 +196,35 @@ class ToxicityModel:
 
 
 def fit_toxicity(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
     characters: np.ndarray,
+    id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
     rows: int = TRAIN_ROWS,
 ) -> ToxicityModel:
     """Learns a lexicon of restored words and beginnings from ``rows`` labelled texts.
 
-    Equal texts count once.  Features are counted by Spark; those that stand in far more
-    toxic texts than the overall rate would have it make the lexicon.  Without texts of
-    both labels it stays empty.
+    Equal texts count once, as toxic if one of them is.  They are chosen by their hashes;
+    texts are fetched for the chosen ones only.  Features are counted by Spark; those
+    that stand in far more toxic texts than the overall rate would have it make the
+    lexicon.  Without texts of both labels it stays empty.
     """
-    texts = labelled.select(
-        F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("toxic")
-    ).filter("toxic is not null and text is not null")
-    hashed = texts.withColumn("h", F.xxhash64("text"))
-    some = hashed.groupBy("h").agg(F.max("toxic").alias("toxic")).orderBy("h").limit(rows)
+    hashed = docs.select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
+    ).filter("text is not null").withColumn("h", F.xxhash64("text"))
+    known = labels.select(
+        F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")
+    ).filter("toxic is not null")
+    some = (
+        hashed.select("id", "h").join(known, F.col("id") == F.col("label_id"))
+        .groupBy("h").agg(F.max("toxic").alias("toxic")).orderBy("h").limit(rows)
+    )
     some = stored(some, "sample")
-    sample = stored(
-        hashed.select("h", "text").join(some, "h").dropDuplicates(["h"]).select("text", "toxic"),
-        "sample-texts",
-    )
+    # ``rows`` numbers at most.
+    chosen = hashed.select("h", "text").join(F.broadcast(some), "h")
+    sample = stored(chosen.dropDuplicates(["h"]).select("text", "toxic"), "sample-texts")
     n, toxic = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     rate = (toxic or 0) / n if n else 0.0
     if not 0 < rate < 1:
