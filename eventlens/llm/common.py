@@ -81,15 +81,19 @@ def narrowed(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...] = KEY) -
     )
 
 
-def only(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """The rows of ``docs``, with all their columns, whose key is in ``kept`` (a table of KEY)."""
-    ids = kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key"))
-    return docs.join(
-        ids,
-        docs[id_col].eqNullSafe(F.col("__kept_id"))
-        & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(F.col("__kept_key")),
-        "left_semi",
-    )
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """The rows of ``docs``, with all their columns, whose key is not in ``dropped``.
+
+    Only rows in a hash bucket of a dropped one are shuffled; see :func:`narrowed`.
+    """
+    dropped = stored(dropped.select(*KEY).distinct(), "dropped")
+    buckets = F.broadcast(dropped.select(key_bucket().alias("__bucket")).distinct())
+    text_key = F.xxhash64(docs[text_col].cast("string"))
+    near = F.pmod(F.xxhash64(docs[id_col], text_key), F.lit(BUCKETS)) == F.col("__bucket")
+    ids = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & text_key.eqNullSafe(F.col("__key"))
+    asked = docs.join(buckets, near, "left_semi").join(ids, same, "left_anti")
+    return docs.join(buckets, near, "left_anti").unionByName(asked)
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

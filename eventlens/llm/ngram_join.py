@@ -186,7 +186,8 @@ def ngram_join(
     shingle and is not in one component yet, so no component is missed.
 
     Columns: doc_id, text_key, n_shingles, class_digest, component_id (smallest doc_id of
-    the component), component_size (documents).  Documents without words, and null
+    the component), component_size (documents), kept (the one that stays of a component:
+    smallest id, then smallest text_key).  Documents without words, and null
     texts, are components of their own.  Null ids count only where a component has no
     other.  Equal rows share their class.  Other columns are not read.
     """
@@ -331,16 +332,20 @@ def ngram_join(
     named = made.join(joined, made["digest"] == joined["node"], "left").select(
         *KEY, "n", "digest", F.coalesce("component", "digest").alias("component")
     )
+    named = stored(named, "named")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     names = named.filter("component is not null").groupBy("component").agg(
-        F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("component_size")
+        F.min("doc_id").alias("component_id"),
+        F.count(F.lit(1)).alias("component_size"),
+        F.min(order).alias("first"),
     )
     names = stored(names, "component-names")
-    named = stored(named, "named")
+    alone = F.col("component").isNull()
     return named.join(names, "component", "left").select(
         *KEY,
         F.col("n").alias("n_shingles"),
         F.col("digest").alias("class_digest"),
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        .alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("component_size", F.lit(1)).alias("component_size"),
-    )
+        (alone | (order == F.col("first"))).alias("kept"),
+    )
