@@ -105,7 +105,7 @@ def _rounded(rows: DataFrame) -> DataFrame:
 
     return (
         rows.repartition("source", "salt")
-        .sortWithinPartitions("source", "salt", "size", "doc_id", "text_key")
+        .sortWithinPartitions("source", "salt", F.desc("size"), "doc_id", "text_key")
         .mapInArrow(pivot, _STATE)
     )
 
@@ -141,7 +141,8 @@ def mix_sources(
     pivotal method: pairs pass words until one of the two is integral.  Groups of
     documents (sources are split by a hash of the document) leave one open fraction each,
     which meet in groups of ``FAN_IN`` at the next level, until one is left for a source;
-    that one is drawn.  So a source misses its target by less than one document.
+    that one is rounded.  So a source misses its target by half a document at most.  Long
+    documents come first in a group, so that the one left is mostly a short one.
 
     Columns: doc_id, text_key, source, size, source_size, target, copies, taken (words).
     Null and empty texts have size 0, and nothing is taken.  Null is a source of its own,
@@ -185,8 +186,8 @@ def mix_sources(
             break
         groups = ceil(groups / FAN_IN)
         state = state.withColumn("salt", F.floor(F.col("salt") / FAN_IN))
-    # One fraction a source is left.
-    last = state.withColumn("p", (_draw(seed) < F.col("p")).cast("double"))
+    # One fraction a source is left, which is rounded to the nearer side.
+    last = state.withColumn("p", (F.col("p") >= 0.5).cast("double"))
     out = last
     for part in done:
         out = out.unionByName(part)
