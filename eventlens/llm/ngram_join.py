@@ -16,7 +16,11 @@ from eventlens.llm.textbytes import pieces, shingle_sets
 
 #: Shingles that are kept in mind as frequent ones, in all and by each task.  They come
 #: last in the order of shingles; how many there are changes speed, never results.
-FREQUENT = 20_000
+FREQUENT = 200_000
+#: Shingles that a task looks at together to find those that recur.
+BLOCK = 1 << 22
+#: Rounds in which a group is compared with its next ones in a random order, and how many.
+ROUNDS, NEXT = 3, 2
 _PREFIX = (
     "doc_id long, text_key long, n long, digest binary, gid long, rare int, "
     "prefix array<long>"
@@ -28,25 +32,36 @@ KNOWN_GROUPS = 1 << 20
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles that many documents have, most frequent last.
 
-    Tasks count shingles that recur within a piece of text and forget the least
+    Tasks count shingles that recur within a block of texts and forget the least
     frequent of them when they hold too many; the counts are then added up.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        block, size = [], 0
+
+        def take() -> None:
+            nonlocal held_keys, held_counts
+            keys, counts = np.unique(np.concatenate(block), return_counts=True)
+            often = counts > 1
+            keys = np.concatenate([held_keys, keys[often]])
+            counts = np.concatenate([held_counts, counts[often]])
+            held_keys, place = np.unique(keys, return_inverse=True)
+            held_counts = np.bincount(place, counts, len(held_keys)).astype(np.int64)
+            if len(held_keys) > FREQUENT:
+                top = np.argsort(-held_counts, kind="stable")[:FREQUENT]
+                held_keys, held_counts = held_keys[top], held_counts[top]
+
         for batch in batches:
             for _, _, data, offsets in pieces(batch, "text"):
-                keys, counts = np.unique(
-                    np.concatenate(shingle_sets(data, offsets, words)), return_counts=True
-                )
-                often = counts > 1
-                keys = np.concatenate([held_keys, keys[often]])
-                counts = np.concatenate([held_counts, counts[often]])
-                held_keys, place = np.unique(keys, return_inverse=True)
-                held_counts = np.bincount(place, counts, len(held_keys)).astype(np.int64)
-                if len(held_keys) > FREQUENT:
-                    top = np.argsort(-held_counts, kind="stable")[:FREQUENT]
-                    held_keys, held_counts = held_keys[top], held_counts[top]
+                sets = shingle_sets(data, offsets, words)
+                block += sets
+                size += sum(map(len, sets))
+                if size >= BLOCK:
+                    take()
+                    block, size = [], 0
+        if block:
+            take()
         yield pa.RecordBatch.from_arrays(
             [pa.array(held_keys.view(np.int64)), pa.array(held_counts)], names=["shingle", "n"]
         )
@@ -160,6 +175,34 @@ def _fits(n: str, m: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def _next_ones(shared, of_group, turn: int, percent: int, salts: int, need, beyond) -> DataFrame:
+    """Pairs ``(gid, o_gid)`` of groups that follow each other in a shingle's size class."""
+    rows = shared.select("shingle", "salt", "gid", "n", "bucket")
+    if of_group is None:
+        rows = rows.withColumns({"c_min": F.col("gid"), "c_max": F.col("gid")})
+    else:
+        rows = rows.join(of_group, "gid")
+    drawn = F.xxhash64(F.lit(turn), "gid")
+    rows = rows.withColumns(
+        {"drawn": drawn, "salt": F.when(F.col("salt") > 0, F.pmod(drawn, F.lit(salts)) + 1).otherwise(0)}
+    )
+    order = Window.partitionBy("shingle", "salt", "bucket").orderBy("drawn", "gid")
+    row = F.struct("gid", "n", "c_min", "c_max")
+    leads = {f"o{i}": F.lead(row, i).over(order) for i in range(1, NEXT + 1)}
+    pairs = (
+        rows.withColumns(leads)
+        .select("gid", "n", "c_min", "c_max", F.explode(F.array(*leads)).alias("o"))
+        .filter("o is not null and gid <> o.gid and not (c_min = o.c_max and c_max = o.c_min)")
+    )
+    pairs = pairs.select("gid", "n", F.col("o.gid").alias("o_gid"), F.col("o.n").alias("o_n"))
+    return (
+        pairs.filter(_fits("n", "o_n", percent))
+        .groupBy("gid", "o_gid", "n", "o_n").agg(F.count(F.lit(1)).alias("common"))
+        .filter(2 * F.col("common") + beyond("n", "o_n") >= need("n", "o_n"))
+        .select("gid", "o_gid")
+    )
+
+
 def ngram_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -180,10 +223,10 @@ def ngram_join(
     by the number of shared prefix shingles, then expanded to their classes, whose sets
     are compared.
 
-    So that a large group of near copies does not make all its pairs, a first round
-    compares the groups of a shingle with its smallest one only and finds components
-    from these links.  The second round takes every pair of groups that shares a prefix
-    shingle and is not in one component yet, so no component is missed.
+    So that a large group of near copies does not make all its pairs, a few first rounds
+    compare each group of a shingle with the next ones in a random order only and find
+    components from these links.  The last round takes every pair of groups that shares a
+    prefix shingle and is not in one component yet, so no component is missed.
 
     Columns: doc_id, text_key, n_shingles, class_digest, component_id (smallest doc_id of
     the component), component_size (documents), kept (the one that stays of a component:
@@ -242,48 +285,38 @@ def ngram_join(
     def beyond(n: str, m: str):
         return F.ceil(F.greatest(n, m) * percent / F.lit(100) - 1e-9) - 1
 
-    # Round 1: the classes of a group with its first one, and each group with that pivot
-    # of its shingles and size class that it shares most shingles with.  Pairs with few
-    # shared shingles wait for the second round, which counts all of them.
-    pivot = Window.partitionBy("shingle", "salt", "bucket").orderBy("n", "gid")
-    star = (
-        shared.withColumns(
-            {"p_gid": F.first("gid").over(pivot), "p_n": F.first("n").over(pivot)}
-        )
-        .filter(F.col("gid") != F.col("p_gid"))
-        .filter(_fits("n", "p_n", percent))
-        .groupBy("gid", "p_gid", "n", "p_n").agg(F.count(F.lit(1)).alias("common"))
-        .filter(2 * F.col("common") + beyond("n", "p_n") >= need("n", "p_n"))
-        .groupBy("gid").agg(F.max(F.struct("common", "p_gid")).alias("best"))
-        .select("gid", "best.p_gid")
-    )
-    within = (
-        classes.select("gid", "digest")
-        .join(groups.filter("first <> last"), "gid")
-        .select(F.col("first").alias("a"), F.col("digest").alias("b"))
-    )
+    # First rounds: the classes of a group with its first one, and each group with the
+    # next ones of its shingles and size class, in an order that is drawn anew each
+    # time.  Pairs with few shared shingles are left to the last round, which counts all.
     first = groups.select("gid", "first")
-    across = (
-        star.join(first.withColumnRenamed("first", "b"), "gid")
-        .join(first.select(F.col("gid").alias("p_gid"), F.col("first").alias("a")), "p_gid")
-        .select("a", "b")
-    )
-    links = _verified(within.union(across), classes, rows, words, percent, salts)
-    links = stored(links, "links-1")
-    part = components(links)
-
-    # Round 2: pairs of groups that are not yet in one component.
-    of_class = stored(
-        classes.join(part, classes["digest"] == part["node"], "left").select(
-            "gid", "digest", F.coalesce("component", "digest").alias("component")
-        ),
-        "class-components",
-    )
-    hashed = F.xxhash64("component")
-    of_group = stored(
-        of_class.groupBy("gid").agg(F.min(hashed).alias("c_min"), F.max(hashed).alias("c_max")),
-        "group-components",
-    )
+    links, of_class, of_group = None, None, None
+    for turn in range(ROUNDS):
+        pairs = _next_ones(shared, of_group, turn, percent, salts, need, beyond)
+        pairs = (
+            pairs.join(first.withColumnRenamed("first", "a"), "gid")
+            .join(first.select(F.col("gid").alias("o_gid"), F.col("first").alias("b")), "o_gid")
+            .select("a", "b")
+        )
+        if turn == 0:
+            within = classes.select("gid", "digest").join(groups.filter("first <> last"), "gid")
+            pairs = pairs.union(within.select("first", "digest"))
+        new = stored(_verified(pairs, classes, rows, words, percent, salts), f"links-{turn}")
+        links = new if links is None else links.union(new)
+        part = components(links)
+        of_class = stored(
+            classes.join(part, classes["digest"] == part["node"], "left").select(
+                "gid", "digest", F.coalesce("component", "digest").alias("component")
+            ),
+            "class-components",
+        )
+        # Components of a group, as hashes.
+        hashed = F.xxhash64("component")
+        of_group = stored(
+            of_class.groupBy("gid").agg(F.min(hashed).alias("c_min"), F.max(hashed).alias("c_max")),
+            "group-components",
+        )
+
+    # Last round: all pairs of groups that are not yet in one component.
     open_rows = shared.drop("salt").join(of_group, "gid")
     settled = open_rows.groupBy("shingle").agg(
         F.min("c_min").alias("s_min"), F.max("c_max").alias("s_max")
@@ -325,7 +358,7 @@ def ngram_join(
             expanded.select("a", "b").union(inside.select("a", "b")),
             classes, rows, words, percent, salts,
         ),
-        "links-2",
+        "links-last",
     )
     joined = components(links.union(more))
 
