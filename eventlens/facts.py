@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,8 @@ from eventlens.operators import jobs as jb
 from eventlens.operators import stages as st
 from eventlens.operators import tasks as tk
 from eventlens.plans import flatten, metrics
-from eventlens.session import configure, is_complete
-from eventlens.sources import bad_lines, event_counts, parse_events, read_events
+from eventlens.session import Store, configure
+from eventlens.sources import bad_lines, event_counts, parse_events, read_events, source_files
 
 
 class LogFacts:
@@ -22,14 +23,22 @@ class LogFacts:
 
     ``source`` is what :func:`eventlens.sources.read_events` takes.
 
-    Without ``store`` every table is a lazy query over the log lines; each
-    decodes only the event kinds it needs.  With ``store``, a folder that all
-    machines of the cluster can reach, the events are decoded once and written
-    there as Parquet, and so is each table when it is first asked for.  Later
-    tables and reports read the columns they need from these files, and a lost
-    executor costs no more than its own tasks.  Tables that a store already
-    holds in full are read, not made again, so a store can be opened later
-    (``source`` may then be None) and a broken run resumed.
+    With ``store``, a folder that all machines of the cluster can reach, the events
+    are decoded once and written there as Parquet, and so is each table when it is
+    first asked for.  Later tables and reports read the columns they need from these
+    files, and a lost executor costs no more than its own tasks.  A store can be opened
+    later (``source`` may then be None) and a broken run resumed.  It notes the files it
+    was made from; opening it with other, changed or added files raises an error.  Tables
+    that depend on ``match`` or ``initial_plans`` have names of their own, and
+    ``strict`` holds for a reopened store too.
+
+    Without ``store`` the decoded events and the tables are persisted by Spark (memory
+    and disk, lineage kept) when they are first computed; :meth:`unpersist` lets go of
+    them.  Either way each line is decoded once.
+
+    ``partitions`` is the number of partitions of the task fold, by far the largest
+    shuffle; take some 128 MB of decoded text for each.  By default the session's
+    ``spark.sql.shuffle.partitions`` holds, which no part of the library changes.
 
     ``match`` and ``initial_plans`` widen what counts as a Parquet scan and
     which plans are read (see ``plans``).
@@ -43,33 +52,51 @@ class LogFacts:
         strict: bool = False,
         match: str = "exact",
         initial_plans: bool = False,
+        partitions: int | None = None,
     ):
         self.spark = configure(spark)
         if source is None and store is None:
             raise ValueError("either a source or a store is needed")
         self.lines = None if source is None else read_events(spark, source)
-        self.store = store.rstrip("/") if store else None
         self.strict = strict
         self.match = match
         self.initial_plans = initial_plans
+        self.partitions = partitions
         self._made: dict[str, DataFrame] = {}
-
-    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        self.store = Store(spark, store) if store else None
+        if self.store:
+            if isinstance(source, DataFrame):
+                source = {"rows": source.schema.simpleString()}
+            elif source is not None:
+                source = source_files(spark, source)
+            self.store.open(source)
+            if strict and not self.bad_lines.isEmpty():
+                raise ValueError("malformed event line in log " + str(self.bad_lines.first()[0]))
+
+    def _table(
+        self, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+    ) -> DataFrame:
         if name not in self._made:
             if self.store:
-                path = f"{self.store}/{name}"
-                if not is_complete(self.spark, path):
-                    make().write.mode("overwrite").parquet(path)
-                self._made[name] = self.spark.read.parquet(path)
+                self._made[name] = self.store.table(name, make, partition_by)
             else:
-                self._made[name] = make()
+                self._made[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
         return self._made[name]
 
+    def _plans(self, name: str) -> str:
+        """Name of a table that depends on which plans are read."""
+        return f"{name}-initial" if self.initial_plans else name
+
     def _events(self, *kinds: str) -> DataFrame:
-        if self.store is None:
-            return parse_events(self.lines, kinds, self.strict)
         return self.events.filter(F.col("event").isin(*kinds))
 
+    def unpersist(self) -> None:
+        """Lets go of persisted tables; they are made again when asked for."""
+        if not self.store:
+            for df in self._made.values():
+                df.unpersist()
+            self._made.clear()
+
     def of_log(self, log_id: str | None) -> LogFacts | OneLog:
         """The same tables, limited to one log; None for all of them."""
         return self if log_id is None else OneLog(self, log_id)
@@ -77,16 +104,18 @@ class LogFacts:
     @property
     def events(self) -> DataFrame:
         """Typed events of the ten kinds."""
-        return self._table("events", lambda: parse_events(self.lines, S.KINDS, self.strict))
+        return self._table(
+            "events", lambda: parse_events(self.lines, S.KINDS, self.strict), ("event",)
+        )
 
     @property
     def event_counts(self) -> DataFrame:
         """Lines per event name, those that are not used further included."""
-        return event_counts(self.lines)
+        return self._table("event_counts", lambda: event_counts(self.lines))
 
     @property
     def bad_lines(self) -> DataFrame:
-        return bad_lines(self.lines)
+        return self._table("bad_lines", lambda: bad_lines(self.lines))
 
     @property
     def executions(self) -> DataFrame:
@@ -132,21 +161,26 @@ class LogFacts:
             lambda: st.stage_accumulables(self._events(S.STAGE_COMPLETED)),
         )
 
+    @property
+    def _tasks(self) -> DataFrame:
+        return self._table(
+            "tasks",
+            lambda: tk.tasks_with_accums(self._events(S.TASK_START, S.TASK_END), self.partitions),
+        )
+
     @property
     def tasks(self) -> DataFrame:
-        return self._table("tasks", lambda: tk.tasks(self._events(S.TASK_START, S.TASK_END)))
+        return self._tasks.drop("sql_accums")
 
     @property
     def task_sql_accums(self) -> DataFrame:
-        return self._table(
-            "task_sql_accums", lambda: tk.task_sql_accums(self._events(S.TASK_END))
-        )
+        return tk.accums_of(self._tasks)
 
     @property
     def plan_tree(self) -> DataFrame:
         """Nodes of every final plan event, before later ones replace earlier ones."""
         return self._table(
-            "plan_tree",
+            self._plans("plan_tree"),
             lambda: flatten.flatten_plans(
                 self._events(S.SQL_PLAN, S.SQL_START), self.initial_plans
             ),
@@ -154,24 +188,24 @@ class LogFacts:
 
     @property
     def plan_nodes(self) -> DataFrame:
-        return self._table("plan_nodes", lambda: flatten.plan_nodes(self.plan_tree))
+        return self._table(self._plans("plan_nodes"), lambda: flatten.plan_nodes(self.plan_tree))
 
     @property
     def plan_metrics(self) -> DataFrame:
-        return self._table("plan_metrics", lambda: flatten.plan_metrics(self.plan_tree))
+        return self._table(self._plans("plan_metrics"), lambda: flatten.plan_metrics(self.plan_tree))
 
     @property
     def resolved_metrics(self) -> DataFrame:
         """Stage accumulators with their operators; read several times by the next table."""
         return self._table(
-            "resolved_metrics",
+            self._plans("resolved_metrics"),
             lambda: metrics.resolve_stage_metrics(self.stage_accumulables, self.plan_metrics),
         )
 
     @property
     def stage_plan_metrics(self) -> DataFrame:
         return self._table(
-            "stage_plan_metrics",
+            self._plans("stage_plan_metrics") + ("" if self.match == "exact" else f"-{self.match}"),
             lambda: metrics.stage_plan_metrics(self.resolved_metrics, self.match),
         )
 
@@ -191,7 +225,7 @@ class LogFacts:
     )
 
     def build(self) -> LogFacts:
-        """Makes all tables now; with a store, writes them."""
+        """Makes all tables: writes them to the store, or marks them to be persisted."""
         for name in self.TABLES:
             getattr(self, name)
         return self
@@ -211,6 +245,11 @@ class OneLog:
         """This log, whichever is asked for; another one has no rows here."""
         return self if log_id in (None, self._log_id) else OneLog(self, log_id)
 
+    def build(self) -> OneLog:
+        """Makes all tables, those of other logs included; see :meth:`LogFacts.build`."""
+        self._facts.build()
+        return self
+
     def __getattr__(self, name: str):
         value = getattr(self._facts, name)
         if isinstance(value, DataFrame):

@@ -50,6 +50,11 @@ def utc_text(ms: Column) -> Column:
     )
 
 
+def _floor_div(v: Column, by: int) -> Column:
+    """Whole part, rounded down, in integers: what is over is taken off first."""
+    return ((v - F.pmod(v, F.lit(by))) / F.lit(by)).cast("bigint")
+
+
 def duration_seconds(value: Column, unit: str = "ms") -> Column:
     """Seconds from milliseconds (one decimal) or nanoseconds (two decimals).
 
@@ -57,9 +62,9 @@ def duration_seconds(value: Column, unit: str = "ms") -> Column:
     """
     v = to_int(value)
     if unit == "ms":
-        return F.floor((v + 50) / 100) / F.lit(10.0)
+        return _floor_div(v + 50, 100) / F.lit(10.0)
     if unit == "ns":
-        return F.floor((v + 5_000_000) / 10_000_000) / F.lit(100.0)
+        return _floor_div(v + 5_000_000, 10_000_000) / F.lit(100.0)
     return F.lit(None).cast("double")
 
 

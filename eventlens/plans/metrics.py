@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens import schema as S
@@ -31,8 +31,16 @@ def is_metric(metric_name: Column, name: str) -> Column:
 
 
 def order_by_path(df: DataFrame, ascending: bool = True) -> DataFrame:
+    """Adds ``position``: the place of each metric of an execution in the order of paths.
+
+    Paths are ordered within (log, execution), equal ones by accumulator, so nothing is
+    sorted across executions.
+    """
     key = path_key(F.col("node_path"))
-    return df.orderBy(key.asc() if ascending else key.desc())
+    order = Window.partitionBy("log_id", "execution_id").orderBy(
+        key.asc() if ascending else key.desc(), "acc_id"
+    )
+    return df.withColumn("position", F.row_number().over(order))
 
 
 def resolve_stage_metrics(stage_accumulables: DataFrame, plan_metrics: DataFrame) -> DataFrame:

@@ -15,9 +15,16 @@ from eventlens.reports.lookup import ended_tasks, stages_of_executions
 PER_EXECUTION = ["log_id", "execution_id"]
 
 
-def stage_task_counts(facts: LogFacts) -> DataFrame:
-    """Ended tasks per stage attempt."""
-    return ended_tasks(facts).groupBy(*S.STAGE_KEY).agg(F.count("*").alias("tasks"))
+def in_stages(df: DataFrame, stages: DataFrame | None) -> DataFrame:
+    """Rows of the given stage attempts; None stands for all."""
+    if stages is None:
+        return df
+    return df.join(stages.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
+
+
+def stage_task_counts(facts: LogFacts, stages: DataFrame | None = None) -> DataFrame:
+    """Ended tasks per stage attempt; of ``stages`` only, cut before anything is counted."""
+    return in_stages(ended_tasks(facts), stages).groupBy(*S.STAGE_KEY).agg(F.count("*").alias("tasks"))
 
 
 def slowest_stages(
@@ -31,7 +38,7 @@ def slowest_stages(
         [by_duration(), F.col("stage_order").asc()],
         top_n,
     )
-    return slowest.join(stage_task_counts(facts), S.STAGE_KEY, "left").select(
+    return slowest.join(stage_task_counts(facts, slowest), S.STAGE_KEY, "left").select(
         *PER_EXECUTION,
         "rank",
         "stage_id",
@@ -45,10 +52,7 @@ def slowest_stages(
 
 def _tasks_in_scope(facts: LogFacts, stages: DataFrame, execution_id: int | None) -> DataFrame:
     """Ended tasks; cut down early where only one execution is asked for."""
-    tasks = ended_tasks(facts)
-    if execution_id is not None:
-        tasks = tasks.join(stages.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
-    return tasks
+    return in_stages(ended_tasks(facts), None if execution_id is None else stages)
 
 
 def slowest_tasks(
@@ -123,7 +127,9 @@ def skew_suspects(
         )
         .filter((F.col("tasks") >= min_tasks) & (F.col("timed") >= min_tasks))
     )
-    medians = upper_median(tasks, S.STAGE_KEY, "duration_ms").filter(F.col("median") >= 0)
+    # Only stages with enough tasks, and a slowest one that can be an outlier, need a median.
+    medians = upper_median(in_stages(tasks, per_stage), S.STAGE_KEY, "duration_ms")
+    medians = medians.filter(F.col("median") >= 0)
     return (
         per_stage.join(medians, S.STAGE_KEY)
         .filter(F.col("max_ms") > F.col("median") * F.lit(float(ratio)))
@@ -143,10 +149,10 @@ def skew_suspects(
     )
 
 
-def stage_files(facts: LogFacts) -> DataFrame:
+def stage_files(facts: LogFacts, stages: DataFrame | None = None) -> DataFrame:
     """The one file a stage attempt is credited to: that of its deepest named scan."""
     return (
-        facts.stage_plan_metrics.filter(
+        in_stages(facts.stage_plan_metrics, stages).filter(
             is_scan(F.col("node_name"), facts.match) & (F.col("file_name") != "")
         )
         .groupBy(*S.STAGE_KEY)
@@ -159,10 +165,11 @@ def slowest_files(
 ) -> DataFrame:
     """Sum of stage durations per scanned file; ties in order of first appearance."""
     facts = facts.of_log(log_id)
+    stages = stages_of_executions(facts, execution_id)
+    files = stage_files(facts, None if execution_id is None else stages)
     per_file = (
-        stages_of_executions(facts, execution_id)
-        .select(*S.STAGE_KEY, "execution_id", "duration_ms", "stage_order")
-        .join(stage_files(facts), S.STAGE_KEY)
+        stages.select(*S.STAGE_KEY, "execution_id", "duration_ms", "stage_order")
+        .join(files, S.STAGE_KEY)
         .groupBy(*PER_EXECUTION, "file_name")
         .agg(
             F.sum(F.coalesce("duration_ms", F.lit(0))).alias("total_duration_ms"),

@@ -11,8 +11,10 @@ from eventlens.functions import to_int
 from eventlens.plans.metrics import ROW_COUNT, is_filter, is_metric, is_scan
 
 
-def scan_selectivity(facts: LogFacts, use_post_scan: bool = False) -> DataFrame:
-    """One row per stage attempt that has scan rows or a scan time.
+def scan_selectivity(
+    facts: LogFacts, use_post_scan: bool = False, stages: DataFrame | None = None
+) -> DataFrame:
+    """One row per stage attempt (of ``stages``) that has scan rows or a scan time.
 
     Of several scans or filters the topmost counts; ``use_post_scan`` takes the
     filter marked as nearest above the scan instead.  ``filtered_pct_ref`` is
@@ -32,8 +34,11 @@ def scan_selectivity(facts: LogFacts, use_post_scan: bool = False) -> DataFrame:
         filters = filters & F.col("filter_role").eqNullSafe("post_scan")
     value = to_int(F.col("value"))
 
+    metrics = facts.stage_plan_metrics
+    if stages is not None:
+        metrics = metrics.join(stages.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
     per_stage = (
-        facts.stage_plan_metrics.filter(scan | filters)
+        metrics.filter(scan | filters)
         .groupBy(*S.STAGE_KEY)
         .agg(
             topmost(value, scan & rows).alias("scan_rows"),

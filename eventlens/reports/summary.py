@@ -10,6 +10,7 @@ from eventlens.facts import LogFacts
 from eventlens.operators.topk import by_duration
 from eventlens.reports.lookup import ended_tasks, jobs_of_executions, only
 from eventlens.reports.rankings import (
+    in_stages,
     skew_suspects,
     slowest_files,
     slowest_stages,
@@ -21,14 +22,18 @@ from eventlens.reports.selectivity import scan_selectivity
 JOB_KEY = ["log_id", "job_id"]
 
 
-def skipped_stages(facts: LogFacts) -> DataFrame:
+def skipped_stages(
+    facts: LogFacts, jobs: DataFrame | None = None, stages: DataFrame | None = None
+) -> DataFrame:
     """Per job, the number of declared stages that were not submitted under it."""
+    jobs = facts.jobs if jobs is None else jobs
+    stages = facts.stages if stages is None else stages
     declared = (
-        facts.jobs.select(*JOB_KEY, F.explode("stage_ids").alias("stage_id"))
+        jobs.select(*JOB_KEY, F.explode("stage_ids").alias("stage_id"))
         .filter(F.col("stage_id").isNotNull())
         .distinct()
     )
-    submitted = facts.stages.filter(F.col("job_id").isNotNull()).select(*JOB_KEY, "stage_id")
+    submitted = stages.filter(F.col("job_id").isNotNull()).select(*JOB_KEY, "stage_id")
     return (
         declared.join(submitted, [*JOB_KEY, "stage_id"], "left_anti")
         .groupBy(*JOB_KEY)
@@ -36,20 +41,16 @@ def skipped_stages(facts: LogFacts) -> DataFrame:
     )
 
 
-def job_summary(
-    facts: LogFacts, execution_id: int | None = None, log_id: str | None = None
-) -> DataFrame:
-    """One row per job: stage attempts, duration, result, skipped stages."""
-    facts = facts.of_log(log_id)
-    jobs = only(facts.jobs, execution_id=execution_id)
+def _job_rows(facts: LogFacts, jobs: DataFrame, stages: DataFrame, *keys: str) -> DataFrame:
+    """Figures of ``jobs``, whose stage attempts are ``stages``, with further columns."""
     attempts = (
-        facts.stages.filter(F.col("job_id").isNotNull())
+        stages.filter(F.col("job_id").isNotNull())
         .groupBy(*JOB_KEY)
         .agg(F.count("*").alias("stages"))
     )
     return (
         jobs.join(attempts, JOB_KEY, "left")
-        .join(skipped_stages(facts), JOB_KEY, "left")
+        .join(skipped_stages(facts, jobs, stages), JOB_KEY, "left")
         .select(
             "log_id",
             "execution_id",
@@ -58,16 +59,30 @@ def job_summary(
             "duration_ms",
             "result",
             F.coalesce("skipped_stages", F.lit(0)).alias("skipped_stages"),
+            *keys,
         )
     )
 
 
-def stage_summary(facts: LogFacts, use_post_scan: bool = False) -> DataFrame:
-    """One row per stage attempt of a job: tasks, duration, flags, scan figures."""
+def job_summary(
+    facts: LogFacts, execution_id: int | None = None, log_id: str | None = None
+) -> DataFrame:
+    """One row per job: stage attempts, duration, result, skipped stages."""
+    facts = facts.of_log(log_id)
+    jobs = only(facts.jobs, execution_id=execution_id)
+    stages = facts.stages
+    if execution_id is not None:
+        stages = stages.join(jobs.select(*JOB_KEY), JOB_KEY, "left_semi")
+    return _job_rows(facts, jobs, stages)
+
+
+def _stage_rows(
+    facts: LogFacts, stages: DataFrame, use_post_scan: bool, scope: DataFrame | None, *keys: str
+) -> DataFrame:
+    """Figures of ``stages``; ``scope`` cuts tasks and plan metrics before they are summed."""
     return (
-        facts.stages.filter(F.col("job_id").isNotNull())
-        .join(stage_task_counts(facts), S.STAGE_KEY, "left")
-        .join(scan_selectivity(facts, use_post_scan), S.STAGE_KEY, "left")
+        stages.join(stage_task_counts(facts, scope), S.STAGE_KEY, "left")
+        .join(scan_selectivity(facts, use_post_scan, scope), S.STAGE_KEY, "left")
         .select(
             "log_id",
             "job_id",
@@ -85,10 +100,17 @@ def stage_summary(facts: LogFacts, use_post_scan: bool = False) -> DataFrame:
             "filtered_pct_ref",
             "retained_pct",
             "filtered_out_pct",
+            *keys,
         )
     )
 
 
+def stage_summary(facts: LogFacts, use_post_scan: bool = False) -> DataFrame:
+    """One row per stage attempt of a job: tasks, duration, flags, scan figures."""
+    stages = facts.stages.filter(F.col("job_id").isNotNull())
+    return _stage_rows(facts, stages, use_post_scan, None)
+
+
 def execution_overview(
     facts: LogFacts, execution_id: int | None = None, log_id: str | None = None
 ) -> dict[str, DataFrame]:
@@ -106,27 +128,28 @@ def execution_trace(
     log_id: str | None = None,
     task_breakdown: bool = False,
     use_post_scan: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
     """Jobs, their stage attempts and scan figures, on request also their tasks.
 
     Jobs without stages and stages without tasks keep a row.  Sorted by
-    execution, job, attempt, submission and, with tasks, duration.
+    execution, job, attempt, submission and, with tasks, duration; ``ordered=False``
+    spares the sort of a trace of many logs.
     """
     facts = facts.of_log(log_id)
-    order = jobs_of_executions(facts, execution_id).select(*JOB_KEY, "job_order")
-    jobs = (
-        job_summary(facts, execution_id)
-        .withColumnRenamed("duration_ms", "job_duration_ms")
-        .join(order, JOB_KEY)
-    )
-    submitted = facts.stages.select(*S.STAGE_KEY, "submit_seq")
-    stages = stage_summary(facts, use_post_scan).join(submitted, S.STAGE_KEY)
-    trace = jobs.join(
-        stages.withColumnRenamed("duration_ms", "stage_duration_ms"), JOB_KEY, "left"
+    jobs = jobs_of_executions(facts, execution_id)
+    stages = facts.stages.filter(F.col("job_id").isNotNull())
+    scope = None
+    if execution_id is not None:
+        scope = stages = stages.join(jobs.select(*JOB_KEY), JOB_KEY, "left_semi")
+    job_rows = _job_rows(facts, jobs, stages, "job_order")
+    stage_rows = _stage_rows(facts, stages, use_post_scan, scope, "submit_seq")
+    trace = job_rows.withColumnRenamed("duration_ms", "job_duration_ms").join(
+        stage_rows.withColumnRenamed("duration_ms", "stage_duration_ms"), JOB_KEY, "left"
     )
     sort = ["log_id", "execution_id", "job_order", "stage_attempt_id", "submit_seq"]
     if task_breakdown:
-        tasks = ended_tasks(facts).select(
+        tasks = in_stages(ended_tasks(facts), scope).select(
             *S.TASK_KEY,
             "partition_id",
             "duration_ms",
@@ -141,7 +164,8 @@ def execution_trace(
         without = trace.filter(F.coalesce("tasks", F.lit(0)) == 0)
         trace = tasks.join(trace, S.STAGE_KEY).unionByName(without, allowMissingColumns=True)
         sort += [by_duration(), "task_id", "task_attempt_id"]
-    return trace.orderBy(*sort).drop("job_order", "submit_seq")
+    trace = trace.orderBy(*sort) if ordered else trace
+    return trace.drop("job_order", "submit_seq")
 
 
 def trace_execution(

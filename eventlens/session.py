@@ -1,10 +1,12 @@
-"""Session settings and the shared folder for intermediate tables."""
+"""Session settings, the shared folder for intermediate tables, and stores of tables."""
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
@@ -18,51 +20,79 @@ RUNTIME_SETTINGS = {
 }
 
 
-BYTES_PER_PARTITION = 128 * 1024 * 1024
-MAX_PARTITIONS = 50_000
-_PARTITIONS = "spark.sql.shuffle.partitions"
-_INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-
-
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 
 
-def size_shuffles(files: DataFrame, factor: float = 1.0) -> int:
-    """Raises the initial number of shuffle partitions to suit the size of the input.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables that all machines of the cluster reach.
 
-    Adaptive execution merges small partitions but starts from a fixed number,
-    by default 200, which is far too few for terabytes.  ``files`` is a plain
-    read of files, whose size Spark knows without running a job; ``factor`` is
-    how much more the data weighs where it is shuffled.  Returns the number.
+    Below ``spark.checkpoint.dir`` or the checkpoint folder of the context; where
+    neither is set, below the warehouse, which is shared as well.
     """
-    conf = files.sparkSession.conf
-    n_bytes = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    current = int(conf.get(_INITIAL_PARTITIONS, None) or conf.get(_PARTITIONS))
-    wanted = min(int(n_bytes * factor) // BYTES_PER_PARTITION, MAX_PARTITIONS)
-    if wanted > current:
-        conf.set(_INITIAL_PARTITIONS, str(wanted))
-    return max(wanted, current)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and hasattr(spark.sparkContext, "getCheckpointDir"):
+        base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str | None:
-    """A new folder for written tables, below ``spark.checkpoint.dir``.
+class Store:
+    """A folder of Parquet tables that were made from one source.
 
-    Where the setting is absent, a local session gets a temporary folder and a
-    cluster gets none (its machines share no local disk), so callers there keep
-    their tables lazy.
+    ``_source`` holds what the tables were made from.  A table counts as made when its
+    entry below ``_made`` was written, which happens after its last file: so it does not
+    depend on markers of a committer, and a broken run can be resumed.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            return None
-        base = tempfile.mkdtemp(prefix="eventlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to the end."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    def _note(self, name: str) -> str | None:
+        try:
+            lines = self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return lines[0][0].strip() if lines else None
+
+    def _write_note(self, name: str, text: str) -> None:
+        note = self.spark.createDataFrame([(text,)], "value string")
+        note.coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}")
+
+    def open(self, source: dict | None) -> None:
+        """Notes the source of a new store; raises if the store was made from another one.
+
+        ``None`` opens a store as it is.
+        """
+        known = self._note("_source")
+        if source is None:
+            if known is None:
+                raise ValueError(f"there is no store at {self.path}")
+            return
+        told = json.dumps(source, sort_keys=True)
+        if known is None:
+            self._write_note("_source", told)
+        elif known != told:
+            raise ValueError(
+                f"the store at {self.path} was made from {known}, not from {told}; "
+                "take a new folder, or open it without a source"
+            )
+
+    def table(
+        self,
+        name: str,
+        make: Callable[[], DataFrame],
+        partition_by: tuple[str, ...] = (),
+    ) -> DataFrame:
+        """The table of that name, made and written first if it is missing."""
+        path = f"{self.path}/{name}"
+        if self._note(f"_made/{name}") is None:
+            df = make()
+            df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            self._write_note(f"_made/{name}", "made")
+        return self.spark.read.parquet(path)

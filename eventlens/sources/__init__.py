@@ -1,4 +1,4 @@
 from eventlens.sources.events import bad_lines, event_counts, parse_events, route
-from eventlens.sources.lines import read_events, skip_blank
+from eventlens.sources.lines import read_events, skip_blank, source_files
 
-__all__ = ["bad_lines", "event_counts", "parse_events", "read_events", "route", "skip_blank"]
+__all__ = ["bad_lines", "event_counts", "parse_events", "read_events", "route", "skip_blank", "source_files"]

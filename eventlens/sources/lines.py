@@ -2,38 +2,53 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventlens.session import size_shuffles
+#: Codecs that Spark can log with but its text reader cannot decode.
+UNREADABLE = r"(?i)\.(lzf)(\.inprogress)?$"
 
 
 def read_events(spark: SparkSession, source: str | Sequence[str] | DataFrame) -> DataFrame:
-    """Lines of one or many event logs as ``(log_id, seq, value)``.
+    """Lines of one or many event logs as ``(log_id, log_name, seq, value)``.
 
     ``source`` is a path or a list of paths (plain files, rolled log folders,
     folders of either; plain or compressed), or a DataFrame that already has
-    the three columns.
+    ``log_id``, ``seq`` and ``value``.
+
+    ``log_id`` is the path of the file (of the folder, for rolled logs) below the
+    source, so equal names in two folders stay two logs; with several sources it is
+    the whole path.  ``log_name`` is the last part of it.
 
     ``seq`` orders the lines of a log: index of the rolled file, start of the
     file split, row number within the split.  It is made on the scan itself, so
     it costs no shuffle and no global numbering, and a recomputed task gives
     the same values.
+
+    A file whose codec the text reader cannot decode raises an error.
     """
     if isinstance(source, DataFrame):
-        return source.select("log_id", "seq", "value")
+        name = F.col("log_name" if "log_name" in source.columns else "log_id")
+        return source.select("log_id", name.alias("log_name"), "seq", "value")
 
     files = text_files(spark, source)
-    size_shuffles(files)
     file_name = F.col("_metadata.file_name")
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     # Rolled logs (events_<n>_<app>) and logs rewritten by Spark (part-<n>-...)
     # are one log per folder.
     roll = F.regexp_extract(file_name, r"^(?:events_|part-)(\d+)", 1)
-    return files.select(
-        F.when(roll == "", file_name).otherwise(folder).alias("log_id"),
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_replace(path, "/[^/]*$", "")
+    log_path = F.when(roll == "", path).otherwise(folder)
+    name = F.element_at(F.split(log_path, "/"), -1)
+    fail = F.raise_error(F.concat(F.lit("cannot read the codec of log file "), path))
+    return files.filter(
+        F.when(file_name.rlike(UNREADABLE), fail.cast("boolean")).otherwise(F.lit(True))
+    ).select(
+        (_below(log_path, source, name) if isinstance(source, str) else log_path).alias("log_id"),
+        name.alias("log_name"),
         F.struct(
             F.coalesce(roll.try_cast("bigint"), F.lit(0).cast("bigint")).alias("roll"),
             F.col("_metadata.file_block_start").alias("split_start"),
@@ -43,10 +58,35 @@ def read_events(spark: SparkSession, source: str | Sequence[str] | DataFrame) ->
     )
 
 
+def _below(log_path: Column, root: str, name: Column) -> Column:
+    """The part of a path below the source; the name where the source is the log itself."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/{0,2}", "", root).strip("/")
+    if not plain or re.search(r"[*?\[\]{}]", plain):
+        return log_path
+    at = F.locate(f"/{plain}/", F.concat(log_path, F.lit("/")))
+    rest = F.substring(log_path, at + F.lit(len(plain) + 2), F.length(log_path))
+    return F.when(at == 0, log_path).when(rest == "", name).otherwise(rest)
+
+
 def text_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True)
     return reader.text(paths if isinstance(paths, str) else list(paths))
 
 
+def source_files(spark: SparkSession, paths: str | Sequence[str]) -> dict:
+    """What tells a set of files from another: number, bytes, and a hash of names, sizes and times."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .load(paths if isinstance(paths, str) else list(paths))
+        .select("path", "length", "modificationTime")
+    )
+    n, size, check = listed.agg(
+        F.count(F.lit(1)),
+        F.sum("length"),
+        F.expr("bit_xor(xxhash64(path, length, modificationTime))"),
+    ).first()
+    return {"files": n, "bytes": size or 0, "hash": check or 0}
+
+
 def skip_blank(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("value").rlike(r"\S"))

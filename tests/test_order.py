@@ -53,7 +53,7 @@ def test_split_positions_follow_line_order(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
     try:
         got = read_events(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
-        ordered = got.orderBy("log_id", "seq").select("log_id", "value").collect()
+        ordered = got.orderBy("log_id", "seq").select("log_name", "value").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [tuple(r) for r in ordered] == [(log, f'{{"n":{i}}}') for log in ("a", "b") for i in range(4000)]

@@ -4,8 +4,11 @@ import pytest
 from conftest import SF_DIR
 
 from workload.queries import all_queries as queries
+from pyspark.sql import functions as F
+
 from eventlens import LogFacts
 from eventlens import reports as R
+from eventlens.synth import copies_of, synth_lines
 from workload.queries import log_files
 
 
@@ -24,7 +27,7 @@ def test_lines_are_decoded_once(spark):
     facts = LogFacts(spark, log_files(spark, SF_DIR))
     text = plan(facts.tasks)
     assert text.count("from_json") == 1
-    assert text.count("Exchange hashpartitioning") == 1
+    assert text.count("Exchange") == 1
 
 
 def test_rankings_cut_before_the_shuffle(spark):
@@ -49,18 +52,45 @@ def test_median_counts_are_shuffled_once(spark):
     assert "ReusedExchange" in final
 
 
-def test_shuffles_grow_with_the_input(spark):
-    from eventlens.session import size_shuffles
+def test_the_session_keeps_its_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    facts = LogFacts(spark, log_files(spark, SF_DIR), partitions=3)
+    assert facts.tasks.rdd.getNumPartitions() == 3
+    facts.unpersist()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_without_a_store_lines_are_decoded_once(spark):
+    facts = LogFacts(spark, log_files(spark, SF_DIR))
+    text = plan(R.execution_trace(facts, task_breakdown=True))
+    # Every scan of text stands below a persisted table.
+    below = None
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        if below is not None and depth <= below:
+            below = None
+        if "InMemoryRelation" in line and below is None:
+            below = depth
+        assert "FileScan text" not in line or below is not None
+    assert facts.events.is_cached
+    facts.unpersist()
+
+
+def test_one_execution_cuts_tasks_first(spark):
+    from workload.queries import facts_of
+
+    text = plan(R.execution_trace(facts_of(spark, SF_DIR), 0, "synth-0", task_breakdown=True))
+    assert text.count("LeftSemi") >= 3
+
 
-    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
-    try:
-        assert size_shuffles(orders) == 4
-        assert spark.conf.get(name, None) is None
-        assert 4 < size_shuffles(orders, factor=1e5) < 1000
-        assert size_shuffles(orders, factor=1e12) == 50_000
-    finally:
-        spark.conf.unset(name)
+def test_a_log_is_in_few_task_files(spark, tmp_path):
+    store = str(tmp_path / "store")
+    lines = copies_of(synth_lines(spark, SF_DIR), 8)
+    facts = LogFacts(spark, lines, store=store, partitions=8)
+    first = facts.tasks.agg(F.min("log_id")).first()[0]
+    files = facts.tasks.select("log_id", F.input_file_name().alias("f")).distinct()
+    assert files.filter(F.col("log_id") == first).count() <= 3
+    assert files.select("f").distinct().count() == 8
 
 
 def test_one_log_limits_every_scan(spark, capsys):

@@ -259,6 +259,18 @@ _QUERIES = {
           UNION ALL SELECT log_id, count(*) FROM sub0 GROUP BY ALL
           UNION ALL SELECT log_id, count(*) FROM tsk GROUP BY ALL
           UNION ALL SELECT log_id, count(*) FROM done GROUP BY ALL) GROUP BY log_id""",
+    "read_events_same_name": """
+        SELECT part || '/' || log_id AS log_id, n FROM (
+          SELECT log_id, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT log_id, 7 * count(*) AS n FROM exe GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM exe WHERE execution_id <> 3 GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM job GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM job WHERE job_id <> 24 GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM sub GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM sub0 GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM tsk GROUP BY ALL
+            UNION ALL SELECT log_id, count(*) FROM done GROUP BY ALL) GROUP BY log_id),
+        (VALUES ('first'), ('second')) v(part)""",
     "read_events_order": "SELECT log_id, stage_id, stage_attempt_id, job_id FROM mapped",
     "skip_blank": """
         SELECT log_id, CAST(sum(n) AS BIGINT) AS n FROM (
@@ -273,6 +285,23 @@ _QUERIES = {
     "parse_events": """
         SELECT log_id, 60000000000 + task_id AS seq, stage_id, task_id, launch_ms,
                launch_ms + duration_ms AS finish_ms FROM done""",
+    "parse_events_all_kinds": """
+        SELECT log_id, CASE WHEN event LIKE 'SparkListenerSQL%' OR event LIKE '%DriverAccum%'
+                            THEN 'org.apache.spark.sql.execution.ui.' ELSE '' END || event AS event,
+               CAST(count(*) AS BIGINT) AS n, CAST(sum(id) AS BIGINT) AS ids
+        FROM (
+          SELECT log_id, 'SparkListenerSQLExecutionStart' AS event, execution_id AS id FROM exe
+          UNION ALL SELECT log_id, 'SparkListenerSQLAdaptiveExecutionUpdate', execution_id
+                    FROM exe, range(2)
+          UNION ALL SELECT log_id, 'SparkListenerDriverAccumUpdates', execution_id FROM exe, range(2)
+          UNION ALL SELECT log_id, 'SparkListenerSQLExecutionEnd', execution_id FROM exe
+                    WHERE execution_id <> 3
+          UNION ALL SELECT log_id, 'SparkListenerJobStart', job_id FROM job
+          UNION ALL SELECT log_id, 'SparkListenerJobEnd', job_id FROM job WHERE job_id <> 24
+          UNION ALL SELECT log_id, 'SparkListenerStageSubmitted', stage_id FROM sub
+          UNION ALL SELECT log_id, 'SparkListenerStageCompleted', stage_id FROM sub0
+          UNION ALL SELECT log_id, 'SparkListenerTaskStart', task_id FROM tsk
+          UNION ALL SELECT log_id, 'SparkListenerTaskEnd', task_id FROM done) GROUP BY ALL""",
     "route_events": """
         SELECT log_id, CASE WHEN event LIKE 'SparkListenerSQL%' OR event LIKE '%DriverAccum%'
                             THEN 'org.apache.spark.sql.execution.ui.' ELSE '' END || event AS event, n
@@ -359,6 +388,8 @@ _QUERIES = {
     "stage_accumulables": """
         SELECT log_id, stage_id, stage_attempt_id, acc_id, CAST(value AS VARCHAR) AS value FROM acc""",
     "plan_nodes": "SELECT * FROM nodes",
+    "plan_nodes_initial": """
+        SELECT log_id, execution_id, CAST(count(*) AS BIGINT) AS n FROM nodes GROUP BY ALL""",
     "final_plan": "SELECT log_id, execution_id, 100000000000 + execution_id AS seq FROM exe",
     "scan_location": """
         SELECT log_id, execution_id, node_path, schema_name, file_name FROM nodes
@@ -402,6 +433,7 @@ _QUERIES = {
     "slowest_files": "SELECT * FROM files",
     "stage_task_counts": "SELECT * FROM cnt",
     "scan_selectivity": "SELECT * FROM sel",
+    "scan_selectivity_prefix": "SELECT * FROM sel",
     "scan_selectivity_post_scan": """
         SELECT log_id, stage_id, stage_attempt_id, scan_rows, scan_time_ms, file_name,
                inner_rows AS filter_rows, scan_rows - inner_rows AS filtered_out_rows,
@@ -431,7 +463,14 @@ _QUERIES = {
                ss.duration_ms AS stage_duration_ms,
                ss.* EXCLUDE (log_id, job_id, stage_id, stage_attempt_id, tasks, duration_ms)
         FROM js LEFT JOIN ss ON ss.log_id = js.log_id AND ss.job_id = js.job_id""",
-    "trace_execution_tasks": """
+
+    "trace_one_execution": """
+        SELECT js.log_id, js.job_id, js.execution_id, js.stages, js.duration_ms AS job_duration_ms,
+               js.result, js.skipped_stages, ss.stage_id, ss.stage_attempt_id, ss.tasks,
+               ss.duration_ms AS stage_duration_ms,
+               ss.* EXCLUDE (log_id, job_id, stage_id, stage_attempt_id, tasks, duration_ms)
+        FROM js LEFT JOIN ss ON ss.log_id = js.log_id AND ss.job_id = js.job_id
+        WHERE js.log_id = 'synth-0' AND js.execution_id = 0""",    "trace_execution_tasks": """
         SELECT j.log_id, j.execution_id, j.job_id, s.stage_id, s.stage_attempt_id,
                s.duration_ms AS stage_duration_ms, d.task_id, d.task_attempt_id, d.duration_ms,
                d.locality, d.input_records, d.input_bytes, d.shuffle_read_bytes, d.disk_spill_bytes
@@ -467,7 +506,11 @@ _QUERIES = {
                CAST(len(string_split(node_path, '.')) AS INTEGER) AS depth,
                CAST(string_split(node_path, '.')[-1] AS INTEGER) AS last_part,
                replace(node_path, '.', '/') AS key_text FROM nodes""",
-    "order_by_path": "SELECT log_id, acc_id, node_path FROM pm",
+    "order_by_path": """
+        SELECT log_id, execution_id, acc_id, node_path,
+               row_number() OVER (PARTITION BY log_id, execution_id
+                 ORDER BY CAST(string_split(node_path, '.') AS INT[]), acc_id) AS position
+        FROM pm""",
     "thousands_text": f"""
         SELECT log_id, task_id, {_SPACED.format('input_bytes')} AS bytes_text,
                {_SPACED.format('task_id')} AS id_text FROM tsk""",

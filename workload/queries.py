@@ -19,15 +19,14 @@ from eventlens import functions as fn
 from eventlens import reports as R
 from eventlens import schema as S
 from eventlens.plans.metrics import order_by_path
-from eventlens.session import size_shuffles
 from eventlens.sources import parse_events, read_events, route, skip_blank
 from eventlens.synth import synth_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _lines: dict[tuple[str, str], DataFrame] = {}
-_facts: dict[tuple[str, str], LogFacts] = {}
-_files: dict[tuple[str, str], str | None] = {}
+_facts: dict[tuple, LogFacts] = {}
+_files: dict[tuple[str, str], str] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -35,42 +34,42 @@ def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log lines, written once per session where there is a shared folder."""
+    """The log lines, written once per session."""
     key = _key(spark, sf_dir)
     if key not in _lines:
-        # A row of orders becomes some 1.2 kB of log text.
-        size_shuffles(configure(spark).read.parquet(f"{sf_dir}/orders.parquet"), factor=60)
-        lines, path = synth_lines(spark, sf_dir), shared_folder(spark, "lines")
-        if path:
-            lines.write.parquet(path)
-            lines = spark.read.parquet(path)
-        _lines[key] = lines
+        path = shared_folder(configure(spark), "lines")
+        synth_lines(spark, sf_dir).write.parquet(path)
+        _lines[key] = spark.read.parquet(path)
     return _lines[key]
 
 
-def facts_of(spark: SparkSession, sf_dir: str) -> LogFacts:
-    key = _key(spark, sf_dir)
+def facts_of(spark: SparkSession, sf_dir: str, **options) -> LogFacts:
+    """The facts of the logs; each set of options has a store of its own."""
+    key = (*_key(spark, sf_dir), *sorted(options.items()))
     if key not in _facts:
-        _facts[key] = LogFacts(spark, lines_of(spark, sf_dir), store=shared_folder(spark, "facts"))
+        store = shared_folder(spark, "facts")
+        _facts[key] = LogFacts(spark, lines_of(spark, sf_dir), store=store, **options)
     return _facts[key]
 
 
-def log_files(spark: SparkSession, sf_dir: str) -> str | DataFrame:
+def log_files(spark: SparkSession, sf_dir: str) -> str:
     """The logs as text files, one folder per log, lines in log order."""
     key = _key(spark, sf_dir)
     if key not in _files:
-        path = shared_folder(spark, "logs")
-        if path:
-            (
-                lines_of(spark, sf_dir)
-                .repartitionByRange("log_id", "seq")
-                .sortWithinPartitions("log_id", "seq")
-                .select("log_id", "value")
-                .write.partitionBy("log_id")
-                .text(path)
-            )
-        _files[key] = path
-    return _files[key] or lines_of(spark, sf_dir)
+        _files[key] = shared_folder(spark, "logs")
+        _write_logs(spark, sf_dir, _files[key])
+    return _files[key]
+
+
+def _write_logs(spark: SparkSession, sf_dir: str, path: str) -> None:
+    (
+        lines_of(spark, sf_dir)
+        .repartitionByRange("log_id", "seq")
+        .sortWithinPartitions("log_id", "seq")
+        .select("log_id", "value")
+        .write.partitionBy("log_id")
+        .text(path)
+    )
 
 
 def _log_name(df: DataFrame) -> DataFrame:
@@ -92,6 +91,18 @@ def q_read_events(spark, sf_dir):
     return _log_name(lines).groupBy("log_id").agg(F.count("*").alias("n"))
 
 
+def q_read_events_same_name(spark, sf_dir):
+    """The logs twice, in two folders with equal names below."""
+    path = shared_folder(spark, "same-names")
+    for part in ("first", "second"):
+        _write_logs(spark, sf_dir, f"{path}/{part}")
+    lines = read_events(spark, path)
+    return (
+        lines.withColumn("log_id", F.regexp_replace("log_id", "log_id=", ""))
+        .groupBy("log_id").agg(F.count("*").alias("n"))
+    )
+
+
 def q_read_events_order(spark, sf_dir):
     facts = LogFacts(spark, log_files(spark, sf_dir))
     return _log_name(facts.stage_submissions).select(*S.STAGE_KEY, "job_id")
@@ -109,6 +120,26 @@ def q_parse_events(spark, sf_dir):
     )
 
 
+def q_parse_events_all_kinds(spark, sf_dir):
+    """Events of all ten kinds, and the sum of the ids that each kind is keyed by."""
+    events = parse_events(facts_of(spark, sf_dir).lines)
+    ids = F.coalesce("task.task_id", "stage.stage_id", "job.job_id", "execution_id")
+    return events.groupBy("log_id", "event").agg(F.count("*").alias("n"), F.sum(ids).alias("ids"))
+
+
+def q_plan_nodes_initial(spark, sf_dir):
+    nodes = facts_of(spark, sf_dir, initial_plans=True).plan_nodes
+    return nodes.groupBy("log_id", "execution_id").agg(F.count("*").alias("n"))
+
+
+def q_scan_selectivity_prefix(spark, sf_dir):
+    return R.scan_selectivity(facts_of(spark, sf_dir, match="prefix"))
+
+
+def q_trace_one_execution(spark, sf_dir):
+    return R.execution_trace(facts_of(spark, sf_dir), 0, "synth-0")
+
+
 def q_route_events(spark, sf_dir):
     return facts_of(spark, sf_dir).event_counts
 
@@ -452,7 +483,7 @@ def q_path_key(spark, sf_dir):
 
 def q_order_by_path(spark, sf_dir):
     rows = facts_of(spark, sf_dir).plan_metrics
-    return order_by_path(rows).select("log_id", "acc_id", "node_path")
+    return order_by_path(rows).select("log_id", "execution_id", "acc_id", "node_path", "position")
 
 
 def q_thousands_text(spark, sf_dir):
