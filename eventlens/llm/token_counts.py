@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from eventlens.llm.common import keyed
 
-#: Nodes of a task's trie, and bytes of text looked at before it may grow; a full trie is
-#: begun anew, which costs time and changes no count.
-TRIE_NODES, CHUNK_BYTES = 300_000, 1 << 20
+#: Nodes of a task's trie, pre-tokens whose count it remembers, and bytes of text looked at
+#: before either may be begun anew, which costs time and changes no count.
+TRIE_NODES, KNOWN_TOKENS, CHUNK_BYTES = 800_000, 500_000, 1 << 20
 #: Begins a pre-token, as in the vocabulary.
 MARK = "▁"
 #: A byte of a character without a piece costs as much as the worst piece and this.
@@ -30,14 +30,21 @@ class PieceTrie:
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces = pieces
-        self.longest = max(map(len, pieces), default=0)
         self.unknown = min(pieces.values(), default=0.0) - UNKNOWN
+        #: Lengths of the pieces that end with the same two letters, and of single letters.
+        lengths: dict[str, set[int]] = {}
+        for piece in pieces:
+            lengths.setdefault(piece[-2:], set()).add(len(piece))
+        self.lengths = {
+            end: sorted(n | lengths.get(end[-1:], set())) for end, n in lengths.items()
+        }
+        self.counts: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
+        # Children by node and letter in one number.
+        self.children: dict[int, int] = {}
         self.score, self.count = [0.0], [0]
-        self.counts: dict[bytes, int] = {}
 
     def __len__(self) -> int:
         return len(self.score)
@@ -45,32 +52,43 @@ class PieceTrie:
     def insert(self, token: bytes) -> int:
         """The number of pieces of a pre-token."""
         text = MARK + token.decode("utf-8", "replace")
-        node, path = 0, [0]
-        for i, letter in enumerate(text, 1):
-            child = self.children.get((node, letter))
-            if child is None:
-                child = len(self.score)
-                self.children[node, letter] = child
-                score, count = self._forward(text, i, path)
-                self.score.append(score)
-                self.count.append(count)
-            node = child
+        children, score, count = self.children, self.score, self.count
+        node, path, i = 0, [0], 0
+        for letter in text:
+            i += 1
+            key = node << 21 | ord(letter)
+            node = children.get(key)
+            if node is None:
+                node = children[key] = len(score)
+                s, c = self._forward(text, i, path)
+                score.append(s)
+                count.append(c)
             path.append(node)
-        self.counts[token] = self.count[node]
-        return self.count[node]
+        self.counts[token] = count[node]
+        return count[node]
 
     def _forward(self, text: str, i: int, path: list[int]) -> tuple[float, int]:
         """Best score and count of ``text[:i]`` from those of its shorter prefixes."""
-        n = len(text[i - 1].encode("utf-8", "replace"))
-        before = path[i - 1]
-        best = (self.score[before] + n * self.unknown, -self.count[before] - n)
-        pieces = self.pieces
-        for j in range(max(0, i - self.longest), i):
-            s = pieces.get(text[j:i])
+        pieces, score, count = self.pieces, self.score, self.count
+        best, fewest = None, 0
+        lengths = self.lengths.get(text[i - 2 : i] if i > 1 else text[:1])
+        if lengths is None:
+            lengths = self.lengths.get(text[i - 1], ())
+        for n in lengths:
+            if n > i:
+                break
+            s = pieces.get(text[i - n : i])
             if s is not None:
-                at = path[j]
-                best = max(best, (self.score[at] + s, -self.count[at] - 1))
-        return best[0], -best[1]
+                at = path[i - n]
+                s += score[at]
+                if best is None or s > best or (s == best and count[at] + 1 < fewest):
+                    best, fewest = s, count[at] + 1
+        before = path[i - 1]
+        n = len(text[i - 1].encode("utf-8", "replace"))
+        s = score[before] + n * self.unknown
+        if best is None or s > best:
+            best, fewest = s, count[before] + n
+        return best, fewest
 
 
 def unigram_pieces(model_file: str) -> dict[str, float]:
@@ -120,8 +138,9 @@ def count_tokens(
     def add(trie: PieceTrie, chunk: list[list[bytes]], words: list[int], tokens: list[int]) -> None:
         if len(trie) > TRIE_NODES:
             trie.clear()
-        new = set().union(*chunk) - trie.counts.keys()
-        for token in new:
+        if len(trie.counts) > KNOWN_TOKENS:
+            trie.counts.clear()
+        for token in set().union(*chunk) - trie.counts.keys():
             trie.insert(token)
         for text in chunk:
             words.append(len(text))
