@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text makes a larger piece of its own.
 PIECE_BYTES = 1 << 20
@@ -75,7 +76,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.nd
     offsets = np.frombuffer(raw, kind, n + 1, text.offset * np.dtype(kind).itemsize).astype(np.int64)
     whole = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     if text.null_count:  # a null may have bytes behind it
-        clean = pa.compute.fill_null(text, "" if pa.types.is_string(text.type) else b"")
+        clean = pc.fill_null(text, "" if pa.types.is_string(text.type) else b"")
         _, raw, body = clean.buffers()
         offsets = np.frombuffer(raw, kind, n + 1, clean.offset * np.dtype(kind).itemsize).astype(np.int64)
         whole = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
