@@ -249,7 +249,7 @@ def test_salvage_of_members_and_files(spark, tmp_path):
     assert [e["payload"] for e in found if e["kind"] == "record"] == [r["payload"] for i, r in enumerate(records) if i != 4]
     folder = tmp_path / "files"
     folder.mkdir()
-    (folder / "a.warc").write_bytes(b"junk" + data)
+    (folder / "a.warc").write_bytes(b"junk\n" + data)
     (folder / "b.warc.gz").write_bytes(hurt)
     (folder / "c.warc").write_bytes(b"")
     out = read_warc(spark, str(folder))
