@@ -16,7 +16,7 @@ from eventlens.llm.textbytes import pieces, shingle_sets
 
 #: Shingles that are kept in mind as frequent ones, in all and by each task.  They come
 #: last in the order of shingles; how many there are changes speed, never results.
-FREQUENT = 200_000
+FREQUENT = 100_000
 #: Shingles that a task looks at together to find those that recur.
 BLOCK = 1 << 22
 #: Rounds in which a group is compared with its next ones in a random order, and how many.
@@ -175,9 +175,44 @@ def _fits(n: str, m: str, percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
 
+def _central_ones(shared: DataFrame, full: DataFrame, percent: int, need, beyond) -> DataFrame:
+    """Pairs ``(gid, o_gid)`` of a group and the ones most like all others of a shingle.
+
+    Of a text and its edited copies it is the text itself, which has the fewest shingles
+    of its own, that is similar to most.  It is found by an aggregate, and joined to the
+    rows of its shingle, which Spark can split however many they are.
+    """
+    own = full.filter("prefix is not null").groupBy("gid").agg(F.min("rare").alias("rare"))
+    rows = shared.select("shingle", "bucket", "gid", "n")
+    central = (
+        rows.join(own, "gid").groupBy("shingle", "bucket")
+        .agg(F.min(F.struct("rare", "n", "gid")).alias("o"))
+        .select("shingle", "bucket", F.col("o.gid").alias("o_gid"), F.col("o.n").alias("o_n"))
+    )
+    central = stored(central, "central")
+    return (
+        rows.join(central, ["shingle", "bucket"]).filter("gid <> o_gid")
+        .filter(_fits("n", "o_n", percent))
+        .groupBy("gid", "o_gid", "n", "o_n").agg(F.count(F.lit(1)).alias("common"))
+        .filter(2 * F.col("common") + beyond("n", "o_n") >= need("n", "o_n"))
+        .groupBy("gid").agg(F.collect_set(F.struct("common", "o_gid")).alias("o"))
+        .select("gid", F.explode(F.slice(F.sort_array("o", asc=False), 1, NEXT)).alias("o"))
+        .select("gid", "o.o_gid")
+    )
+
+
+def _size_class(percent: int, shift: float = 0.0):
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent)) + F.lit(shift)).cast("int")
+
+
 def _next_ones(shared, of_group, turn: int, percent: int, salts: int, need, beyond) -> DataFrame:
-    """Pairs ``(gid, o_gid)`` of groups that follow each other in a shingle's size class."""
-    rows = shared.select("shingle", "salt", "gid", "n", "bucket")
+    """Pairs ``(gid, o_gid)`` of groups that follow each other in a shingle's size class.
+
+    The bounds of the classes move from turn to turn, so none parts the same groups twice.
+    """
+    rows = shared.select(
+        "shingle", "salt", "gid", "n", _size_class(percent, turn / ROUNDS).alias("bucket")
+    )
     if of_group is None:
         rows = rows.withColumns({"c_min": F.col("gid"), "c_max": F.col("gid")})
     else:
@@ -224,8 +259,8 @@ def ngram_join(
     are compared.
 
     So that a large group of near copies does not make all its pairs, a few first rounds
-    compare each group of a shingle with the next ones in a random order only and find
-    components from these links.  The last round takes every pair of groups that shares a
+    compare each group of a shingle with its most central one and with the next ones in a
+    random order only, and find components from these links.  The last round takes every pair of groups that shares a
     prefix shingle and is not in one component yet, so no component is missed.
 
     Columns: doc_id, text_key, n_shingles, class_digest, component_id (smallest doc_id of
@@ -259,7 +294,7 @@ def ngram_join(
     by_shingle = Window.partitionBy("shingle", "salt")
     # Size classes: a partner is in the same one or the next; a little wider than the
     # ratio of sizes, against rounding.
-    bucket = F.floor(F.log(F.col("n")) / F.log(F.lit(100.1 / percent))).cast("int")
+    bucket = _size_class(percent)
     shared = stored(
         marks.withColumns(
             {"least": F.min("gid").over(by_shingle), "most": F.max("gid").over(by_shingle)}
@@ -292,6 +327,8 @@ def ngram_join(
     links, of_class, of_group = None, None, None
     for turn in range(ROUNDS):
         pairs = _next_ones(shared, of_group, turn, percent, salts, need, beyond)
+        if turn == 0:
+            pairs = pairs.union(_central_ones(shared, full, percent, need, beyond))
         pairs = (
             pairs.join(first.withColumnRenamed("first", "a"), "gid")
             .join(first.select(F.col("gid").alias("o_gid"), F.col("first").alias("b")), "o_gid")
