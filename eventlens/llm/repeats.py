@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,26 +114,45 @@ def _spans(rows: np.ndarray, starts: np.ndarray, length: int):
     return rows[first], starts[first], starts[last] + length
 
 
-_ANCHOR = "doc_id long, text_key int, start int, n int, gram long, run long"
+_ANCHOR = "doc_id long, text_key int, start int, n int, gram long, run long, again boolean"
+
+
+def _again(doc_id: pa.Array, text_key, start, gram, run) -> np.ndarray:
+    """Rows with an equal run at an earlier place among the given ones."""
+    both = mix(gram ^ mix(run))
+    _, place, counts = np.unique(both, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[place] > 1)
+    again = np.zeros(len(start), bool)
+    ids = doc_id.take(pa.array(some))
+    none = ids.is_null().to_numpy(zero_copy_only=False)
+    ids = pc.fill_null(ids, 0).to_numpy()
+    order = np.lexsort((start[some], text_key[some], ids, none, run[some], gram[some]))
+    g, r = gram[some][order], run[some][order]
+    again[some[order[1:]]] = (g[1:] == g[:-1]) & (r[1:] == r[:-1])
+    return again
 
 
 def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for first, base, data, offsets in _segments(batch, length):
                 row, start, n, gram, run = anchors(data, offsets, length, k)
-                take = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(take),
-                        batch.column("text_key").take(take),
-                        pa.array((start - offsets[row] + base).astype(np.int32)),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(gram.astype(np.uint64).view(np.int64)),
-                        pa.array(run.astype(np.uint64).view(np.int64)),
-                    ],
-                    names=["doc_id", "text_key", "start", "n", "gram", "run"],
-                )
+                found.append((first + row, start - offsets[row] + base, n, gram, run))
+            if not found:
+                continue
+            row, start, n, gram, run = (np.concatenate(x) for x in zip(*found, strict=True))
+            gram, run = gram.astype(np.uint64), run.astype(np.uint64)
+            doc_id = batch.column("doc_id").take(pa.array(row))
+            text_key = batch.column("text_key").take(pa.array(row))
+            again = _again(doc_id, text_key.to_numpy(), start, gram, run)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    doc_id, text_key, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(gram.view(np.int64)), pa.array(run.view(np.int64)), pa.array(again),
+                ],
+                names=["doc_id", "text_key", "start", "n", "gram", "run", "again"],
+            )
 
     return docs.mapInArrow(make, _ANCHOR)
 
@@ -170,6 +190,9 @@ _SHARED = "doc_id long, text_key int, start int, n int, gram long, hot boolean,
 def _shared(found: DataFrame) -> DataFrame:
     """Runs whose anchor occurs more than once; ``later`` if an equal run came earlier.
 
+    Of equal runs that were read together all but the first are ``again``: each task
+    hands on one row of them for comparison, however many copies there are.
+
     The first of equal runs is only kept if the gram has other runs too (or is frequent).
     """
 
@@ -190,25 +213,32 @@ def _shared(found: DataFrame) -> DataFrame:
         if held is not None:
             yield resolve(held, last)[0]
 
-    def resolve(rows: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple]:
-        gram, run = rows.column("gram").to_numpy(), rows.column("run").to_numpy()
-        new_gram = np.ones(len(gram), bool)
-        new_gram[1:] = gram[1:] != gram[:-1]
-        new_run = new_gram.copy()
-        new_run[1:] |= run[1:] != run[:-1]
-        new_run[0] = (gram[0], run[0]) != last
-        of = np.cumsum(new_gram) - 1
-        several = np.bincount(of, new_run)[of] > 1
-        keep = ~new_run | several | rows.column("hot").to_numpy(zero_copy_only=False)
+    def resolve(rows: pa.RecordBatch, last: tuple | None) -> tuple[pa.RecordBatch, tuple | None]:
+        again = rows.column("again").to_numpy(zero_copy_only=False)
+        later, keep = again.copy(), again.copy()
+        at = np.flatnonzero(~again)
+        if len(at):
+            gram, run = rows.column("gram").to_numpy()[at], rows.column("run").to_numpy()[at]
+            new_gram = np.ones(len(gram), bool)
+            new_gram[1:] = gram[1:] != gram[:-1]
+            new_run = new_gram.copy()
+            new_run[1:] |= run[1:] != run[:-1]
+            new_run[0] = (gram[0], run[0]) != last
+            of = np.cumsum(new_gram) - 1
+            several = np.bincount(of, new_run)[of] > 1
+            later[at] = ~new_run
+            keep[at] = ~new_run | several | rows.column("hot").to_numpy(zero_copy_only=False)[at]
+            last = (gram[-1], run[-1])
         names = ["doc_id", "text_key", "start", "n", "gram", "hot"]
         out = pa.RecordBatch.from_arrays(
-            [*(rows.column(c) for c in names), pa.array(~new_run)], names=[*names, "later"]
+            [*(rows.column(c) for c in names), pa.array(later)], names=[*names, "later"]
         )
-        return out.filter(pa.array(keep)), (gram[-1], run[-1])
+        return out.filter(pa.array(keep)), last
 
-    salted = found.withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.col("run"), F.lit(1024))).otherwise(0).cast("int")
-    )
+    # Rows that are known to be later ones are only passed on, each where there is room.
+    salt = F.when(F.col("again"), F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20)) + 1024)
+    salt = salt.when(F.col("hot"), F.pmod(F.col("run"), F.lit(1024))).otherwise(0)
+    salted = found.withColumn("salt", salt.cast("int"))
     return (
         salted.repartition("gram", "salt")
         .sortWithinPartitions(
@@ -392,8 +422,12 @@ def remove_repeats(
         F.hash(text).alias("text_key"),
         text.cast("binary").alias("text"),
     )
-    hot = _frequent(rows, length, k)
-    found = _anchor_rows(rows, length, k)
+    # A row that is there twice is one document, whose places are not earlier than themselves.
+    once = rows
+    if not rows.groupBy(*KEY).count().filter("count > 1").isEmpty():
+        once = stored(rows.dropDuplicates(list(KEY)), "documents-once")
+    hot = _frequent(once, length, k)
+    found = _anchor_rows(once, length, k)
     spark = docs.sparkSession
     # FREQUENT numbers at most.
     listed = F.broadcast(
@@ -409,7 +443,7 @@ def remove_repeats(
         shared.filter("not later").groupBy(*KEY)
         .agg(F.collect_list(F.struct("start", "n", "gram", "hot")).alias("runs"))
     )
-    distinct_texts = attach(rows, open_runs, KEY, "inner")
+    distinct_texts = attach(once, open_runs, KEY, "inner")
     resolved = stored(_resolved(_contexts(distinct_texts, length), length), "resolved")
     done = resolved.filter("w1 is null").select(*KEY, "begin", "end")
     strings = resolved.filter("w1 is not null")

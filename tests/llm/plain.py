@@ -35,6 +35,7 @@ def edge_rows():
         (13, "word " * 300), (14, "x"), (15, "Ünï çødé ☃ words, with Ümlauts"), (15, "other text"),
         (16, "!!! 123 ... "), (17, " ".join(base)), (17, " ".join(base)),
         (None, "no id at all"), (None, None), (None, "One two three"),
+        (20, " ".join(words(40, 77))), (20, " ".join(words(40, 77))),
         (18, "line one\nline two\n" * 30), (19, " ".join(words(30, 3)) + " " + " ".join(base[:40])),
     ]
     out = []
