@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from eventlens import LogFacts, reports, shared_folder  # noqa: E402
-from eventlens.synth import copies_of, synth_lines  # noqa: E402
+from workload.synth import copies_of, synth_lines  # noqa: E402
 
 REPORTS = {
     "slowest_stages": reports.slowest_stages,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventlens import LogFacts, read_events, shared_folder
 from eventlens import reports as R
-from eventlens.synth import copies_of, synth_lines
+from workload.synth import copies_of, synth_lines
 from workload.queries import log_files
 
 SHOWN = ["executions", "jobs", "stages", "stage_accumulables", "plan_metrics", "driver_accums"]

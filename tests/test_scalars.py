@@ -103,3 +103,15 @@ def test_with_text(spark):
     assert rows(with_text(df.select("file_name"))) == [("f",)]
     metrics = spark.createDataFrame([("scan time", "2500")], "metric_name string, value string")
     assert with_text(metrics).first().value_text == "2.5 s"
+
+
+def test_text_of_selectivity(spark):
+    from eventlens.reports import with_text
+
+    df = spark.createDataFrame(
+        [(1234567, "f", 1000, 12.345), (5, "", None, None)],
+        "scan_rows long, file_name string, filtered_out_rows long, filtered_out_pct double",
+    )
+    first, second = with_text(df).collect()
+    assert (first.filtered_out_rows_text, first.filtered_out_pct_text, first.file_text) == ("1 000", "12.3 %", "f")
+    assert (second.filtered_out_rows_text, second.filtered_out_pct_text, second.file_text) == ("n/a",) * 3

@@ -20,7 +20,7 @@ from eventlens import reports as R
 from eventlens import schema as S
 from eventlens.plans.metrics import order_by_path
 from eventlens.sources import parse_events, read_events, route, skip_blank
-from eventlens.synth import synth_lines
+from workload.synth import synth_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
