@@ -20,7 +20,7 @@ FREQUENT = 100_000
 #: Shingles that a task looks at together to find those that recur.
 BLOCK = 1 << 22
 #: Rounds in which a group is compared with its next ones in a random order, and how many.
-ROUNDS, NEXT = 3, 2
+ROUNDS, NEXT = 2, 2
 _PREFIX = (
     "doc_id long, text_key long, n long, digest binary, gid long, rare int, "
     "prefix array<long>"
@@ -353,19 +353,24 @@ def ngram_join(
             "group-components",
         )
 
-    # Last round: all pairs of groups that are not yet in one component.
-    open_rows = shared.drop("salt").join(of_group, "gid")
+    # Last round: all pairs of groups that are not yet in one component.  ``rank`` counts
+    # the shingles of a prefix that any other group may have too; the others before a
+    # shared one are lost for every pair.
+    place = Window.partitionBy("gid").orderBy("place")
+    open_rows = shared.drop("salt").join(of_group, "gid").withColumn(
+        "rank", F.row_number().over(place) - 1
+    )
     settled = open_rows.groupBy("shingle").agg(
         F.min("c_min").alias("s_min"), F.max("c_max").alias("s_max")
     )
     open_rows = stored(
         open_rows.join(settled.filter("s_min <> s_max").select("shingle"), "shingle", "left_semi")
-        .select("shingle", "gid", "n", "bucket", "place", "c_min", "c_max"),
+        .select("shingle", "gid", "n", "bucket", "place", "rank", "c_min", "c_max"),
         "open-rows",
     )
     right = open_rows.select(
         "shingle",
-        *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "place", "bucket", "c_min", "c_max")),
+        *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "place", "rank", "bucket", "c_min", "c_max")),
         F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"),
     )
     rest = F.least(F.col("n") - F.col("place"), F.col("r_n") - F.col("r_place")) - 1
@@ -374,7 +379,7 @@ def ngram_join(
         .filter("gid <> r_gid and (bucket <> r_bucket or gid < r_gid)")
         .filter("not (c_min = r_c_max and c_max = r_c_min)")
         .filter(_fits("n", "r_n", percent))
-        .filter(F.least("place", "r_place") + 1 + rest >= need("n", "r_n"))
+        .filter(F.least("rank", "r_rank") + 1 + rest >= need("n", "r_n"))
         .groupBy("gid", "r_gid", "n", "r_n").agg(F.count(F.lit(1)).alias("common"))
         .filter(F.col("common") + beyond("n", "r_n") >= need("n", "r_n"))
         .select("gid", "r_gid")
