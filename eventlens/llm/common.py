@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java pattern of a run of white space (ASCII).
@@ -41,14 +41,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEY) -> Column:
-    """Equal keys, nulls included; works as a hash or merge join."""
-    condition = left[keys[0]].eqNullSafe(right[keys[0]])
-    for k in keys[1:]:
-        condition &= left[k].eqNullSafe(right[k])
-    return condition
-
-
 def attach(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = KEY, how: str = "left"):
     """Joins on ``keys`` (nulls are equal) and keeps the left ones."""
     other = right.select(
@@ -101,8 +93,6 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 
     Range partitions are numbered one by one; only their sizes come to the driver.
     """
-    from pyspark.sql import Window
-
     parts = stored(
         df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked"
     )

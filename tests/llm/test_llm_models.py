@@ -157,7 +157,7 @@ def test_token_counts_match_a_unigram_library(spark, monkeypatch):
     monkeypatch.setattr(tokens, "TRIE_NODES", 200)
     out = {r.doc_id: r for r in tokens.count_tokens(docs, pieces).collect()}
     for i, text in texts.items():
-        words = [w for w in text.split() if all(tokens.MARK + w for w in [w])]
+        words = text.split()
         plain = [w for w in words if all(c in pieces for c in w)]
         trie = tokens.PieceTrie(pieces)
         for w in plain[:50]:
@@ -350,7 +350,7 @@ def test_mix(spark, monkeypatch):
     out = mix_sources(docs)
     first = got(out, "doc_id", "size", "source_size", "target", "copies", "taken")
     assert first == got(mix_sources(docs.repartition(5)), "doc_id", "size", "source_size", "target", "copies", "taken")
-    assert [r[0] for r in first] == sorted(range(3000), key=lambda i: repr((i,))[:-2] + ",") or len(first) == 3000
+    assert len(first) == 3000
     sums = out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("copies").alias("c"), F.first("source_size").alias("s")).collect()
     target = filled({r.source: r.s for r in sums})
     for r in sums:
