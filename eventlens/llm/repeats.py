@@ -49,9 +49,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     strings have equal anchors at equal places.  Returns for each run: row, first start,
     number of starts, hash of the anchor's gram, hash of the bytes of all its strings.
     """
+    # Hashes are unsigned here too: numpy joins signed with unsigned ones as floats.
+    nothing = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 5
+        return nothing
     sums = prefix_sums(data, byte_codes(False))
     at = np.arange(len(data) - k + 1)
     grams = span_hashes(sums, at, at + k)
@@ -61,7 +63,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     whole = np.arange(n) + length <= offsets[row + 1]
     starts = np.flatnonzero(whole)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
+        return nothing
     own = owner[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
@@ -138,11 +140,11 @@ def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
             found = []
             for first, base, data, offsets in _segments(batch, length):
                 row, start, n, gram, run = anchors(data, offsets, length, k)
-                found.append((first + row, start - offsets[row] + base, n, gram, run))
+                if len(row):
+                    found.append((first + row, start - offsets[row] + base, n, gram, run))
             if not found:
                 continue
             row, start, n, gram, run = (np.concatenate(x) for x in zip(*found, strict=True))
-            gram, run = gram.astype(np.uint64), run.astype(np.uint64)
             doc_id = batch.column("doc_id").take(pa.array(row))
             text_key = batch.column("text_key").take(pa.array(row))
             again = _again(doc_id, text_key.to_numpy(), start, gram, run)
@@ -164,7 +166,7 @@ def _frequent(docs: DataFrame, length: int, k: int) -> list[int]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, data, offsets in _segments(batch, length):
-                gram = anchors(data, offsets, length, k)[3].astype(np.uint64).view(np.int64)
+                gram = anchors(data, offsets, length, k)[3].view(np.int64)
                 new, n = np.unique(gram, return_counts=True)
                 new, n = new[n > 1], n[n > 1]
                 joined = np.concatenate([keys, new])

@@ -140,6 +140,20 @@ def test_remove_repeats_with_frequent_lines(spark, monkeypatch):
     assert got(repeats.remove_repeats(docs), *names) == want
 
 
+def test_remove_repeats_next_to_a_piece_of_short_texts(spark):
+    """A full piece of 1 MB, then only short, empty and null texts in the same batch."""
+    full = [(i, " ".join(P.words(6000, 2000 + i))[: 1 << 15]) for i in range(32)]
+    short = [(100 + i, [None, "", "short", "x" * 99][i % 4]) for i in range(40)]
+    other = [(200 + i, f"{' '.join(P.words(20, 3000 + i))} {full[i][1][500:900]} end") for i in range(32)]
+    parts = [
+        spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+        for rows in (full + short, other)
+    ]
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = sorted(P.repeats(full + short + other), key=repr)
+    assert got(remove_repeats(parts[0].union(parts[1])), *names) == want
+
+
 def test_previous_factors():
     import numpy as np
 
