@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -167,38 +167,114 @@ def salvage_plain(data: bytes) -> Iterator[dict]:
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """Content and end of a gzip member, and whether it is whole."""
+_MAGIC = b"\x1f\x8b\x08"
+
+
+def _until_error(member, chunk: bytes) -> tuple[list[bytes], int]:
+    """What a decompressor gives before ``chunk`` fails, and the bytes that it takes before that."""
+    parts, used, step = [], 0, len(chunk)
+    step = 1 << step.bit_length()
+    while step > 1:
+        step //= 2
+        trial = member.copy()
+        try:
+            parts.append(trial.decompress(chunk[used : used + step]))
+        except zlib.error:
+            continue
+        member, used = trial, min(used + step, len(chunk))
+    try:  # the byte that fails may end other codes first
+        rest = chunk[used : used + 1]
+        while out := member.decompress(rest, 1):
+            parts.append(out)
+            rest = member.unconsumed_tail
+    except zlib.error:
+        pass
+    return parts, used
+
+
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content of a gzip member as far as it can be read, where that ends, what is wrong."""
     member, parts = zlib.decompressobj(31), []
     while at < len(data) and not member.eof:
-        parts.append(member.decompress(data[at : at + 65536]))
+        before, chunk = member.copy(), data[at : at + 65536]
+        try:
+            parts.append(member.decompress(chunk))
+        except zlib.error as e:
+            more, used = _until_error(before, chunk)
+            return b"".join([*parts, *more]), at + used, str(e)
         at += 65536
-    return b"".join(parts), min(at, len(data)) - len(member.unused_data), member.eof
+    end = min(at, len(data)) - len(member.unused_data)
+    return b"".join(parts), end, None if member.eof else "cut off"
+
+
+def _next_place(data: bytes) -> Callable[[int], int]:
+    """The next gzip member or version line from a place on; places must not fall.
+
+    What follows a broken member or a hole need not begin a line.
+    """
+    held = [-1, -1]
+
+    def find(at: int) -> int:
+        if held[0] < at:
+            held[0] = found if (found := data.find(_MAGIC, at)) >= 0 else len(data)
+        if held[1] < at:
+            held[1] = m.start() if (m := _VERSION.search(data, at)) else len(data)
+        return min(held)
+
+    return find
 
 
 def salvage_members(data: bytes) -> Iterator[dict]:
-    """The same for an archive of gzip members; offsets are those of the members."""
+    """Records and gaps of an archive of gzip members, of plain records, or of both.
+
+    A member gives what can be read of it, with its records and gaps as in
+    :func:`salvage_plain`; their offset and length are those of the member.  After a
+    failed check the search goes on at the next member or version line, whichever comes
+    first, whatever the file begins with.
+    """
+    find = _next_place(data)
     at, gap, reason = 0, None, None
+    known: set[bytes] = set()  # records of failed members, whose stored bytes may show them again
+    until = 0
     while at < len(data):
-        try:
-            body, end, whole = _member_at(data, at)
-            entries = list(salvage_plain(body)) if whole else []
-            wrong = None if whole else "cut off"
-        except zlib.error as e:
-            entries, wrong, end = [], str(e), at
-        if wrong is None and entries and all(e["kind"] == "record" for e in entries):
-            if gap is not None:
-                yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
-                gap = None
-            for e in entries:
-                yield {**e, "offset": at, "length": end - at}
-            at = end
-            continue
-        if gap is None:
-            gap, reason = at, wrong or next((e["reason"] for e in entries if "reason" in e), "empty")
-        later = data.find(b"\x1f\x8b\x08", at + 1)
-        at = later if later >= 0 else len(data)
-    if gap is not None:
+        if data.startswith(_MAGIC, at):
+            body, end, wrong = _member_at(data, at)
+            if any(e["kind"] == "record" for e in salvage_plain(body)):
+                if gap is not None and gap < at:
+                    yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+                gap, told = None, False
+                for e in salvage_plain(body):
+                    told |= e["kind"] == "gap"
+                    if wrong is not None and e["kind"] == "record":
+                        raw = body[e["offset"] : e["offset"] + e["length"]]
+                        known.add(hashlib.sha1(raw).digest())
+                    yield {**e, "offset": at, "length": end - at}
+                if wrong is not None:
+                    if not told:
+                        yield {"kind": "gap", "offset": at, "length": end - at, "reason": wrong}
+                    gap, reason, until = end, wrong, end
+            elif gap is None:
+                first = next((e["reason"] for e in salvage_plain(body)), "empty")
+                gap, reason = at, wrong or first
+            if wrong is None:
+                at = end
+                continue
+        else:
+            found = _record_at(data, at)
+            if isinstance(found, dict):
+                end = found.pop("end")
+                again = end <= until and hashlib.sha1(data[at:end]).digest() in known
+                if not again:
+                    if gap is not None and gap < at:
+                        yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": reason}
+                    gap = None
+                    yield {"kind": "record", "offset": at, "length": end - at, **found}
+                at = end
+                continue
+            if gap is None:
+                gap, reason = at, found
+        at = find(at + 1)
+    if gap is not None and gap < len(data):
         yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": reason}
 
 
@@ -217,12 +293,11 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 data, rows, size = content.as_py(), [], 0
-                read = salvage_members if data[:2] == b"\x1f\x8b" else salvage_plain
-                for e in read(data):
+                for e in salvage_members(data):
                     if not payloads:
                         e.pop("payload", None)
                     rows.append({"path": name.as_py(), **e})
-                    size += e["length"]
+                    size += e.get("payload_bytes", 0) + 1024
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_pylist(rows, _ENTRY)
                         rows, size = [], 0

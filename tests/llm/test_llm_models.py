@@ -257,6 +257,44 @@ def test_salvage_of_members_and_files(spark, tmp_path):
     assert out.filter("kind = 'gap' and reason is null").count() == 0
 
 
+def test_salvage_within_members_and_between_kinds(spark, tmp_path):
+    data = archive(spark, tmp_path)
+    records = list(salvage_plain(data))
+    payloads = [r["payload"] for r in records]
+
+    def kept(archived):
+        found = list(salvage_members(archived))
+        return [e["payload"] for e in found if e["kind"] == "record"], [e for e in found if e["kind"] == "gap"]
+
+    bad = data[: records[3]["offset"]] + b"XXXX" + data[records[3]["offset"] + 4 :]
+    others = payloads[:3] + payloads[4:]
+    for level in (0, 6):
+        one = gzip.compress(data, level)
+        assert kept(one) == (payloads, [])
+        # One bad record, a wrong checksum, an end that is cut off, a broken middle.
+        assert kept(gzip.compress(bad, level))[0] == others
+        assert kept(one[:-8] + b"\0\0\0\0" + one[-4:])[0] == payloads
+        assert kept(one[:-3])[0] == payloads
+        half = kept(one[: len(one) // 2])
+        assert half[0] and half[0] == payloads[: len(half[0])] and half[1]
+        # A junk beginning before members, and a plain record among them.
+        assert kept(b"junk" + one)[0] == payloads
+        first = data[: records[0]["length"]]
+        assert kept(one + first + one)[0] == [*payloads, payloads[0], *payloads]
+        assert kept(first + b"junk" + one[:-3] + first + one)[0] == [payloads[0], *payloads, payloads[0], *payloads]
+        for archived in (one[:-8] + b"\0\0\0\0" + one[-4:], one[:-3], b"junk" + one):
+            assert kept(archived)[1] and all(e["reason"] for e in kept(archived)[1])
+    three = data[records[0]["offset"] : records[3]["offset"]]
+    lines = b"x%d " * 3000 % tuple(range(3000))
+    error = gzip.compress(three + lines)
+    at = len(gzip.compress(three)) + 200
+    assert kept(error[:at] + b"\xff" * 40 + error[at + 40 :])[0] == payloads[:3]
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(b"junk" + gzip.compress(bad))
+    assert read_warc(spark, str(folder)).filter("kind = 'record'").count() == len(others)
+
+
 # --- toxicity
 
 
