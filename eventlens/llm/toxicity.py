@@ -36,7 +36,13 @@ _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _CODE = np.zeros(1 << 16, np.int32)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, _SIZE)
 _EDGES = ".,;:!?\"'()[]{}«»…-–—"
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_](?:[ ._*-]{1,2})){2,}[^\W\d_](?!\w)")
+_SIGNS = re.escape("".join(STANDS_FOR))
+_GAP = r"[\s._-]+"
+#: Single characters, letters or substitutes, with any white space or separators between.
+_SPACED = re.compile(
+    rf"(?<![^\s\"'(\[{{«.,;:…–—-])(?:(?:[^\W\d_]|[{_SIGNS}])[\s._*-]++)+(?:[^\W\d_]|[{_SIGNS}])(?!\w)"
+)
+_PART = re.compile(rf"{_GAP}|[^\s._-]")
 _TRIPLE = re.compile(r"(.)\1\1")
 
 
@@ -112,10 +118,45 @@ def _arcs(token: str) -> list[list[tuple[int, str, float]]]:
     return lattice
 
 
+#: A gap between characters, where a word may end.
+_BREAK = [(-1, "", 0.0), (0, " ", 0.0)]
+
+
+def _spaced_arcs(run: str) -> list[list[tuple[int, str, float]]]:
+    """The lattice of a run of single characters: each gap may be a break between words."""
+    lattice, before = [], ""
+    for part in _PART.findall(run):
+        if part[0].isspace() or part[0] in "._-":
+            lattice.append(_BREAK)
+        else:
+            (arcs,) = _arcs(part)
+            if part == before and part in _INDEX:
+                arcs.append((-1, "", _REPEAT))
+            lattice.append(arcs)
+            before = part
+    return lattice
+
+
+def _spaced_runs(text: str) -> Iterator[re.Match]:
+    """Runs of three single characters or more."""
+    for run in _SPACED.finditer(text):
+        if len(re.sub(_GAP, "", run.group())) > 2:
+            yield run
+
+
 def restore(token: str, model: np.ndarray) -> str:
     """The likeliest word behind a token in lower case, by Viterbi over its lattice."""
+    return _likeliest(_arcs(token), model)
+
+
+def restore_spaced(run: str, model: np.ndarray) -> str:
+    """The likeliest words, with a space between, behind a run of single characters."""
+    return _likeliest(_spaced_arcs(run), model).strip()
+
+
+def _likeliest(lattice: list, model: np.ndarray) -> str:
     states = {(0, 0): (0.0, None)}
-    for arcs in _arcs(token):
+    for arcs in lattice:
         following: dict = {}
         for (a, b), (score, path) in states.items():
             for index, letter, cost in arcs:
@@ -143,7 +184,7 @@ def words_of(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
     """Distinct words of a text as they are meant; ``known`` remembers restored tokens.
 
     Plain words are their own only path.  Tokens with other characters inside or with a
-    letter three times in a row, and runs of single letters, go through their lattice.
+    letter three times in a row, and runs of single characters, go through their lattice.
     """
     text = text.lower()
     found = set()
@@ -157,15 +198,19 @@ def words_of(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
                 known.clear()
             known[token] = word
         found.add(word)
-    for run in _SPACED.finditer(text):
-        found.add(restore(re.sub(r"[\W_]+", "", run.group()), model))
+    for run in _spaced_runs(text):
+        found.update(restore_spaced(run.group(), model).split())
     found.discard("")
     return found
 
 
 def restored_text(text: str, model: np.ndarray) -> str:
     """A text with its disguised words restored, its white space kept."""
-    joined = _SPACED.sub(lambda m: restore(re.sub(r"[\W_]+", "", m.group().lower()), model), text)
+    parts, at = [], 0
+    for run in _spaced_runs(text):
+        parts += [text[at : run.start()], restore_spaced(run.group().lower(), model)]
+        at = run.end()
+    joined = "".join([*parts, text[at:]])
 
     def one(match: re.Match) -> str:
         token = match.group()

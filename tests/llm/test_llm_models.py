@@ -27,6 +27,7 @@ from eventlens.llm.toxicity import (
     fit_toxicity,
     restore,
     restore_texts,
+    restored_text,
     score_toxicity,
     words_of,
 )
@@ -336,6 +337,22 @@ def test_disguised_words_are_restored(spark, model):
     assert got(restore_texts(docs, model.characters), "doc_id", "text")[2] == (3, "stupid  tree")
 
 
+def test_spaced_words_are_restored(spark, model):
+    texts = {
+        "i d 1 0 t": {"idiot"}, "$ t u p i d": {"stupid"}, "$ t u p 1 d": {"stupid"}, "m o r * n": {"moron"},
+        "i   d   i     o  t": {"idiot"}, "i\td\ti\to\tt": {"idiot"}, "i\nd\ni\r\no\nt": {"idiot"}, "i\u00a0d\u00a0i\u00a0o\u00a0t": {"idiot"},
+        "a i d i o t": {"idiot"}, "a m 0 r 0 n": {"moron"}, "s t u p i d i d i o t": {"stupid", "idiot"},
+        "a s t u p i d   m o r o n": {"stupid", "moron"}, "i - d - i - o - t": {"idiot"}, "i.d.i.o.t": {"idiot"},
+    }
+    for text, words in texts.items():
+        for around in ("{}", "the house {} walks", '"{}"', "walks {}!", "river, {}."):
+            assert words <= words_of(around.format(text), model.characters, {}), (around, text)
+    assert len(words_of("* " * 5000 + "x", model.characters, {})) < 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert score_toxicity(docs, model).filter("score < 0.7").count() == 0
+    assert restored_text("the A i d 1 0 t  walks", model.characters) == "the a idiot  walks"
+
+
 def test_toxicity_of_edge_rows(spark, model):
     out = score_toxicity(P.edge_docs(spark), model)
     assert out.count() == N
