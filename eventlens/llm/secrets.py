@@ -38,6 +38,8 @@ NOT_SECRET = {
     "url": r"^(?i:https?|ftp)://",
     "uuid": r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\W*$",
 }
+#: Neighbours that end with a sign of assignment to a secret word.
+_NEAR_SIGN = SECRET_WORDS.removesuffix("(?:$|[^a-z])") + r"\s?(?:[:=]+|[-=]+>)$"
 _GAP = r"[\x00-\x20\"'<>,;()\[\]{}`|]+"
 _FEATURES = [
     "length", "digit_share", "upper_share", "other_share", "transitions", "letter_case_changes",
@@ -46,41 +48,62 @@ _FEATURES = [
 ]
 
 
+#: What stands between a secret word and its value.
+_SIGN = r"(?i)^(?:[:=]+|[-=]+>?|is|was|are)$"
+#: An assignment within a word.
+_ASSIGNS = r"^[^=:]+[=:]+[^=:]"
+
+
 def _is_candidate(word: Column) -> Column:
     """Twelve characters or more with a digit, or twenty or more with letters of changing case."""
     n = F.length(word)
     return ((n >= 12) & word.rlike("[0-9]")) | ((n >= 20) & word.rlike("[a-z][A-Z].*[A-Z][a-z]"))
 
 
+def _is_told(word: Column, before: Column, before2: Column) -> Column:
+    """A value, whatever it is, that is assigned to a secret word or stands right after it."""
+    names = lambda w: w.rlike(SECRET_WORDS) & ~w.rlike(_ASSIGNS)
+    assigned = word.rlike(_ASSIGNS) & F.regexp_extract(word, "^([^=:]+)", 1).rlike(SECRET_WORDS)
+    after = names(before) | (before.rlike(_SIGN) & names(before2))
+    return assigned | (F.coalesce(after, F.lit(False)) & ~word.rlike(r"^[:=]+$|^[-=]+>?$") & (word != ""))
+
+
 def secret_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_key, place, word, key, value, near)``; ``place`` counts words from 1.
 
+    Words of a secret's length and characters, and what is assigned to a secret word or
+    stands right after it, whatever its length and characters.
     ``near`` has the key of an assignment and the two words before.
     """
     rows = keyed(docs, id_col, text_col)
+    # Words before the first one are null.
+    at = lambda i, back: F.when(i > back, F.element_at("w", F.greatest(i - back, F.lit(1))))
     words = rows.select(*KEY, F.explode(F.array(F.split(F.coalesce("text", F.lit("")), _GAP))).alias("w"))
     found = words.select(
         *KEY,
         F.inline(
             F.transform(
                 F.filter(
-                    F.sequence(F.lit(1), F.size("w")), lambda i: _is_candidate(F.element_at("w", i))
+                    F.sequence(F.lit(1), F.size("w")),
+                    lambda i: _is_candidate(F.element_at("w", i))
+                    | _is_told(F.element_at("w", i), at(i, 1), at(i, 2)),
                 ),
                 lambda i: F.struct(
                     i.alias("place"),
                     F.element_at("w", i).alias("word"),
-                    F.when(i > 1, F.element_at("w", F.greatest(i - 1, F.lit(1)))).alias("before"),
-                    F.when(i > 2, F.element_at("w", F.greatest(i - 2, F.lit(1)))).alias("before2"),
+                    at(i, 1).alias("before"),
+                    at(i, 2).alias("before2"),
                 ),
             )
         ),
     )
-    parts = r"^([A-Za-z][A-Za-z0-9_.-]{1,40})[=:](.+)$"
+    parts = r"^-{0,2}([A-Za-z][A-Za-z0-9_.-]{1,40})[=:](.+)$"
     key = F.regexp_extract("word", parts, 1)
     value = F.when(key != "", F.regexp_extract("word", parts, 2)).otherwise(F.col("word"))
     return found.select(
         *KEY, "place", "word", key.alias("key"),
-        F.regexp_replace(value, r"[!?.:*#%&$]+$", "").alias("value"),
+        # A value of nothing but such signs stays as it is.
+        F.regexp_replace(value, r"(?<=[^!?.:*#%&$])[!?.:*#%&$]+$", "").alias("value"),
         F.concat_ws(" ", "before2", "before", key).alias("near"),
     )
 
@@ -135,14 +158,15 @@ def secret_features(
         count(r"[.]").alias("dots"),
         value.rlike(r"\.[A-Za-z]{2,4}$").cast("double").alias("has_extension"),
         F.col("near").rlike(SECRET_WORDS).cast("double").alias("secret_word_near"),
-        (F.col("key") != "").cast("double").alias("assigned"),
+        ((F.col("key") != "") | F.col("near").rlike(_NEAR_SIGN)).cast("double").alias("assigned"),
         F.regexp_count("near", F.lit(r"[A-Za-z]{2,}")).cast("double").alias("words_near"),
     )
 
 
 def rule_labels(features: DataFrame) -> DataFrame:
     """Adds ``label``: 1 for known formats and for keys with an assigned value of 16
-    characters or more, 0 for forms that are no secrets, null where neither is sure."""
+    characters or more, 0 for forms that are no secrets and for words of the dictionary
+    that only follow a secret word, null where neither is sure."""
     value = F.col("value")
     known = F.lit(False)
     for pattern in KNOWN_FORMATS.values():
@@ -151,7 +175,8 @@ def rule_labels(features: DataFrame) -> DataFrame:
     for pattern in NOT_SECRET.values():
         other |= value.rlike(pattern)
     told = (F.col("secret_word_near") == 1) & value.rlike(r"^[A-Za-z0-9+/_=-]{16,}$") & value.rlike("[0-9]")
-    return features.withColumn("label", F.when(known, 1).when(other, 0).when(told, 1))
+    prose = (F.col("assigned") == 0) & (F.col("dictionary_coverage") == 1)
+    return features.withColumn("label", F.when(known, 1).when(other, 0).when(told, 1).when(prose, 0))
 
 
 @dataclass

@@ -108,6 +108,19 @@ def test_secrets(spark):
     assert scan_secrets(found, none).filter("is_secret").count() == 400
 
 
+def test_values_beside_secret_words_are_candidates(spark):
+    texts = {
+        "pwd: hunter2": "hunter2", 'x secret = "Tr0ub4dor&3" y': "Tr0ub4dor&3", 'password = "correct-horse-battery-staple"': "correct-horse-battery-staple",
+        "token abcdefghijklmnopqrstuvwxyzabcdef": "abcdefghijklmnopqrstuvwxyzabcdef", "my password is swordfish": "swordfish",
+        "run --password=x1 now": "x1", "db_password=abc": "abc", '{"api_key": "k"}': "k", "PASSWD:$$$": "$$$", "auth := q": "q",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.value) for r in rule_labels(secret_features(docs)).collect()}
+    assert {(i, value) for i, value in enumerate(texts.values())} <= found
+    plain = spark.createDataFrame([(1, "the authors kept a short tokenizer, nothing else"), (2, "password=x1 kept")], "doc_id long, text string")
+    assert got(secret_features(plain), "doc_id", "value") == [(2, "x1")]
+
+
 # --- token counts
 
 
