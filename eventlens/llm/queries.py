@@ -12,6 +12,7 @@ from eventlens.llm.common import scratch, stored
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.language_id import fit_language_id, identify_languages
+from eventlens.llm.merkle import folded, hashed, merkle_manifest, siblings, told
 from eventlens.llm.mixing import mix_sources
 from eventlens.llm.ngram_join import ngram_join
 from eventlens.llm.repeats import remove_repeats
@@ -108,6 +109,24 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def merkle_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the manifest, and what becomes of its proofs where line ends were cut."""
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    cut = {"text": F.replace(docs["text"], F.lit("\n"), F.lit(""))}
+    tampered = F.when(_remainder(2) == 0, hashed(*(told(cut.get(c, docs[c])) for c in columns)))
+    rows = merkle_manifest(docs, columns, carry={"tampered": tampered})
+    again = folded(F.coalesce("carried.tampered", "leaf"), F.col("path"))
+    return rows.withColumn("folded_root", again).select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+        F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digests(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -120,4 +139,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_salvage": op8_warc_salvage,
         "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
