@@ -107,6 +107,40 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN r ON p.html = r.html
 """
 
+#: One round: distances to all centroids, the nearest of each vector, and their means.
+_ROUND = """
+a{r} AS MATERIALIZED (
+  SELECT id, v, c, d FROM (
+    SELECT id, v, c, list_sum(list_transform(list_zip(v, x), lambda p: (p[1] - p[2]) ** 2))::BIGINT AS d
+    FROM k CROSS JOIN c{r})
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1),
+c{s} AS MATERIALIZED (
+  SELECT c, list(coalesce(m, old) ORDER BY i) AS x FROM (
+    SELECT c, i, x[i] AS old, (t - ((t % n) + n) % n) // n AS m
+    FROM (SELECT c, x, unnest(range(1, 65)) AS i FROM c{r})
+    LEFT JOIN (
+      SELECT c, i, sum(y)::BIGINT AS t, count(*) AS n
+      FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS y FROM a{r}) GROUP BY c, i) USING (c, i))
+  GROUP BY c),
+"""
+
+OP11 = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS x FROM k
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), v) <= 40),
+{"".join(_ROUND.format(r=r, s=r + 1) for r in range(6))}
+inertia AS (SELECT c, sum(d)::BIGINT AS s FROM a5 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, s AS cluster_inertia,
+  (SELECT sum(s)::BIGINT FROM inertia) AS inertia,
+  sha256(array_to_string(x, ',')) AS centroid_sha256
+FROM a5 JOIN k USING (id) JOIN inertia USING (c) JOIN c5 USING (c)
+"""
+
 # Levels of the trees are lists of hashes; CRC-32 is computed bit by bit.
 OP13 = r"""
 WITH RECURSIVE d AS (
@@ -179,5 +213,6 @@ def llm_oracles() -> dict[str, str]:
         "op4_exact_dedup": OP4,
         "op6_suffix_array_dedup": OP6,
         "op8_warc_salvage": OP8,
+        "op11_centroid_clustering": OP11,
         "op13_merkle_manifest": OP13,
     }

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.llm.centroids import cluster_vectors, digests, with_inertia
 from eventlens.llm.common import scratch, stored
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
@@ -109,6 +110,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return with_inertia(assigned).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        digests(centroids).alias("centroid_sha256"),
+    )
+
+
 def merkle_digests(docs: DataFrame) -> DataFrame:
     """Digests of the manifest, and what becomes of its proofs where line ends were cut."""
     columns = ("doc_id", "source", "lang", "n_chars", "text")
@@ -139,5 +148,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_salvage": op8_warc_salvage,
         "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
+        "op11_centroid_clustering": op11_centroid_clustering,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
