@@ -18,6 +18,7 @@ from eventlens.llm.mixing import mix_sources
 from eventlens.llm.ngram_join import ngram_join
 from eventlens.llm.repeats import remove_repeats
 from eventlens.llm.secrets import fit_secret_filter, rule_labels, scan_secrets, secret_features
+from eventlens.llm.simhash import simhash_join
 from eventlens.llm.token_counts import count_tokens, unigram_pieces
 from eventlens.llm.toxicity import fit_characters, fit_toxicity, score_toxicity
 from eventlens.llm.warc import read_warc, warc_records, write_warc
@@ -118,6 +119,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = simhash_join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "fingerprint", "component_id")
+
+
 def merkle_digests(docs: DataFrame) -> DataFrame:
     """Digests of the manifest, and what becomes of its proofs where line ends were cut."""
     columns = ("doc_id", "source", "lang", "n_chars", "text")
@@ -149,5 +155,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_source_mixing": op10_source_mixing,
         "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_simhash_near_dedup": op12_simhash_near_dedup,
         "op13_merkle_manifest": op13_merkle_manifest,
     }

@@ -184,3 +184,33 @@ def merkle(rows, run=3):
                     j //= run
             out.append((r[0], trees[s][0][i], trees[s][-1][0], top[-1][0], sha(proof), h, h == top[-1][0]))
     return out
+
+
+def simhash(text, n=4):
+    import xxhash
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+    grams = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def close_components(prints, bits=4):
+    """The smallest position that each fingerprint reaches by links."""
+    least = list(range(len(prints)))
+    todo, seen = [], set()
+    for i in range(len(prints)):
+        if i in seen:
+            continue
+        todo, group = [i], []
+        seen.add(i)
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            for j in range(len(prints)):
+                if j not in seen and (prints[x] ^ prints[j]).bit_count() <= bits:
+                    seen.add(j)
+                    todo.append(j)
+        for x in group:
+            least[x] = min(group)
+    return least
