@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
+from copy import copy
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens import schema as S
@@ -15,7 +17,19 @@ from eventlens.operators import stages as st
 from eventlens.operators import tasks as tk
 from eventlens.plans import flatten, metrics
 from eventlens.session import Store, configure
-from eventlens.sources import bad_lines, event_counts, parse_events, read_events, source_files
+from eventlens.sources import (
+    bad_of,
+    counts_of,
+    decode_lines,
+    events_of,
+    read_events,
+    source_files,
+)
+
+
+def _told() -> tuple[Column, Column]:
+    """What tells the rows of a DataFrame: their number, and a hash of them all."""
+    return F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(log_id, seq, value))").alias("hash")
 
 
 class LogFacts:
@@ -27,14 +41,19 @@ class LogFacts:
     are decoded once and written there as Parquet, and so is each table when it is
     first asked for.  Later tables and reports read the columns they need from these
     files, and a lost executor costs no more than its own tasks.  A store can be opened
-    later (``source`` may then be None) and a broken run resumed.  It notes the files it
-    was made from; opening it with other, changed or added files raises an error.  Tables
+    later (``source`` may then be None) and a broken run resumed.
+
+    A store notes the files it was made from.  Opened with a folder that has gained
+    files since, it decodes the logs of these files only, and the tables of these logs
+    are made and put beside the others; a log that grew takes the place of its former
+    rows.  Files that are gone raise an error, and so does another DataFrame.  Tables
     that depend on ``match`` or ``initial_plans`` have names of their own, and
     ``strict`` holds for a reopened store too.
 
-    Without ``store`` the decoded events and the tables are persisted by Spark (memory
+    Without ``store`` the decoded lines and the tables are persisted by Spark (memory
     and disk, lineage kept) when they are first computed; :meth:`unpersist` lets go of
-    them.  Either way each line is decoded once.
+    them, and of no other object's.  Either way each line is decoded once: events,
+    :attr:`event_counts`, :attr:`bad_lines` and ``strict`` come from the same pass.
 
     ``partitions`` is the number of partitions of the task fold, by far the largest
     shuffle; take some 128 MB of decoded text for each.  By default the session's
@@ -57,32 +76,70 @@ class LogFacts:
         self.spark = configure(spark)
         if source is None and store is None:
             raise ValueError("either a source or a store is needed")
+        self.source = source
         self.lines = None if source is None else read_events(spark, source)
         self.strict = strict
         self.match = match
         self.initial_plans = initial_plans
         self.partitions = partitions
         self._made: dict[str, DataFrame] = {}
+        self._owner = uuid.uuid4().hex
         self.store = Store(spark, store) if store else None
+        self._part: int | None = None
+        self._parts: list[LogFacts] = []
         if self.store:
-            if isinstance(source, DataFrame):
-                source = {"rows": source.schema.simpleString()}
-            elif source is not None:
-                source = source_files(spark, source)
-            self.store.open(source)
+            self._open()
             if strict and not self.bad_lines.isEmpty():
                 raise ValueError("malformed event line in log " + str(self.bad_lines.first()[0]))
 
+    def _open(self) -> None:
+        if self.source is None:
+            self.store.open()
+        elif isinstance(self.source, DataFrame):
+            self.store.open_rows({"rows": self.source.schema.simpleString()})
+            known = self.store.made("events", 0)
+            if known and known["rows"] != list(self.lines.agg(*_told()).first()):
+                raise ValueError(f"the store at {self.store.path} was made from other rows")
+        else:
+            source = [self.source] if isinstance(self.source, str) else list(self.source)
+            self.store.open_files(source, source_files(self.spark, self.source))
+        for part in self.store.parts:
+            facts = copy(self)
+            facts._part, facts._made = part, {}
+            self._parts.append(facts)
+
     def _table(
-        self, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()
+        self,
+        name: str,
+        make: Callable[[LogFacts], DataFrame],
+        partition_by: tuple[str, ...] = (),
+        say: Callable[[], dict] = dict,
     ) -> DataFrame:
+        """A table by its name; ``make`` makes it from the other tables of the same part."""
         if name not in self._made:
-            if self.store:
-                self._made[name] = self.store.table(name, make, partition_by)
+            if not self.store:
+                # The condition makes the plan this object's own: Spark looks tables up by
+                # their plans, and another object's unpersist would let go of this one.
+                own = F.lit(self._owner) == F.lit(self._owner)
+                self._made[name] = make(self).filter(own).persist(StorageLevel.MEMORY_AND_DISK)
+            elif self._part is not None:
+                self._made[name] = self.store.make(
+                    name, self._part, lambda: make(self), partition_by, say
+                )
             else:
-                self._made[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+                for part in self._parts:
+                    part._table(name, make, partition_by, say)
+                self._made[name] = self.store.table(name)
         return self._made[name]
 
+    def _lines(self) -> DataFrame:
+        """The lines of this part: all, or those of the files that it added."""
+        if self.lines is None:
+            raise ValueError(f"the store at {self.store.path} has no events; open it with its source")
+        if not self.store or len(self.store.parts) == 1:
+            return self.lines
+        return read_events(self.spark, self.store.files_of(self._part), self.source)
+
     def _plans(self, name: str) -> str:
         """Name of a table that depends on which plans are read."""
         return f"{name}-initial" if self.initial_plans else name
@@ -101,53 +158,68 @@ class LogFacts:
         """The same tables, limited to one log; None for all of them."""
         return self if log_id is None else OneLog(self, log_id)
 
+    @property
+    def _decoded(self) -> DataFrame:
+        """All lines, decoded once; see :func:`eventlens.sources.decode_lines`."""
+        seen = Observation()
+
+        def make(part: LogFacts) -> DataFrame:
+            lines = part._lines()
+            if part.store and isinstance(part.source, DataFrame):
+                lines = lines.observe(seen, *_told())
+            return decode_lines(lines, part.strict and not part.store)
+
+        def say() -> dict:
+            return {"rows": list(seen.get.values())} if isinstance(self.source, DataFrame) else {}
+
+        return self._table("events", make, ("event",), say)
+
     @property
     def events(self) -> DataFrame:
         """Typed events of the ten kinds."""
-        return self._table(
-            "events", lambda: parse_events(self.lines, S.KINDS, self.strict), ("event",)
-        )
+        return events_of(self._decoded)
 
     @property
     def event_counts(self) -> DataFrame:
         """Lines per event name, those that are not used further included."""
-        return self._table("event_counts", lambda: event_counts(self.lines))
+        return self._table("event_counts", lambda f: counts_of(f._decoded))
 
     @property
     def bad_lines(self) -> DataFrame:
-        return self._table("bad_lines", lambda: bad_lines(self.lines))
+        """Lines that are no JSON objects."""
+        return bad_of(self._decoded)
 
     @property
     def executions(self) -> DataFrame:
         return self._table(
-            "executions", lambda: ex.executions(self._events(S.SQL_START, S.SQL_END))
+            "executions", lambda f: ex.executions(f._events(S.SQL_START, S.SQL_END))
         )
 
     @property
     def driver_accums(self) -> DataFrame:
-        return self._table("driver_accums", lambda: ex.driver_accums(self._events(S.SQL_ACCUMS)))
+        return self._table("driver_accums", lambda f: ex.driver_accums(f._events(S.SQL_ACCUMS)))
 
     @property
     def jobs(self) -> DataFrame:
-        return self._table("jobs", lambda: jb.jobs(self._events(S.JOB_START, S.JOB_END)))
+        return self._table("jobs", lambda f: jb.jobs(f._events(S.JOB_START, S.JOB_END)))
 
     @property
     def job_stages(self) -> DataFrame:
-        return self._table("job_stages", lambda: jb.job_stages(self._events(S.JOB_START)))
+        return self._table("job_stages", lambda f: jb.job_stages(f._events(S.JOB_START)))
 
     @property
     def stage_submissions(self) -> DataFrame:
         """Submitted stage attempts with their job."""
         return self._table(
             "stage_submissions",
-            lambda: st.stage_job_asof(self._events(S.JOB_START, S.STAGE_SUBMITTED)),
+            lambda f: st.stage_job_asof(f._events(S.JOB_START, S.STAGE_SUBMITTED)),
         )
 
     @property
     def stages(self) -> DataFrame:
         return self._table(
             "stages",
-            lambda: st.stages(self._events(S.STAGE_COMPLETED), self.stage_submissions),
+            lambda f: st.stages(f._events(S.STAGE_COMPLETED), f.stage_submissions),
         )
 
     @property
@@ -158,14 +230,14 @@ class LogFacts:
     def stage_accumulables(self) -> DataFrame:
         return self._table(
             "stage_accumulables",
-            lambda: st.stage_accumulables(self._events(S.STAGE_COMPLETED)),
+            lambda f: st.stage_accumulables(f._events(S.STAGE_COMPLETED)),
         )
 
     @property
     def _tasks(self) -> DataFrame:
         return self._table(
             "tasks",
-            lambda: tk.tasks_with_accums(self._events(S.TASK_START, S.TASK_END), self.partitions),
+            lambda f: tk.tasks_with_accums(f._events(S.TASK_START, S.TASK_END), f.partitions),
         )
 
     @property
@@ -181,32 +253,32 @@ class LogFacts:
         """Nodes of every final plan event, before later ones replace earlier ones."""
         return self._table(
             self._plans("plan_tree"),
-            lambda: flatten.flatten_plans(
-                self._events(S.SQL_PLAN, S.SQL_START), self.initial_plans
+            lambda f: flatten.flatten_plans(
+                f._events(S.SQL_PLAN, S.SQL_START), f.initial_plans
             ),
         )
 
     @property
     def plan_nodes(self) -> DataFrame:
-        return self._table(self._plans("plan_nodes"), lambda: flatten.plan_nodes(self.plan_tree))
+        return self._table(self._plans("plan_nodes"), lambda f: flatten.plan_nodes(f.plan_tree))
 
     @property
     def plan_metrics(self) -> DataFrame:
-        return self._table(self._plans("plan_metrics"), lambda: flatten.plan_metrics(self.plan_tree))
+        return self._table(self._plans("plan_metrics"), lambda f: flatten.plan_metrics(f.plan_tree))
 
     @property
     def resolved_metrics(self) -> DataFrame:
         """Stage accumulators with their operators; read several times by the next table."""
         return self._table(
             self._plans("resolved_metrics"),
-            lambda: metrics.resolve_stage_metrics(self.stage_accumulables, self.plan_metrics),
+            lambda f: metrics.resolve_stage_metrics(f.stage_accumulables, f.plan_metrics),
         )
 
     @property
     def stage_plan_metrics(self) -> DataFrame:
         return self._table(
             self._plans("stage_plan_metrics") + ("" if self.match == "exact" else f"-{self.match}"),
-            lambda: metrics.stage_plan_metrics(self.resolved_metrics, self.match),
+            lambda f: metrics.stage_plan_metrics(f.resolved_metrics, f.match),
         )
 
     TABLES = (

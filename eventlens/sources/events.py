@@ -13,6 +13,8 @@ from eventlens.sources.lines import skip_blank
 
 _EVENT_FIRST = '{"Event":"'
 _NAME_ONLY = "`Event` STRING"
+#: What ``event`` is in :func:`decode_lines` for lines of other kinds, and for bad ones.
+OTHER, BAD = "_other", "_bad"
 
 
 def _may_be(value: Column, kinds: Sequence[str]) -> Column:
@@ -70,11 +72,57 @@ def parse_events(
     event = F.col("j.Event")
     if kinds is not None:
         decoded = decoded.filter(event.isin(*kinds))
+    return decoded.select("log_id", "seq", event.alias("event"), *_typed())
 
+
+def decode_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """Every line that is not blank, decoded once: events, other lines and bad lines.
+
+    Events of the ten kinds have their typed columns, as from :func:`parse_events`.
+    Other lines have ``event`` :data:`OTHER`, and ``name`` is their event's name;
+    bad lines have ``event`` :data:`BAD`, and ``value`` is the line.  Written by ``event``,
+    each of them is a partition of its own.  With ``strict`` a bad line raises.
+    """
+    decoded = _decode(lines)
+    name = F.col("j.Event")
+    known = F.coalesce(name.isin(*S.KINDS), F.lit(False))
+    bad = F.lit(BAD)
+    if strict:
+        bad = F.raise_error(
+            F.concat(F.lit("malformed event line in log "), F.coalesce("log_id", F.lit("?")))
+        ).cast("string")
     return decoded.select(
         "log_id",
         "seq",
-        event.alias("event"),
+        F.when(F.col("is_bad"), bad).when(known, name).otherwise(F.lit(OTHER)).alias("event"),
+        F.when(~known, name).alias("name"),
+        F.when(F.col("is_bad"), F.col("value")).alias("value"),
+        *_typed(),
+    )
+
+
+def events_of(decoded: DataFrame) -> DataFrame:
+    """The typed events in what :func:`decode_lines` made."""
+    return decoded.filter(~F.col("event").isin(OTHER, BAD)).drop("name", "value")
+
+
+def counts_of(decoded: DataFrame) -> DataFrame:
+    """:func:`event_counts` of what :func:`decode_lines` made."""
+    name = F.when(F.col("event") == OTHER, F.col("name")).otherwise(F.col("event"))
+    return (
+        decoded.filter(F.col("event") != BAD)
+        .groupBy("log_id", name.alias("event")).agg(F.count("*").alias("n"))
+    )
+
+
+def bad_of(decoded: DataFrame) -> DataFrame:
+    """:func:`bad_lines` of what :func:`decode_lines` made."""
+    return decoded.filter(F.col("event") == BAD).select("log_id", "seq", "value")
+
+
+def _typed() -> list[Column]:
+    event = F.col("j.Event")
+    return [
         F.col("j.executionId").alias("execution_id"),
         F.col("j.rootExecutionId").alias("root_execution_id"),
         F.col("j.description").alias("description"),
@@ -90,7 +138,7 @@ def parse_events(
         F.when(event.isin(S.JOB_START, S.JOB_END), _job()).alias("job"),
         F.when(event.isin(S.STAGE_SUBMITTED, S.STAGE_COMPLETED), _stage()).alias("stage"),
         F.when(event.isin(S.TASK_START, S.TASK_END), _task()).alias("task"),
-    )
+    ]
 
 
 def _job() -> Column:

@@ -72,7 +72,7 @@ def test_without_a_store_lines_are_decoded_once(spark):
         if "InMemoryRelation" in line and below is None:
             below = depth
         assert "FileScan text" not in line or below is not None
-    assert facts.events.is_cached
+    assert "InMemoryRelation" in plan(facts.events)
     facts.unpersist()
 
 

@@ -47,9 +47,6 @@ def test_a_store_knows_its_source(spark, tmp_path):
     assert rows(LogFacts(spark, None, store=store).tasks, "task_id") == [(1,)]
     with pytest.raises(ValueError, match="was made from"):
         LogFacts(spark, str(tmp_path / "two"), store=store)
-    write(tmp_path / "one/more", [task_end(2)])
-    with pytest.raises(ValueError, match="was made from"):
-        LogFacts(spark, str(tmp_path / "one"), store=store)
     with pytest.raises(ValueError, match="no store"):
         LogFacts(spark, None, store=str(tmp_path / "nothing"))
 
@@ -70,3 +67,112 @@ def test_unreadable_codecs_raise(spark, tmp_path):
     write(tmp_path / "app.lzf", [task_end(1)])
     with pytest.raises(Exception, match="cannot read the codec"):
         LogFacts(spark, str(tmp_path)).tasks.collect()
+
+
+def count_decoded(spark, monkeypatch):
+    """Lines that are decoded from now on."""
+    from eventlens import facts as module
+
+    seen, whole = [], module.decode_lines
+
+    def counted(lines, strict=False):
+        seen.append(rows(lines, "log_id", "value"))
+        return whole(lines, strict)
+
+    monkeypatch.setattr(module, "decode_lines", counted)
+    return seen
+
+
+def every_table(facts):
+    return {n: rows(getattr(facts, n)) for n in (*facts.TABLES, "event_counts", "bad_lines")}
+
+
+def test_added_logs_are_decoded_alone(spark, tmp_path, monkeypatch):
+    """A folder that gains logs, a rolled file of a known log, and lines of a known file."""
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    write(logs / "a", [task_end(1), task_end(2), "{broken"])
+    write(logs / "eventlog_v2_r/events_1_r", [task_end(1)])
+    assert LogFacts(spark, str(logs), store=store).build().tasks.count() == 3
+
+    seen = count_decoded(spark, monkeypatch)
+    assert LogFacts(spark, str(logs), store=store).build().tasks.count() == 3
+    assert seen == []
+    write(logs / "b", [task_end(7)])
+    grown = LogFacts(spark, str(logs), store=store).build()
+    assert [r[0] for part in seen for r in part] == ["b"]
+    assert rows(grown.tasks, "log_id", "task_id") == [("a", 1), ("a", 2), ("b", 7), ("eventlog_v2_r", 1)]
+
+    seen.clear()
+    write(logs / "eventlog_v2_r/events_2_r", [task_end(5)])
+    write(logs / "a", [task_end(1), task_end(2), "{broken", task_end(3), "[bad"])
+    grown = LogFacts(spark, str(logs), store=store)
+    got = every_table(grown)
+    assert {r[0] for part in seen for r in part} == {"a", "eventlog_v2_r"}
+    monkeypatch.undo()
+    assert got == every_table(LogFacts(spark, str(logs), store=str(tmp_path / "fresh")))
+    assert got == every_table(LogFacts(spark, None, store=store))
+    assert len(got["tasks"]) == 6 and len(got["bad_lines"]) == 2
+
+    (logs / "b").unlink()
+    with pytest.raises(ValueError, match="are missing"):
+        LogFacts(spark, str(logs), store=store)
+
+
+def test_logs_without_known_events(spark, tmp_path):
+    other = json.dumps({"Event": "SparkListenerOther"})
+    empty = spark.createDataFrame([], "log_id string, seq bigint, value string")
+    for i, source in enumerate((empty, spark.createDataFrame([("a", 0, other)], empty.schema))):
+        facts = LogFacts(spark, source, store=str(tmp_path / f"store{i}")).build()
+        assert all(getattr(facts, name).count() == 0 for name in facts.TABLES)
+        assert facts.event_counts.count() == i and facts.events.count() == 0
+    write(tmp_path / "logs/app", [])
+    assert LogFacts(spark, str(tmp_path / "logs"), store=str(tmp_path / "s")).build().tasks.count() == 0
+
+
+def test_another_dataframe_is_refused(spark, tmp_path):
+    schema, store = "log_id string, seq bigint, value string", str(tmp_path / "store")
+    first = spark.createDataFrame([("a", 0, json.dumps(task_end(1)))], schema)
+    LogFacts(spark, first, store=store).tasks  # noqa: B018
+    assert rows(LogFacts(spark, first, store=store).tasks, "task_id") == [(1,)]
+    other = spark.createDataFrame([("a", 0, json.dumps(task_end(2)))], schema)
+    with pytest.raises(ValueError, match="other rows"):
+        LogFacts(spark, other, store=store)
+    write(tmp_path / "logs/app", [task_end(1)])
+    with pytest.raises(ValueError, match="was made from"):
+        LogFacts(spark, str(tmp_path / "logs"), store=store)
+
+
+def bare_text_scans(df):
+    """Scans of text that do not stand below a persisted table."""
+    found, below = 0, None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        if below is not None and depth <= below:
+            below = None
+        if "InMemoryRelation" in line and below is None:
+            below = depth
+        found += "FileScan text" in line and below is None
+    return found
+
+
+def test_release_of_one_keeps_the_other(spark, tmp_path):
+    from eventlens.reports.summary import execution_trace
+
+    write(tmp_path / "logs/app", [task_end(1), "{broken"])
+    one, other = (LogFacts(spark, str(tmp_path / "logs")) for _ in range(2))
+    for facts in (one, other):
+        assert facts.build().tasks.count() == 1
+    one.unpersist()
+    assert bare_text_scans(execution_trace(other, task_breakdown=True)) == 0
+    third = LogFacts(spark, str(tmp_path / "logs"))
+    assert bare_text_scans(execution_trace(third, task_breakdown=True)) == 0
+    assert bare_text_scans(third.event_counts) == bare_text_scans(third.bad_lines) == 0
+    assert rows(third.bad_lines, "value") == [("{broken",)]
+    other.unpersist(), third.unpersist()
+
+
+def test_counts_and_bad_lines_scan_no_text_beside_a_store(spark, tmp_path):
+    write(tmp_path / "logs/app", [task_end(1), "{broken"])
+    facts = LogFacts(spark, str(tmp_path / "logs"), store=str(tmp_path / "store"))
+    for df in (facts.events, facts.event_counts, facts.bad_lines):
+        assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()

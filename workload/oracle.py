@@ -320,6 +320,28 @@ _QUERIES = {
           UNION ALL SELECT log_id, 'SparkListenerStageCompleted', count(*) FROM sub0 GROUP BY ALL
           UNION ALL SELECT log_id, 'SparkListenerTaskStart', count(*) FROM tsk GROUP BY ALL
           UNION ALL SELECT log_id, 'SparkListenerTaskEnd', count(*) FROM done GROUP BY ALL)""",
+    "read_events_added": """
+        SELECT log_id, CASE WHEN event LIKE 'SparkListenerSQL%' OR event LIKE '%DriverAccum%'
+                            THEN 'org.apache.spark.sql.execution.ui.' ELSE '' END || event AS event, n
+        FROM (
+          SELECT log_id, 'SparkListenerSQLExecutionStart' AS event, count(*) AS n FROM exe GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerSQLAdaptiveExecutionUpdate', 2 * count(*)
+                    FROM exe GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerDriverAccumUpdates', 2 * count(*) FROM exe GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerBlockManagerAdded', count(*) FROM exe GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerSQLExecutionEnd', count(*) FROM exe
+                    WHERE execution_id <> 3 GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerJobStart', count(*) FROM job GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerJobEnd', count(*) FROM job WHERE job_id <> 24
+                    GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerStageSubmitted', count(*) FROM sub GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerStageCompleted', count(*) FROM sub0 GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerTaskStart', count(*) FROM tsk GROUP BY ALL
+          UNION ALL SELECT log_id, 'SparkListenerTaskEnd', count(*) FROM done GROUP BY ALL)""",
+    "bad_lines": """
+        SELECT log_id, 50000000000 + task_id AS seq,
+               '{"Event":"SparkListenerTaskStart","Stage' AS value
+        FROM tsk WHERE (50000000000 + task_id) % 97 = 13""",
     "executions": """
         SELECT *, start_ms / 1000.0::DOUBLE AS epoch_start_time,
                strftime(make_timestamp(start_ms * 1000), '%d-%m-%Y %H:%M:%S') AS start_time,

@@ -144,6 +144,29 @@ def q_route_events(spark, sf_dir):
     return facts_of(spark, sf_dir).event_counts
 
 
+def q_bad_lines(spark, sf_dir):
+    """Lines that are no JSON, of logs in which every 97th task start was cut off."""
+    cut = F.col("seq").between(50 * 10**9, 60 * 10**9 - 1) & (F.col("seq") % 97 == 13)
+    lines = lines_of(spark, sf_dir)
+    damaged = lines.withColumn("value", F.when(cut, F.left("value", F.lit(40))).otherwise(F.col("value")))
+    return LogFacts(spark, damaged, store=shared_folder(spark, "damaged")).bad_lines
+
+
+def q_read_events_added(spark, sf_dir):
+    """Events per log of a folder that gained logs after its store was made."""
+    folder, store = shared_folder(spark, "history"), shared_folder(spark, "grown")
+    lines = lines_of(spark, sf_dir)
+    late = F.substring_index("log_id", "-", -1).cast("int") % 2 == 1
+    counts = None
+    for some in (~late, late):
+        (
+            lines.filter(some).repartitionByRange("log_id", "seq").sortWithinPartitions("log_id", "seq")
+            .select("log_id", "value").write.mode("append").partitionBy("log_id").text(folder)
+        )
+        counts = LogFacts(spark, folder, store=store).event_counts
+    return _log_name(counts)
+
+
 # --- executions and jobs
 
 
