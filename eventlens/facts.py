@@ -266,19 +266,25 @@ class LogFacts:
     def plan_metrics(self) -> DataFrame:
         return self._table(self._plans("plan_metrics"), lambda f: flatten.plan_metrics(f.plan_tree))
 
+    def _by_match(self, name: str) -> str:
+        """Name of a table that depends on what counts as a scan, too."""
+        return self._plans(name) + ("" if self.match == "exact" else f"-{self.match}")
+
     @property
-    def resolved_metrics(self) -> DataFrame:
-        """Stage accumulators with their operators; read several times by the next table."""
+    def stage_plan_metrics(self) -> DataFrame:
         return self._table(
-            self._plans("resolved_metrics"),
-            lambda f: metrics.resolve_stage_metrics(f.stage_accumulables, f.plan_metrics),
+            self._by_match("stage_plan_metrics"),
+            lambda f: metrics.stage_plan_metrics(
+                metrics.resolve_stage_metrics(f.stage_accumulables, f.plan_metrics), f.match
+            ),
         )
 
     @property
-    def stage_plan_metrics(self) -> DataFrame:
+    def stage_scans(self) -> DataFrame:
+        """What the topmost scans and filters of each stage counted; read by many reports."""
         return self._table(
-            self._plans("stage_plan_metrics") + ("" if self.match == "exact" else f"-{self.match}"),
-            lambda f: metrics.stage_plan_metrics(f.resolved_metrics, f.match),
+            self._by_match("stage_scans"),
+            lambda f: metrics.stage_scans(f.stage_plan_metrics, f.match),
         )
 
     TABLES = (
@@ -294,6 +300,7 @@ class LogFacts:
         "plan_nodes",
         "plan_metrics",
         "stage_plan_metrics",
+        "stage_scans",
     )
 
     def build(self) -> LogFacts:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens import schema as S
-from eventlens.functions import is_ancestor, path_key, strip
+from eventlens.functions import is_ancestor, path_key, strip, to_int
 
 ROW_COUNT = "number of output rows"
 SCAN = "Scan parquet"
@@ -57,38 +57,61 @@ def resolve_stage_metrics(stage_accumulables: DataFrame, plan_metrics: DataFrame
     )
 
 
-def post_scan_filters(resolved: DataFrame, match: str = "exact") -> DataFrame:
-    """(stage, acc_id) of the nearest filter above the deepest scan of each stage."""
-    rows = resolved.filter(is_metric(F.col("metric_name"), ROW_COUNT))
+def stage_plan_metrics(resolved: DataFrame, match: str = "exact") -> DataFrame:
+    """:func:`resolve_stage_metrics` with the post-scan filters marked.
+
+    The post-scan filter of a stage is the nearest one above its deepest scan.  Both are
+    found among the stage's own metrics, in one window pass over them.
+    """
+    stage = Window.partitionBy(*S.STAGE_KEY)
     # On equal paths the metric listed first wins.
     at = F.struct("path_key", (-F.col("pos")).alias("pos"))
-    scans = (
-        rows.filter(is_scan(F.col("node_name"), match))
-        .groupBy(*S.STAGE_KEY)
-        .agg(F.max_by("node_path", at).alias("scan_path"))
-    )
+    counted = is_metric(F.col("metric_name"), ROW_COUNT)
+    scans = counted & is_scan(F.col("node_name"), match)
+    above = is_ancestor(F.col("node_path"), F.col("scan_path"))
+    filters = counted & is_filter(F.col("node_name")) & above
     return (
-        rows.filter(is_filter(F.col("node_name")))
-        .join(scans, S.STAGE_KEY)
-        .filter(is_ancestor(F.col("node_path"), F.col("scan_path")))
-        .groupBy(*S.STAGE_KEY)
-        .agg(F.max_by("acc_id", at).alias("acc_id"))
+        resolved.withColumn("scan_path", F.max_by("node_path", F.when(scans, at)).over(stage))
+        .withColumn("nearest", F.max_by("acc_id", F.when(filters, at)).over(stage))
+        .select(
+            *S.STAGE_KEY,
+            "acc_id",
+            "value",
+            "node_name",
+            "node_path",
+            "metric_name",
+            "file_name",
+            "schema_name",
+            F.when(F.col("acc_id") == F.col("nearest"), "post_scan").alias("filter_role"),
+            "path_key",
+            "pos",
+        )
     )
 
 
-def stage_plan_metrics(resolved: DataFrame, match: str = "exact") -> DataFrame:
-    """:func:`resolve_stage_metrics` with the post-scan filters marked."""
-    marked = post_scan_filters(resolved, match).withColumn("filter_role", F.lit("post_scan"))
-    return resolved.join(marked, [*S.STAGE_KEY, "acc_id"], "left").select(
-        *S.STAGE_KEY,
-        "acc_id",
-        "value",
-        "node_name",
-        "node_path",
-        "metric_name",
-        "file_name",
-        "schema_name",
-        "filter_role",
-        "path_key",
-        "pos",
+def stage_scans(metrics: DataFrame, match: str = "exact") -> DataFrame:
+    """One row per stage attempt with a scan or a filter: what the topmost ones counted.
+
+    ``filter_rows`` is that of the topmost filter, ``post_scan_rows`` that of the marked one.
+    """
+
+    def topmost(what: Column, when: Column) -> Column:
+        # Topmost path; of equal paths the last listed.
+        at = F.struct("path_key", (-F.col("pos")).alias("pos"))
+        return F.min_by(F.struct(what.alias("v")), F.when(when, at))["v"]
+
+    scan = is_scan(F.col("node_name"), match)
+    rows = is_metric(F.col("metric_name"), ROW_COUNT)
+    filters = is_filter(F.col("node_name")) & rows
+    value = to_int(F.col("value"))
+    return (
+        metrics.filter(scan | filters)
+        .groupBy(*S.STAGE_KEY)
+        .agg(
+            topmost(value, scan & rows).alias("scan_rows"),
+            topmost(value, scan & is_metric(F.col("metric_name"), "scan time")).alias("scan_time_ms"),
+            topmost(F.col("file_name"), scan).alias("file_name"),
+            topmost(value, filters).alias("filter_rows"),
+            topmost(value, filters & F.col("filter_role").eqNullSafe("post_scan")).alias("post_scan_rows"),
+        )
     )

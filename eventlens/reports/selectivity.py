@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens import schema as S
 from eventlens.facts import LogFacts
-from eventlens.functions import to_int
-from eventlens.plans.metrics import ROW_COUNT, is_filter, is_metric, is_scan
 
 
 def scan_selectivity(
@@ -22,31 +20,18 @@ def scan_selectivity(
     ``filtered_out_pct`` are what their names say.
     """
 
-    def topmost(what: Column, when: Column) -> Column:
-        # Topmost path; of equal paths the last listed.
-        at = F.struct("path_key", (-F.col("pos")).alias("pos"))
-        return F.min_by(F.struct(what.alias("v")), F.when(when, at))["v"]
-
-    scan = is_scan(F.col("node_name"), facts.match)
-    rows = is_metric(F.col("metric_name"), ROW_COUNT)
-    filters = is_filter(F.col("node_name")) & rows
-    if use_post_scan:
-        filters = filters & F.col("filter_role").eqNullSafe("post_scan")
-    value = to_int(F.col("value"))
-
-    metrics = facts.stage_plan_metrics
+    scans = facts.stage_scans
     if stages is not None:
-        metrics = metrics.join(stages.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
+        scans = scans.join(stages.select(*S.STAGE_KEY), S.STAGE_KEY, "left_semi")
     per_stage = (
-        metrics.filter(scan | filters)
-        .groupBy(*S.STAGE_KEY)
-        .agg(
-            topmost(value, scan & rows).alias("scan_rows"),
-            topmost(value, scan & is_metric(F.col("metric_name"), "scan time")).alias("scan_time_ms"),
-            topmost(F.col("file_name"), scan).alias("file_name"),
-            topmost(value, filters).alias("filter_rows"),
+        scans.filter("scan_rows IS NOT NULL OR scan_time_ms IS NOT NULL")
+        .select(
+            *S.STAGE_KEY,
+            "scan_rows",
+            "scan_time_ms",
+            "file_name",
+            F.col("post_scan_rows" if use_post_scan else "filter_rows").alias("filter_rows"),
         )
-        .filter("scan_rows IS NOT NULL OR scan_time_ms IS NOT NULL")
         .withColumn("filtered_out_rows", F.col("scan_rows") - F.col("filter_rows"))
     )
 

@@ -100,3 +100,20 @@ def test_one_log_limits_every_scan(spark, capsys):
     pushed = [line for line in capsys.readouterr().out.splitlines() if line.startswith("PushedFilters")]
     assert len(pushed) > 8
     assert all("EqualTo(log_id,synth-0)" in line for line in pushed)
+
+
+def test_filters_are_marked_without_a_second_read(spark):
+    from workload.queries import facts_of
+
+    from eventlens.plans import metrics as M
+
+    facts = facts_of(spark, SF_DIR)
+    resolved = M.resolve_stage_metrics(facts.stage_accumulables, facts.plan_metrics)
+    assert plan(M.stage_plan_metrics(resolved)).split("== Initial Plan ==")[-1].count("FileScan") == 2
+
+
+def test_scans_of_stages_are_read_as_stored(spark):
+    from workload.queries import facts_of
+
+    text = plan(R.scan_selectivity(facts_of(spark, SF_DIR)))
+    assert "Aggregate" not in text and "Exchange" not in text
