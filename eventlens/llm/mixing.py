@@ -119,6 +119,55 @@ _SCHEMA = pa.schema(
 )
 
 
+def _rounded_together(rows: DataFrame) -> DataFrame:
+    """Rounds the equal fractions of each (source, salt) but for one residual at most.
+
+    The longest document is paired with the pool of all shorter ones, which share one
+    fraction: words pass between the two until the document or the pool is integral, then
+    the next longest is paired with what is left of the pool.  So a long
+    document is decided while there are many words to make up for it, and what stays open is
+    mostly one of the shortest.  Which way words pass is drawn so that no expectation changes.
+    """
+
+    def settle(group: list[dict]) -> list[dict]:
+        rest, p, out = sum(r["size"] for r in group), None, []
+        for i, row in enumerate(group):
+            p, size = row["p"] if p is None else p, row["size"]
+            rest -= size
+            if not size or p <= 1e-12 or p >= 1 - 1e-12:
+                out.append(row | {"p": float(p > 0.5), "open": False})
+                continue
+            if rest <= 0:
+                return [*out, row | {"p": p}, *(r | {"p": 0.0, "open": False} for r in group[i + 1 :])]
+            up, down = min((1 - p) * size, p * rest), min(p * size, (1 - p) * rest)
+            moved = up if row["u"] * (up + down) < down else -down
+            if moved in ((1 - p) * size, -p * size):
+                out.append(row | {"p": float(moved > 0), "open": False})
+                p -= moved / rest
+            else:
+                pool = float(moved < 0)
+                out.append(row | {"p": p + moved / size})
+                return [*out, *(r | {"p": pool, "open": False} for r in group[i + 1 :])]
+        return out
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if group and (row["source"], row["salt"]) != (group[0]["source"], group[0]["salt"]):
+                    yield pa.RecordBatch.from_pylist(settle(group), _SCHEMA)
+                    group = []
+                group.append(row)
+        if group:
+            yield pa.RecordBatch.from_pylist(settle(group), _SCHEMA)
+
+    return (
+        rows.repartition("source", "salt")
+        .sortWithinPartitions("source", "salt", F.desc("size"), "doc_id", "text_key")
+        .mapInArrow(pool, _STATE)
+    )
+
+
 def _draw(seed: int) -> Column:
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_key"), 11)
     return bits.cast("double") / F.lit(float(1 << 53))
@@ -138,11 +187,12 @@ def mix_sources(
     A document's size is its number of words (runs that are not ASCII white space).  All
     documents of a source have the same fractional number of copies, target over size of
     the source.  Its whole part is taken as it is; the fractions are rounded by the
-    pivotal method: pairs pass words until one of the two is integral.  Groups of
-    documents (sources are split by a hash of the document) leave one open fraction each,
-    which meet in groups of ``FAN_IN`` at the next level, until one is left for a source;
-    that one is rounded.  So a source misses its target by half a document at most.  Long
-    documents come first in a group, so that the one left is mostly a short one.
+    pivotal method: two pass words until one of them is integral.  In groups of
+    documents (sources are split by a hash of the document) the longest is paired with all
+    shorter ones, and so on; see :func:`_rounded_together`.  A group leaves one open fraction
+    at most, mostly of a short document.  These are paired in groups of ``FAN_IN`` at the
+    next level, until one is left for a source; that one is rounded to the nearer side.  So
+    a source misses its target by half of that document at most.
 
     Columns: doc_id, text_key, source, size, source_size, target, copies, taken (words).
     Null and empty texts have size 0, and nothing is taken.  Null is a source of its own,
@@ -179,7 +229,8 @@ def mix_sources(
     groups, done, depth = max(1, ceil(largest / GROUP_ROWS)), [], 0
     while True:
         depth += 1
-        level = stored(_rounded(state.withColumn("u", _draw(seed + depth))), f"rounded-{depth}")
+        rounded = _rounded_together if depth == 1 else _rounded
+        level = stored(rounded(state.withColumn("u", _draw(seed + depth))), f"rounded-{depth}")
         done.append(level.filter("not open"))
         state = level.filter("open")
         if groups == 1:
