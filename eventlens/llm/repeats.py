@@ -116,7 +116,7 @@ def _spans(rows: np.ndarray, starts: np.ndarray, length: int):
     return rows[first], starts[first], starts[last] + length
 
 
-_ANCHOR = "doc_id long, text_key int, start int, n int, gram long, run long, again boolean"
+_ANCHOR = "doc_id long, text_key long, start int, n int, gram long, run long, again boolean"
 
 
 def _again(doc_id: pa.Array, text_key, start, gram, run) -> np.ndarray:
@@ -186,7 +186,7 @@ def _frequent(docs: DataFrame, length: int, k: int) -> list[int]:
     return sorted(r[0] for r in top)
 
 
-_SHARED = "doc_id long, text_key int, start int, n int, gram long, hot boolean, later boolean"
+_SHARED = "doc_id long, text_key long, start int, n int, gram long, hot boolean, later boolean"
 
 
 def _shared(found: DataFrame) -> DataFrame:
@@ -251,8 +251,8 @@ def _shared(found: DataFrame) -> DataFrame:
     )
 
 
-_CONTEXT = "doc_id long, text_key int, start int, n int, gram long, hot boolean, bytes binary"
-_SPAN = "doc_id long, text_key int, begin int, end int"
+_CONTEXT = "doc_id long, text_key long, start int, n int, gram long, hot boolean, bytes binary"
+_SPAN = "doc_id long, text_key long, begin int, end int"
 
 
 def _contexts(texts: DataFrame, length: int) -> DataFrame:
@@ -421,7 +421,7 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.hash(text).alias("text_key"),
+        F.xxhash64(text).alias("text_key"),
         text.cast("binary").alias("text"),
     )
     # A row that is there twice is one document, whose places are not earlier than themselves.
@@ -498,7 +498,7 @@ def remove_repeats(
 
     return attach(rows, spans, KEY, "left").mapInArrow(
         cut,
-        "doc_id long, text_key int, n_bytes long, n_removed long, n_spans long, "
+        "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, "
         "spans array<struct<begin: int, end: int>>, kept_sha256 string, kept binary",
     )
 

@@ -134,7 +134,7 @@ def test_remove_repeats_with_frequent_lines(spark, monkeypatch):
     assert got(remove_repeats(docs), *names) == want
     from eventlens.llm import repeats
 
-    grams = [r[0] for r in repeats._anchor_rows(docs.selectExpr("doc_id", "hash(text) as text_key", "cast(text as binary) as text"), 100, 32).select("gram").distinct().collect()]
+    grams = [r[0] for r in repeats._anchor_rows(docs.selectExpr("doc_id", "xxhash64(text) as text_key", "cast(text as binary) as text"), 100, 32).select("gram").distinct().collect()]
     monkeypatch.setattr(repeats, "_frequent", lambda *_: sorted(grams))
     monkeypatch.setattr(repeats, "BATCH_BYTES", 2000)
     assert got(repeats.remove_repeats(docs), *names) == want
@@ -166,3 +166,13 @@ def test_previous_factors():
             want.append(piece in seen)
             seen.add(piece)
         assert previous_factors(data, starts, length).tolist() == want
+
+
+def test_texts_of_one_id_are_told_by_long_hashes(spark):
+    """Two texts of one id whose 32-bit hashes are equal: the repeat in the second goes."""
+    b = "repeated words " * 9
+    rows = [(1, b), (5, "another text of the same id, that is long enough for a string of a hundred bytes " * 2), (5, b), (None, b), (None, "x" * 120)]
+    out = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep_bytes=False)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(P.repeats(rows), key=repr)
+    kinds = dict(out.dtypes)
+    assert kinds["text_key"] == "bigint"
