@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.llm.common import SPACES, keyed, stored
@@ -34,24 +34,28 @@ def merge_runs(runs: DataFrame, fan_in: int = 8) -> DataFrame:
 
     Every partition first reduces its own rows to a run with one row per text.  Then,
     round by round, ``fan_in`` neighbouring runs exchange their rows by (merged run,
-    digest), are put in digest order and merged, keeping the smallest id and the summed
-    size.  A text with a third of all rows has one row per run after the first step
-    and loses a factor ``fan_in`` of them in each round, so no key is hot anywhere; a
-    run is spread over tasks by digest, so no task holds a whole run.
+    digest), and each task puts what it gets in the order of digests and ids.  In this
+    order the rows of a text stand together, the smallest id first: that row stays, if
+    length and second hash are equal too, with the sizes of all.  A text with a third of all
+    rows has one row per run after the first step and loses a factor ``fan_in`` of them
+    in each round, so no key is hot anywhere; a run is spread over tasks by digest, so no
+    task holds a whole run.
     """
     last = runs.agg(F.max("run")).first()[0] or 0
     merged = runs.groupBy("run", *_TEXT).agg(
         F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
+    text = Window.partitionBy("run", *_TEXT).orderBy(F.asc_nulls_last("keep_id"))
+    whole = text.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     while last > 0:
         last //= fan_in
         merged = (
             merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .repartition("run", "text_sha256")
-            .sortWithinPartitions("run", *_TEXT)
-            .groupBy("run", *_TEXT)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        )
+            .withColumns(
+                {"place": F.row_number().over(text), "group_size": F.sum("group_size").over(whole)}
+            )
+            .filter("place = 1").drop("place")
+        )
     return merged.drop("run")
 
 
@@ -65,8 +69,9 @@ def exact_dedup(
 
     Null and empty texts are equal to each other; white space only is a text of one
     space.  Null ids come last: such a row stays only where no row of its group has an
-    id.  Repeated rows of one id count in ``group_size`` and share their fate.  An empty
-    table gives an empty result.  Other columns are not read.
+    id.  Repeated rows of one id count in ``group_size`` and share their fate.  A text of
+    any length is one row, of which only the digest moves on.  An empty table gives an empty result.
+    Other columns are not read.
     """
     runs = stored(digest_runs(docs, id_col, text_col), "digest-runs")
     texts = stored(merge_runs(runs, fan_in), "digest-root")
