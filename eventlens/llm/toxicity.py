@@ -31,6 +31,8 @@ STANDS_FOR = {
 }
 #: Costs in nats: a substitute, a wildcard, a dropped separator, digit or repetition.
 _SUBSTITUTE, _WILDCARD, _SEPARATOR, _DIGIT, _REPEAT = 1.5, 3.0, 1.5, 10.0, 0.5
+#: A sign that may stand for a letter is rarely a mere separator.
+_SIGN = 8.0
 _SIZE = len(LETTERS) + 1
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _CODE = np.zeros(1 << 16, np.int32)
@@ -43,7 +45,9 @@ _SPACED = re.compile(
     rf"(?<![^\s\"'(\[{{«.,;:…–—-])(?:(?:[^\W\d_]|[{_SIGNS}])[\s._*-]++)+(?:[^\W\d_]|[{_SIGNS}])(?!\w)"
 )
 _PART = re.compile(rf"{_GAP}|[^\s._-]")
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
+#: Signs at the beginning of a word that are no letters.
+_OPENING = "".join(c for c in _EDGES if c not in STANDS_FOR)
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -108,7 +112,7 @@ def _arcs(token: str) -> list[list[tuple[int, str, float]]]:
             if c.isdigit():
                 arcs.append((-1, "", _WILDCARD if c == before else _DIGIT))
             else:
-                arcs.append((-1, "", _SEPARATOR))
+                arcs.append((-1, "", _SIGN))
         elif c.isalnum():
             arcs = [(0, c, 0.0)]
         else:
@@ -180,24 +184,37 @@ def _likeliest(lattice: list, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def meant(token: str, model: np.ndarray) -> tuple[str, ...]:
+    """The words that a token in lower case may be, the likeliest first.
+
+    A word of letters, none of them twice in a row, is its own only path.  Others go
+    through their lattice; signs at the end of a token are none of its letters.  A word of
+    letters counts as it stands, too.
+    """
+    plain = token.strip(_EDGES)
+    inner = token.rstrip(_EDGES).lstrip(_OPENING)
+    if inner == plain and plain.isalpha() and not _DOUBLE.search(plain):
+        return (plain,)
+    restored = restore(inner, model) if inner else ""
+    return (restored, plain) if plain.isalpha() and plain != restored else (restored,)
+
+
 def words_of(text: str, model: np.ndarray, known: dict[str, str]) -> set[str]:
     """Distinct words of a text as they are meant; ``known`` remembers restored tokens.
 
-    Plain words are their own only path.  Tokens with other characters inside or with a
-    letter three times in a row, and runs of single characters, go through their lattice.
+    A token counts as it stands and as its lattice restores it; see :func:`meant`.  Runs
+    of single characters have one lattice.
     """
     text = text.lower()
     found = set()
     for token in set(text.split()):
-        word = known.get(token)
-        if word is None:
-            word = token.strip(_EDGES)
-            if (word and not word.isalpha()) or _TRIPLE.search(word):
-                word = restore(token, model)
+        words = known.get(token)
+        if words is None:
+            words = meant(token, model)
             if len(known) >= KNOWN_WORDS:
                 known.clear()
-            known[token] = word
-        found.add(word)
+            known[token] = words
+        found.update(words)
     for run in _spaced_runs(text):
         found.update(restore_spaced(run.group(), model).split())
     found.discard("")
@@ -214,10 +231,8 @@ def restored_text(text: str, model: np.ndarray) -> str:
 
     def one(match: re.Match) -> str:
         token = match.group()
-        word = token.strip(_EDGES)
-        if (word and not word.isalpha()) or _TRIPLE.search(word):
-            return restore(token.lower(), model)
-        return token
+        word = meant(token.lower(), model)[0]
+        return token if word == token.lower().strip(_EDGES) else word
 
     return re.sub(r"\S+", one, joined)
 
