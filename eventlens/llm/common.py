@@ -88,6 +88,28 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_co
     return docs.join(buckets, near, "left_anti").unionByName(asked)
 
 
+def most_frequent(counts: DataFrame, most: int, name: str) -> list:
+    """Rows of ``counts`` with the highest ``n``, most frequent first: ``most`` at most.
+
+    A histogram of the counts, which has a fixed size, tells from which count on they
+    are few enough; only those come to the driver.  Where very many rows share a count, they are left out.
+    """
+    counts = stored(counts, name)
+    # Sixteen classes for each doubling.
+    kind = F.floor(F.log2("n") * 16).cast("int")
+    classes = counts.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    least, total = None, 0
+    for r in sorted(classes, reverse=True):
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["kind"]
+    if least is None:
+        return []
+    rows = counts.filter(kind >= least).collect()
+    return sorted(rows, key=lambda r: (-r["n"], *r))
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the position of each row (from 0) in a total order, without a single task for all.
 

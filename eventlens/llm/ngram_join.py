@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import KEY, attach, keyed, narrowed, stored
+from eventlens.llm.common import KEY, attach, keyed, most_frequent, narrowed, stored
 from eventlens.llm.components import components
 from eventlens.llm.textbytes import pieces, shingle_sets
 
@@ -26,7 +26,7 @@ _PREFIX = (
     "prefix array<long>"
 )
 #: Groups that a task knows to have given a prefix for; it starts anew beyond that.
-KNOWN_GROUPS = 1 << 20
+KNOWN_GROUPS = 1 << 19
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
@@ -67,10 +67,8 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
         )
 
     counts = docs.select("text").mapInArrow(count, "shingle long, n long")
-    top = (
-        counts.groupBy("shingle").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    )
+    counts = counts.groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = most_frequent(counts, FREQUENT, "shingle-counts")
     return np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
 
 
@@ -79,13 +77,14 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
 
     Copies repeat the prefix of a group once a task, not once a row.  A group id is a
     hash of 40 bits, which keeps shuffled rows short; two groups with one id are
-    compared as if they were one, so a clash costs a little time and loses no link.
+    compared as if they were one, each by its own prefix and sizes, so a clash costs a
+    little time and loses no link.
     """
     order = np.argsort(frequent)
     known, place = frequent[order], order.astype(np.int64)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
+        given: set[bytes] = set()
         for batch in batches:
             for a, b, data, offsets in pieces(batch, "text"):
                 n, digests, gids, rares, prefixes = [], [], [], [], []
@@ -106,10 +105,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                     else:
                         prefix = s[:keep]
                         rares.append(keep)
-                    gid = hashlib.blake2b(prefix.tobytes() + b"%d" % len(s), digest_size=5).digest()
-                    gids.append(int.from_bytes(gid, "little"))
-                    prefixes.append(None if gids[-1] in given else prefix.view(np.int64))
-                    given.add(gids[-1])
+                    group = hashlib.blake2b(prefix.tobytes() + b"%d" % len(s), digest_size=16).digest()
+                    gids.append(int.from_bytes(group[:5], "little"))
+                    prefixes.append(None if group in given else prefix.view(np.int64))
+                    given.add(group)
                 if len(given) > KNOWN_GROUPS:
                     given.clear()
                 yield pa.RecordBatch.from_arrays(
@@ -307,7 +306,7 @@ def ngram_join(
             F.shiftright("n_place", 31).alias("n"),
             F.col("n_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("place"),
         )
-        .dropDuplicates(["shingle", "salt", "gid"])
+        .dropDuplicates(["shingle", "salt", "gid", "n"])
         .withColumn("bucket", bucket),
         "shared-prefixes",
     )

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import attach, stored
+from eventlens.llm.common import attach, most_frequent, stored
 from eventlens.llm.textbytes import PIECE_BYTES, byte_codes, mix, pieces, prefix_sums, span_hashes
 
 KEY = ("doc_id", "text_key")
@@ -179,11 +179,8 @@ def _frequent(docs: DataFrame, length: int, k: int) -> list[int]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
 
     seen = docs.select("text").mapInArrow(count, "gram long, n long")
-    top = (
-        seen.groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 1000")
-        .orderBy(F.desc("n"), "gram").limit(FREQUENT).collect()
-    )
-    return sorted(r[0] for r in top)
+    counts = seen.groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 1000")
+    return sorted(r[0] for r in most_frequent(counts, FREQUENT, "gram-counts"))
 
 
 _SHARED = "doc_id long, text_key long, start int, n int, gram long, hot boolean, later boolean"
