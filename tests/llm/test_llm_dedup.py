@@ -4,6 +4,7 @@ import random
 
 import plain as P
 import pytest
+from pyspark.sql import functions as F
 
 from eventlens.llm.components import components
 from eventlens.llm.decontaminate import decontaminate
@@ -32,6 +33,17 @@ def test_exact_dedup_of_a_hot_group(spark):
     assert got(out.filter("text_sha256 = sha2('same', 256)").select("keep_id", "group_size").distinct(), "*") == [(0, 1000)]
 
 
+def test_every_merge_is_one_of_sorted_runs(spark):
+    """Each round of the tree puts its rows in the order of digests."""
+    from eventlens.llm.exact_dedup import digest_runs, merge_runs
+
+    runs = digest_runs(P.edge_docs(spark)).withColumn("run", F.pmod(F.hash("text_key"), F.lit(20)))
+    runs = runs.union(runs.limit(1).withColumn("run", F.lit(19)))
+    plan = merge_runs(runs, 3)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    sorts = [line for line in plan.splitlines() if "Sort [" in line]
+    assert len(sorts) == 3 and all("text_sha256" in line and "keep_id" in line for line in sorts)
+
+
 @pytest.fixture(scope="module")
 def items():
     base = P.words(120, 7)

@@ -16,6 +16,7 @@ from eventlens.llm import token_counts as tokens
 from eventlens.llm.language_id import fit_language_id, identify_languages
 from eventlens.llm.mixing import mix_sources, source_targets
 from eventlens.llm.secrets import (
+    dictionary,
     fit_secret_filter,
     rule_labels,
     scan_secrets,
@@ -102,12 +103,57 @@ def test_secrets(spark):
     assert all(out[i].is_secret == s for i, s in enumerate(secret) if i % 4 == 2)
     assert out[1].value == rows[1][1].split('"')[1] and out[1].place == 3
     edge = secret_features(P.edge_docs(spark))
-    assert scan_secrets(rule_labels(edge), learned).count() >= 0
+    assert scan_secrets(rule_labels(edge), learned).count() == edge.count()
+    assert secret_features(P.no_docs(spark)).count() == 0
     none = fit_secret_filter(rule_labels(secret_features(P.no_docs(spark))))
     assert none.forest is None
     assert scan_secrets(found, none).filter("is_secret").count() == 400
 
 
+def planted_findings(seed=8, n=900):
+    """Texts with one value each, and whether it is a secret: the rules label few of them."""
+    rng = random.Random(seed)
+    token = lambda a, k: "".join(rng.choice(a) for _ in range(k))
+    mixed, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    filler = "please look at this text about garden water summer letter window silver market".split()
+    out = []
+    for i in range(n):
+        words = rng.sample(filler, 6)
+        kind = i % 6
+        value = [
+            token(mixed, rng.randrange(20, 44)), token(hexa, 32), token(mixed, 12) + "/" + token(mixed, 14) + "+7",
+            f"/srv/{words[0]}/{words[1]}_{rng.randrange(99)}/file{i}.txt", f"{words[0]}-{words[1]}-{words[2]}-v{rng.randrange(99)}",
+            "".join(w.capitalize() for w in words[:3]) + str(rng.randrange(10**5)),
+        ][kind]
+        before = rng.choice(["key", "credential", "with", "set"]) if kind < 3 else rng.choice(["see", "file", "with", "set"])
+        out.append((i, " ".join([*words[:3], before, value, *words[3:]]), int(kind < 3)))
+    return out
+
+
+def test_the_forest_learns_more_than_the_rules(spark):
+    """Held-out precision and recall on planted labels, most of which no rule gives."""
+    rows = planted_findings()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, planted int")
+    found = rule_labels(secret_features(docs)).drop("label").join(docs.select("doc_id", F.col("planted").alias("label")), "doc_id")
+    ruled = rule_labels(found.drop("label")).filter("label is not null").count()
+    learned = fit_secret_filter(found.filter("doc_id % 3 <> 1"))
+    held = scan_secrets(found, learned).filter("doc_id % 3 = 1 and length >= 12").collect()
+    hits = sum(r.is_secret and r.label for r in held)
+    assert len(held) >= 280 and ruled < 0.5 * found.count()
+    assert hits >= 0.95 * sum(r.label for r in held)
+    assert hits >= 0.95 * sum(r.is_secret for r in held)
+
+
+def test_copies_of_a_text_make_no_dictionary(spark):
+    plain = [(i, " ".join(P.words(12, i)) + f" garden number {i}") for i in range(100)]
+    for copies in (1, 30):
+        texts = [*plain, *[(1000 + i, "the password is correcthorsebattery ok") for i in range(copies)]]
+        found = rule_labels(secret_features(spark.createDataFrame(texts, "doc_id long, text string")))
+        rows = {(r.value, r.dictionary_coverage, r.label) for r in found.filter("doc_id >= 1000").collect()}
+        assert rows == {("correcthorsebattery", 0.0, None)}
+        assert [r[0] for r in dictionary(spark.createDataFrame(texts, "doc_id long, text string")).filter("run = 'garden'").collect()] == ["garden"]
+
+
 def test_values_beside_secret_words_are_candidates(spark):
     texts = {
         "pwd: hunter2": "hunter2", 'x secret = "Tr0ub4dor&3" y': "Tr0ub4dor&3", 'password = "correct-horse-battery-staple"': "correct-horse-battery-staple",
@@ -350,6 +396,44 @@ def test_disguised_words_are_restored(spark, model):
     assert got(restore_texts(docs, model.characters), "doc_id", "text")[2] == (3, "stupid  tree")
 
 
+def test_doubled_letters_and_signs_at_the_start(spark, model):
+    texts = {
+        "stuupid": "stupid", "iddiot": "idiot", "idioot": "idiot", "!diot": "idiot", "|diot": "idiot", "$tupid": "stupid",
+        "mo®on": None, "moorron!": "moron", "(!diot)": "idiot", "stupi|d": "stupid", "iiddiioott": "idiot",
+    }
+    for text, word in texts.items():
+        if word:
+            assert word in words_of(f"the house {text}, walks", model.characters, {}), text
+    assert restored_text("the !diot walks (slowly)!", model.characters) == "the idiot walks (slowly)!"
+    assert {"good", "street"} <= words_of("good street!", model.characters, {})
+    docs = spark.createDataFrame([(i, t) for i, (t, w) in enumerate(texts.items()) if w], "doc_id long, text string")
+    assert score_toxicity(docs, model).filter("score < 0.7").count() == 0
+    clean = spark.createDataFrame([(1, "the good house (slowly) walks!"), (2, "all evening tree")], "doc_id long, text string")
+    assert score_toxicity(clean, model).filter("score >= 0.7").count() == 0
+
+
+def all_paths(lattice):
+    """Every reading of a lattice: its letters' indices and text, and its cost."""
+    for arcs in itertools.product(*lattice):
+        yield [i for i, _, _ in arcs if i >= 0], "".join(x for _, x, _ in arcs), sum(c for *_, c in arcs)
+
+
+def test_viterbi_finds_the_best_of_all_paths(model):
+    from eventlens.llm.toxicity import _arcs, _likeliest
+
+    for token in ("1d10t", "$tuupid", "m0r0n", "i.d!0t", "aa11!!", "x*#y"):
+        best = -float("inf")
+        for letters, text, cost in all_paths(_arcs(token)):
+            a, b, score = 0, 0, -cost
+            for i in [*letters, 0]:
+                score += float(model.characters[a, b, i])
+                a, b = (b, i) if i else (0, 0)
+            best = max(best, score)
+            if text == _likeliest(_arcs(token), model.characters):
+                found = score
+        assert abs(found - best) < 1e-3, token
+
+
 def test_spaced_words_are_restored(spark, model):
     texts = {
         "i d 1 0 t": {"idiot"}, "$ t u p i d": {"stupid"}, "$ t u p 1 d": {"stupid"}, "m o r * n": {"moron"},
@@ -434,3 +518,16 @@ def test_mix_of_edge_rows(spark):
     assert mix_sources(P.no_docs(spark)).count() == 0
     empty = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert got(mix_sources(empty), "doc_id", "size", "target", "taken") == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_a_long_text_does_not_miss_the_target(spark):
+    """One text of a tenth of its source, in several groups and in one."""
+    rng = random.Random(2)
+    sizes = [rng.randrange(20, 60) for _ in range(800)]
+    sizes.append(sum(sizes) // 9)
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)]
+    rows += [(10_000 + i, "w " * 50, "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in range(4):
+        out = mix_sources(docs, seed=seed).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("target"))
+        assert all(abs(r.t - r.target) <= 60 for r in out.collect())
