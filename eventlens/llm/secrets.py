@@ -13,12 +13,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import BUCKETS, KEY, keyed, stored
+from eventlens.llm.common import KEY, keyed, stored
 
 #: Labelled findings that are learned from, at most (those with the smallest hashes).
 TRAIN_ROWS = 20_000
-#: Texts that hold a word of the dictionary, at least.
-MIN_TEXTS = 20
+#: A word of the dictionary is in this share of all texts at least, and in texts of so many
+#: of 64 classes by hash: copies of a text are in one class, so they make no word.
+MIN_SHARE, MIN_CLASSES = 1e-3, 8
 TREES, DEPTH, SEED = 24, 6, 7
 
 #: Formats that tell a secret by themselves, words beside a secret, and what
@@ -65,7 +66,7 @@ def _is_told(word: Column, before: Column, before2: Column) -> Column:
     names = lambda w: w.rlike(SECRET_WORDS) & ~w.rlike(_ASSIGNS)
     assigned = word.rlike(_ASSIGNS) & F.regexp_extract(word, "^([^=:]+)", 1).rlike(SECRET_WORDS)
     after = names(before) | (before.rlike(_SIGN) & names(before2))
-    return assigned | (F.coalesce(after, F.lit(False)) & ~word.rlike(r"^[:=]+$|^[-=]+>?$") & (word != ""))
+    return assigned | (F.coalesce(after, F.lit(False)) & ~word.rlike(_SIGN) & (word != ""))
 
 
 def secret_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,24 +113,34 @@ def _letter_runs(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda r: F.length(r) >= 3)
 
 
+def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(run)``: words that many texts have, whatever the size of the table.
+
+    Words are counted where they are read, so a task hands on one row for each of its
+    distinct words.
+    """
+    text = F.lower(F.col(text_col).cast("string"))
+    kind = F.call_function(
+        "shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(text), F.lit(64)).cast("int")
+    )
+    words = docs.filter(F.col(text_col).isNotNull()).select(
+        F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("run"), kind.alias("kind")
+    )
+    counts = words.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
+    texts = docs.filter(F.col(text_col).isNotNull()).count()
+    return counts.filter(
+        (F.col("n") >= F.lit(MIN_SHARE * texts)) & (F.bit_count("kinds") >= MIN_CLASSES)
+    ).select("run")
+
+
 def _coverage(candidates: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """``(value, covered)``: letters of a value in runs that are words of many texts."""
-    runs = stored(
+    """``(value, covered)``: letters of a value in runs that are words of the dictionary."""
+    runs = (
         candidates.select("value").distinct()
-        .select("value", F.explode(_letter_runs(F.col("value"))).alias("run")),
-        "value-runs",
-    )
-    bucket = F.pmod(F.xxhash64("run"), F.lit(BUCKETS))
-    # At most BUCKETS numbers; they only spare the shuffle of words that no value holds.
-    asked = runs.select(bucket.alias("b")).distinct()
-    words = (
-        docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}]+"))).alias("run"))
-        .join(F.broadcast(asked), bucket == F.col("b"), "left_semi")
-        .groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= MIN_TEXTS).select("run")
+        .select("value", F.explode(_letter_runs(F.col("value"))).alias("run"))
     )
     return (
-        runs.join(words, "run", "left_semi").groupBy("value")
+        runs.join(dictionary(docs, text_col), "run").groupBy("value")
         .agg(F.sum(F.length("run")).alias("covered"))
     )
 
@@ -137,7 +148,11 @@ def _coverage(candidates: DataFrame, docs: DataFrame, text_col: str) -> DataFram
 def secret_features(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The candidates with the numbers that the forest looks at."""
+    """The candidates with the numbers that the forest looks at.
+
+    Null and empty texts have no candidates, nor has an empty table.  A text is taken
+    whole, as one row; repeated rows have their candidates each.  Other columns are not read.
+    """
     found = stored(secret_candidates(docs, id_col, text_col).filter("value <> ''"), "candidates")
     covered = stored(_coverage(found, docs, text_col), "coverage")
     value, n = F.col("value"), F.length("value").cast("double")
