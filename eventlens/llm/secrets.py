@@ -123,13 +123,16 @@ def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind = F.call_function(
         "shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(text), F.lit(64)).cast("int")
     )
-    words = docs.filter(F.col(text_col).isNotNull()).select(
-        F.explode(F.array_distinct(F.split(text, r"[^\p{L}]+"))).alias("run"), kind.alias("kind")
+    # Below the explode: a text's class is found once, not once a word.
+    texts = docs.filter(F.col(text_col).isNotNull()).select(
+        F.array_distinct(F.split(text, r"[^\p{L}]+")).alias("words"), kind.alias("kind")
     )
+    # Outer, since a filter for empty arrays would split every text again.
+    words = texts.select(F.explode_outer("words").alias("run"), "kind")
     counts = words.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.bit_or("kind").alias("kinds"))
-    texts = docs.filter(F.col(text_col).isNotNull()).count()
+    n = docs.filter(F.col(text_col).isNotNull()).count()
     return counts.filter(
-        (F.col("n") >= F.lit(MIN_SHARE * texts)) & (F.bit_count("kinds") >= MIN_CLASSES)
+        (F.col("n") >= F.lit(MIN_SHARE * n)) & (F.bit_count("kinds") >= MIN_CLASSES)
     ).select("run")
 
 
