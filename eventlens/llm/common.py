@@ -33,6 +33,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no table has."""
+    return f"__{name}_{uuid.uuid4().hex}"
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text_key, text)``; other columns, whatever their names, are left out."""
     text = F.col(text_col).cast("string")
@@ -67,10 +72,9 @@ def narrowed(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...] = KEY) -
     The hash buckets of ``keys``, at most :data:`BUCKETS` numbers, are broadcast.  Where
     they are all taken nothing is left out; a join on the key itself must follow.
     """
-    buckets = keys.select(key_bucket(columns).alias("__bucket")).distinct()
-    return rows.join(
-        F.broadcast(buckets), key_bucket(columns) == F.col("__bucket"), "left_semi"
-    )
+    bucket = fresh("bucket")
+    buckets = keys.select(key_bucket(columns).alias(bucket)).distinct()
+    return rows.join(F.broadcast(buckets), key_bucket(columns) == F.col(bucket), "left_semi")
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -79,11 +83,12 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_co
     Only rows in a hash bucket of a dropped one are shuffled; see :func:`narrowed`.
     """
     dropped = stored(dropped.select(*KEY).distinct(), "dropped")
-    buckets = F.broadcast(dropped.select(key_bucket().alias("__bucket")).distinct())
+    bucket, same_id, same_key = fresh("bucket"), fresh("id"), fresh("key")
+    buckets = F.broadcast(dropped.select(key_bucket().alias(bucket)).distinct())
     text_key = F.xxhash64(docs[text_col].cast("string"))
-    near = F.pmod(F.xxhash64(docs[id_col], text_key), F.lit(BUCKETS)) == F.col("__bucket")
-    ids = dropped.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    same = docs[id_col].eqNullSafe(F.col("__id")) & text_key.eqNullSafe(F.col("__key"))
+    near = F.pmod(F.xxhash64(docs[id_col], text_key), F.lit(BUCKETS)) == F.col(bucket)
+    ids = dropped.select(F.col("doc_id").alias(same_id), F.col("text_key").alias(same_key))
+    same = docs[id_col].eqNullSafe(F.col(same_id)) & text_key.eqNullSafe(F.col(same_key))
     asked = docs.join(buckets, near, "left_semi").join(ids, same, "left_anti")
     return docs.join(buckets, near, "left_anti").unionByName(asked)
 

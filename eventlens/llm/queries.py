@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +72,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary files; no other query needs them
+
     pieces = unigram_pieces(public_tokenizers.path("piece_bpe_32k.model"))
     return count_tokens(table(spark, sf_dir, "documents"), pieces).drop("text_key")
 

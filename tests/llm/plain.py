@@ -8,7 +8,10 @@ import re
 from collections import defaultdict
 
 #: Extra columns whose names the operators use inside.
-CLASHES = ("text_key", "kept", "run", "gid", "n", "place", "score", "copies", "rank", "h")
+CLASHES = (
+    "text_key", "kept", "run", "gid", "n", "place", "score", "copies", "rank", "h", "__bucket", "__id",
+    "__key", "__n", "__text_key", "salt", "words", "item", "part_of", "print", "shard", "member", "cluster",
+)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
     f"{c} string" for c in CLASHES
 )

@@ -102,7 +102,7 @@ def test_run_on_the_given_tables(spark):
 
 def test_registered(spark):
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and set(oracle_sql()) <= set(queries())
 
 
