@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import KEY, stored, without
+from eventlens.llm.common import KEY, fresh, stored, without
 from eventlens.llm.decontaminate import decontaminate
 from eventlens.llm.exact_dedup import exact_dedup
 from eventlens.llm.language_id import UNDETERMINED, fit_language_id, identify_languages
@@ -37,7 +37,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest id stays.
 
-    Of repeated rows of that one, the first in the order of the other columns stays.
+    Of repeated rows of that one, the first in the order of the other columns, as JSON, stays.
     """
     found = stored(exact_dedup(docs).select(*KEY, "kept"), "copies")
     repeated = found.filter("kept").groupBy(*KEY).count().filter("count > 1").select(*KEY)
@@ -45,15 +45,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = without(docs, found.filter("not kept"))
     if repeated.isEmpty():
         return kept
-    again = kept.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    key, same_id, same_key, n, order = (fresh(x) for x in ("key", "id", "text", "n", "order"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # As JSON, since columns of some types have no order.
+    again = kept.withColumns(
+        {key: F.xxhash64(F.col("text").cast("string")), order: F.to_json(F.struct("doc_id", *others))}
+    )
     again = again.join(
-        repeated.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")),
-        again["doc_id"].eqNullSafe(F.col("__id")) & again["__key"].eqNullSafe(F.col("__text_key")),
+        repeated.select(F.col("doc_id").alias(same_id), F.col("text_key").alias(same_key)),
+        again["doc_id"].eqNullSafe(F.col(same_id)) & again[key].eqNullSafe(F.col(same_key)),
         "left_semi",
     )
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = Window.partitionBy("doc_id", "__key").orderBy(*(others or ["doc_id"]))
-    one = again.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    first = Window.partitionBy("doc_id", key).orderBy(order)
+    one = again.withColumn(n, F.row_number().over(first)).filter(F.col(n) == 1)
     return without(kept, repeated).unionByName(one.select(*docs.columns))
 
 
@@ -78,12 +82,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = ["size", "source_size", "target", "copies", "taken"]
     chosen = stored(chosen.select(*KEY, *columns), "mix")
     clash = [c for c in docs.columns if c not in columns]
+    same_id, same_key = fresh("id"), fresh("key")
     ids = chosen.select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *columns
+        F.col("doc_id").alias(same_id), F.col("text_key").alias(same_key), *columns
     )
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(
+    same = docs["doc_id"].eqNullSafe(F.col(same_id)) & F.xxhash64(
         docs["text"].cast("string")
-    ).eqNullSafe(F.col("__key"))
+    ).eqNullSafe(F.col(same_key))
     return docs.select(*clash).join(ids, same).select(*clash, *columns)
 
 
