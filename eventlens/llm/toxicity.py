@@ -46,6 +46,7 @@ _SPACED = re.compile(
 )
 _PART = re.compile(rf"{_GAP}|[^\s._-]")
 _DOUBLE = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1+")
 #: Signs at the beginning of a word that are no letters.
 _OPENING = "".join(c for c in _EDGES if c not in STANDS_FOR)
 
@@ -158,23 +159,36 @@ def restore_spaced(run: str, model: np.ndarray) -> str:
     return _likeliest(_spaced_arcs(run), model).strip()
 
 
+_lists: dict[int, tuple[np.ndarray, list]] = {}
+
+
+def _nested(model: np.ndarray) -> list:
+    """The model as lists, in which single numbers are found faster."""
+    if id(model) not in _lists:
+        _lists.clear()
+        _lists[id(model)] = model, model.tolist()
+    return _lists[id(model)][1]
+
+
 def _likeliest(lattice: list, model: np.ndarray) -> str:
+    numbers = _nested(model)
     states = {(0, 0): (0.0, None)}
     for arcs in lattice:
         following: dict = {}
         for (a, b), (score, path) in states.items():
+            after = numbers[a][b]
             for index, letter, cost in arcs:
                 if index < 0:
                     key, s, p = (a, b), score - cost, path
                 else:
                     key = (b, index) if index else (0, 0)
-                    s, p = score - cost + float(model[a, b, index]), (path, letter)
+                    s, p = score - cost + after[index], (path, letter)
                 known = following.get(key)
                 if known is None or s > known[0]:
                     following[key] = (s, p)
         states = following
     path = max(
-        ((score + float(model[a, b, 0]), i, path) for i, ((a, b), (score, path)) in enumerate(states.items())),
+        ((score + numbers[a][b][0], i, path) for i, ((a, b), (score, path)) in enumerate(states.items())),
         key=lambda x: x[:2],
     )[2]
     letters = []
@@ -184,6 +198,29 @@ def _likeliest(lattice: list, model: np.ndarray) -> str:
     return "".join(reversed(letters))
 
 
+def _undoubled(word: str, model: np.ndarray) -> str:
+    """:func:`restore` of a word of letters in which some stand twice.
+
+    Where single letters part the doubled ones, each is decided by its neighbours alone.
+    """
+    numbers, drop, last = _nested(model), [], -1
+    for run in _RUN.finditer(word):
+        i, end = run.span()
+        if end - i > 2 or i <= last:
+            return restore(word, model)
+        last = end
+        c = _INDEX.get(word[i])
+        if c is None:
+            continue
+        a = _INDEX.get(word[i - 1], 0) if i else 0
+        d = _INDEX.get(word[end], 0) if end < len(word) else 0
+        if numbers[a][c][c] + numbers[c][c][d] + _REPEAT < numbers[a][c][d]:
+            drop.append(i)
+    if not drop:
+        return word
+    return "".join(c for i, c in enumerate(word) if i not in drop)
+
+
 def meant(token: str, model: np.ndarray) -> tuple[str, ...]:
     """The words that a token in lower case may be, the likeliest first.
 
@@ -195,7 +232,10 @@ def meant(token: str, model: np.ndarray) -> tuple[str, ...]:
     inner = token.rstrip(_EDGES).lstrip(_OPENING)
     if inner == plain and plain.isalpha() and not _DOUBLE.search(plain):
         return (plain,)
-    restored = restore(inner, model) if inner else ""
+    if inner == plain and plain.isalpha():
+        restored = _undoubled(plain, model)
+    else:
+        restored = restore(inner, model) if inner else ""
     return (restored, plain) if plain.isalpha() and plain != restored else (restored,)
 
 
