@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from eventlens.llm.common import stored
 
 #: Payloads from this size on are written once; smaller ones as often as they come.
 MIN_REVISIT = 1000
+#: Bytes of an archive file, which the reader takes as one value.
+FILE_BYTES = 1 << 27
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL = "\r\n"
 
@@ -83,9 +86,26 @@ def warc_records(
     )
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Writes records as WARC files with Spark's text writer, whose line separator ends them."""
-    records.write.option("lineSep", _EOL).option("maxRecordsPerFile", records_per_file).text(path)
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Writes records as WARC files with Spark's text writer, whose line separator ends them.
+
+    A file takes records of its task as long as they have ``file_bytes`` together; a longer
+    record stands alone.  Numbered folders keep the files of a task apart.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, at = 0, 0
+        for batch in batches:
+            files = []
+            for n in pc.binary_length(batch.column("record")).to_pylist():
+                if size and size + n > file_bytes:
+                    at, size = at + 1, 0
+                size += n + len(_EOL)
+                files.append(at)
+            yield batch.append_column("file", pa.array(files, pa.int32()))
+
+    numbered = records.select("record").mapInArrow(number, "record string, file int")
+    numbered.write.option("lineSep", _EOL).partitionBy("file").text(path)
 
 
 _ENTRY = pa.schema(
@@ -100,8 +120,8 @@ _ENTRY_SQL = (
     "path string, kind string, offset long, length long, reason string, warc_type string, "
     "headers map<string, string>, payload_bytes long, payload_sha1 string, payload binary"
 )
-_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
-_LINE = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r?\n")
+_VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r?\n")
+_LINE = re.compile(rb"(?:^|(?<=\n))" + _VERSION.pattern)
 
 
 def _record_at(data: bytes, at: int) -> dict | str:
