@@ -17,6 +17,8 @@ from eventlens.llm.textbytes import pieces
 WINDOW = 256
 #: Widths of the filters in bytes, filters of each width, numbers per embedded byte.
 WIDTHS, FILTERS, EMBEDDED = (2, 3, 4), 16, 8
+#: Places of a training text from which a window is learned.
+PLACES = 2
 #: Labelled rows to train on, for each language at most.
 TRAIN_ROWS = 1500
 #: Windows that go through the network at once.
@@ -97,7 +99,7 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 1) -> ByteNet:
-    """Fits the network to windows of labelled texts with Adam."""
+    """Fits the network with Adam to the first window of each labelled piece of text."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     index = {name: i for i, name in enumerate(names)}
@@ -114,9 +116,8 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 6, seed: int = 1)
     for text, label in zip(texts, labels, strict=True):
         data = np.frombuffer(text, np.uint8)
         cut, _ = cut_windows(data, np.array([0, len(data)]))
-        some = cut[:: max(1, len(cut) // 2)][:2]  # two windows a text, spread over it
-        windows.append(some)
-        target += [index[label]] * len(some)
+        windows.append(cut[:1])
+        target.append(index[label])
     x, y = np.concatenate(windows), np.array(target)
     # Short texts too: some windows keep a part of their bytes only.
     for i in np.flatnonzero(rng.random(len(x)) < 0.4):
@@ -168,12 +169,17 @@ def fit_language_id(
 ) -> ByteNet | None:
     """Learns from ``rows`` labelled texts of each language, those with the smallest hashes.
 
-    Of each, two windows of its first ``8 * WINDOW`` characters are used.  Rows without language, or without a letter, are left out; None if no row is left.
+    Of each, the windows at :data:`PLACES` places drawn from the whole text by its hash are
+    used.  Rows without language, or without a letter, are left out; None if no row is left.
     """
     texts = labelled.select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
     hashed = texts.withColumn("h", F.xxhash64("text"))
+    room = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
+    places = [F.pmod(F.xxhash64("text", F.lit(i)), room).cast("int") + 1 for i in range(PLACES)]
+    drawn = F.array_distinct(F.array(*places))
+    drawn = F.transform(drawn, lambda at: F.substring(F.col("text"), at, F.lit(WINDOW)))
     # Chosen without their texts, which are fetched for the chosen ones only.
     order = Window.partitionBy("lang").orderBy("h")
     chosen = (
@@ -182,10 +188,10 @@ def fit_language_id(
     )
     sample = (
         hashed.join(stored(chosen, "chosen"), ["lang", "h"])
-        .select("lang", "h", F.substring("text", 1, 8 * WINDOW).alias("text"))
+        .select("lang", "h", drawn.alias("drawn"))
         .dropDuplicates(["lang", "h"])
         .orderBy("lang", "h")
-        .select("lang", "text")
+        .select("lang", F.explode("drawn").alias("text"))
     )
     got = sample.toPandas()
     if not len(got):
