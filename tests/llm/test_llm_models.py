@@ -69,6 +69,17 @@ def test_languages_of_edge_rows(spark):
     assert got(identify_languages(docs, None).select("lang_pred").distinct(), "*") == [("und",)]
 
 
+def test_training_windows_come_from_whole_texts(spark, monkeypatch):
+    from eventlens.llm import language_id as L
+
+    seen = []
+    monkeypatch.setattr(L, "train", lambda texts, labels: seen.extend(zip(labels, texts, strict=True)))
+    rows = [(f"licence {i} " + "head " * 2000 + "fin " * 20000, "fi") for i in range(30)] + [("kort", "sv")]
+    fit_language_id(spark.createDataFrame(rows, "text string, lang string"))
+    assert ("sv", b"kort") in seen and len(seen) == 61
+    assert sum(b"fin" in t for _, t in seen) > 40 and all(len(t) <= L.WINDOW for _, t in seen)
+
+
 def test_windows_cover_texts():
     import numpy as np
 
@@ -206,6 +217,39 @@ def test_trie_counts_are_those_of_all_segmentations():
     assert len(trie) < 300 * 8
 
 
+def test_long_pre_tokens_have_no_nodes(monkeypatch):
+    rng = random.Random(2)
+    pieces = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))): -rng.random() for _ in range(50)}
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 300))) for _ in range(40)]
+    short = tokens.PieceTrie(pieces)
+    want = [short.insert(w.encode()) for w in words]
+    monkeypatch.setattr(tokens, "LONG_TOKEN", 10)
+    trie = tokens.PieceTrie(pieces)
+    assert [trie.insert(w.encode()) for w in words] == want
+    assert len(trie) <= sum(len(w) + 1 for w in words if len(w) < 10) + 1
+
+
+def test_token_counts_of_parts_of_a_text(spark, monkeypatch):
+    texts = ["ab " * 50, "  a\tb\x0bab\n", "a" * 5000 + " b", " ", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pieces = {"a": -1.0, "b": -1.0, "ab": -1.5, tokens.MARK: -1.0}
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 7)
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 3)
+    out = got(tokens.count_tokens(docs, pieces), "doc_id", "n_pretokens", "n_tokens")
+    assert out == [(0, 50, 100), (1, 3, 6), (2, 2, 5003), (3, 0, 0), (4, 1, 2)]
+
+
+def test_a_long_pre_token_takes_bounded_memory():
+    import tracemalloc
+
+    trie = tokens.PieceTrie({"a": -1.0, "aa": -1.5, tokens.MARK: -1.0})
+    word = b"a" * 300_001
+    tracemalloc.start()
+    assert trie.insert(word) == 150_002
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
 def test_token_counts_match_a_unigram_library(spark, monkeypatch):
     from tokenizers import Tokenizer, models
 
@@ -266,10 +310,30 @@ def archive(spark, tmp_path):
     _, df = pages(spark)
     path = tmp_path / "warc"
     write_warc(warc_records(df.coalesce(1)), str(path))
-    (file,) = path.glob("part-*")
+    (file,) = path.glob("file=0/part-*")
     return file.read_bytes()
 
 
+def test_files_are_sized_by_bytes(spark, tmp_path):
+    sizes = [10, 3000, 10, 400, 400, 400, 5000, 10]
+    rows = [(i, f"u{i}", chr(97 + i) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    write_warc(warc_records(df).coalesce(1), str(tmp_path / "warc"), file_bytes=4000)
+    files = [f.stat().st_size for f in (tmp_path / "warc").glob("file=*/part-*")]
+    assert 3 <= len(files) <= 5
+    assert sum(n > 4000 for n in files) == 1 and max(files) < 5000 + 600
+    out = read_warc(spark, str(tmp_path / "warc"))
+    assert got(out, "kind", "payload_bytes") == sorted((("record", n) for n in sizes), key=repr)
+
+
+def test_versions_of_archives():
+    for version in (b"0.17", b"0.18", b"1.0", b"1.1"):
+        record = b"WARC/" + version + b"\r\nWARC-Type: resource\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+        assert [(e["kind"], e["offset"]) for e in salvage_plain(b"x\n" + record + record)] == [
+            ("gap", 0), ("record", 2), ("record", 2 + len(record))
+        ]
+
+
 def test_salvage_after_damage(spark, tmp_path):
     data = archive(spark, tmp_path)
     whole = list(salvage_plain(data))
