@@ -1,60 +1,53 @@
-"""Exact upper median per group."""
+"""Exact upper median and largest value per group, from a histogram."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values are looked up in two steps: first among buckets of 2^16 neighbouring
-# values, then among the values of the one bucket that holds the median.
-_BUCKET_BITS = 16
 
+def value_figures(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    order: Column | None = None,
+    carried: Sequence[str] = (),
+) -> DataFrame:
+    """Per group: ``n`` rows, ``known`` values, their upper ``median``, and the ``largest``.
 
-def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Per group: ``n`` and ``median``, the element at index n // 2 when sorted.
+    The upper median is the element at index known // 2 when sorted.  ``carried`` columns
+    are those of the row with the largest value, of equal ones the first by ``order``
+    (a number or decimal, unique within a group).  Median, largest and carried columns are
+    null where no value is known; null keys are a group.
 
-    ``value`` is a whole number; nulls do not count.  A group may hold any share
-    of all rows: rows are first counted per (group, value), which combines
-    map-side and spreads over the cluster, and the windows see per group only
-    the occupied buckets (a year of milliseconds has 480,000) and the at most
-    65,536 values of one bucket.
+    ``df`` is read once and a group may hold any share of its rows: they are counted per
+    (group, value), which combines map-side and spreads over the cluster.  What one task
+    then orders are the distinct values of a group, so ``value`` should be a whole number
+    of a bounded range (ten million tasks of up to a quarter of an hour have at most
+    900,000 durations in milliseconds).
     """
     keys = list(keys)
-    # The counts are used twice below.  With all null checks stated here both
-    # uses have the same plan up to the shuffle, and Spark runs it once.
-    known = df.select(*keys, F.col(value).alias("_value")).dropna()
-    counts = (
-        known.groupBy(*keys, "_value", F.shiftright("_value", _BUCKET_BITS).alias("_bucket"))
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_bucket").isNotNull())
-    )
+    first = [F.min_by(c, order).alias(f"_{c}") for c in carried]
+    counts = df.groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_n"), *first)
     group = Window.partitionBy(*keys)
-    upto_bucket = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    bucket = (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_in_bucket"))
-        .withColumn("_upto", F.sum("_in_bucket").over(upto_bucket))
-        .withColumn("n", F.sum("_in_bucket").over(group))
-        .withColumn("_index", F.expr("n div 2"))
-        .filter(
-            (F.col("_upto") > F.col("_index"))
-            & (F.col("_upto") - F.col("_in_bucket") <= F.col("_index"))
-        )
-        .select(
-            *keys,
-            "_bucket",
-            "n",
-            (F.col("_index") - F.col("_upto") + F.col("_in_bucket")).alias("_index"),
-        )
+    upto = group.orderBy(F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, 0)
+    # A group has at most one row for its unknown values, which is the first.
+    known = F.when(F.col("_value").isNotNull(), F.col("_n"))
+    placed = counts.withColumn("_known", F.sum(known).over(group)).withColumn(
+        "_upto", F.sum(known).over(upto)
     )
-    upto_value = group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        counts.join(bucket, [*keys, "_bucket"])
-        .withColumn("_upto", F.sum("_n").over(upto_value))
-        .filter(
-            (F.col("_upto") > F.col("_index")) & (F.col("_upto") - F.col("_n") <= F.col("_index"))
-        )
-        .select(*keys, "n", F.col("_value").alias("median"))
+    return placed.groupBy(*keys).agg(
+        F.sum("_n").alias("n"),
+        F.coalesce(F.max("_known"), F.lit(0)).alias("known"),
+        F.min(F.when(F.col("_upto") > F.expr("_known div 2"), F.col("_value"))).alias("median"),
+        F.max("_value").alias("largest"),
+        *[F.max_by(f"_{c}", "_value").alias(c) for c in carried],
     )
+
+
+def upper_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per group without null keys: ``n`` known values and their upper ``median``."""
+    figures = value_figures(df.dropna(subset=[*keys, value]), keys, value)
+    return figures.select(*keys, "n", "median")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventlens import schema as S
 from eventlens.facts import LogFacts
-from eventlens.operators.median import upper_median
+from eventlens.operators.median import value_figures
 from eventlens.operators.topk import by_duration, top_k
 from eventlens.plans.metrics import is_scan
 from eventlens.reports.lookup import ended_tasks, stages_of_executions
@@ -110,41 +110,27 @@ def skew_suspects(
     tasks = _tasks_in_scope(facts, stages, execution_id).select(
         *S.TASK_KEY, "duration_ms", "partition_id"
     )
-    slowest = F.max_by(
-        F.struct("task_id", "task_attempt_id", "partition_id"),
-        F.when(
-            F.col("duration_ms").isNotNull(),
-            F.struct("duration_ms", -F.col("task_id"), -F.col("task_attempt_id")),
-        ),
-    )
-    per_stage = (
-        tasks.groupBy(*S.STAGE_KEY)
-        .agg(
-            F.count("*").alias("tasks"),
-            F.count("duration_ms").alias("timed"),
-            F.max("duration_ms").alias("max_ms"),
-            slowest.alias("slowest"),
-        )
-        .filter((F.col("tasks") >= min_tasks) & (F.col("timed") >= min_tasks))
+    # Both ids in one number, whose least value a hash aggregate can hold.
+    order = F.col("task_id").cast("decimal(19, 0)") * F.lit(1 << 32) + F.col("task_attempt_id")
+    per_stage = value_figures(
+        tasks, S.STAGE_KEY, "duration_ms", order, ["task_id", "task_attempt_id", "partition_id"]
     )
-    # Only stages with enough tasks, and a slowest one that can be an outlier, need a median.
-    medians = upper_median(in_stages(tasks, per_stage), S.STAGE_KEY, "duration_ms")
-    medians = medians.filter(F.col("median") >= 0)
     return (
-        per_stage.join(medians, S.STAGE_KEY)
-        .filter(F.col("max_ms") > F.col("median") * F.lit(float(ratio)))
+        per_stage.filter((F.col("n") >= min_tasks) & (F.col("known") >= min_tasks))
+        .filter(F.col("median") >= 0)
+        .filter(F.col("largest") > F.col("median") * F.lit(float(ratio)))
         .join(stages, S.STAGE_KEY)
         .select(
             *PER_EXECUTION,
             "job_id",
             "stage_id",
             "stage_attempt_id",
-            "tasks",
+            F.col("n").alias("tasks"),
             F.col("median").alias("median_ms"),
-            "max_ms",
-            "slowest.task_id",
-            "slowest.task_attempt_id",
-            "slowest.partition_id",
+            F.col("largest").alias("max_ms"),
+            "task_id",
+            "task_attempt_id",
+            "partition_id",
         )
     )
 

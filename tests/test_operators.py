@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventlens.operators.asof import latest_before
 from eventlens.operators.fold import last_per_id
-from eventlens.operators.median import upper_median
+from eventlens.operators.median import upper_median, value_figures
 from eventlens.operators.topk import top_k
 
 
@@ -90,3 +90,22 @@ def test_last_per_id(spark):
     )
     got = df.select(F.inline(last_per_id(F.col("items"))))
     assert rows(got, "acc_id", "value") == [(1, "b"), (2, None)]
+
+
+def test_value_figures(spark):
+    rng = random.Random(4)
+    data = []
+    for i in range(4000):
+        g = rng.choice([0, 0, 0, 1, 2, None, rng.randrange(3, 40)])
+        data.append((g, None if g == 2 or rng.random() < 0.2 else rng.randrange(-5, 30), i * 7919 % 4001, i))
+    want = []
+    for g in {r[0] for r in data}:
+        mine = [r for r in data if r[0] == g]
+        known = sorted((r for r in mine if r[1] is not None), key=lambda r: (r[1], -r[2]))
+        top = known[-1] if known else (None,) * 4
+        middle = known[len(known) // 2][1] if known else None
+        want.append((g, len(mine), len(known), middle, top[1], top[3]))
+    df = spark.createDataFrame(data, "g int, v bigint, o bigint, c int").repartition(5)
+    got = value_figures(df, ["g"], "v", F.col("o"), ["c"])
+    assert rows(got, "g", "n", "known", "median", "largest", "c") == sorted(want, key=repr)
+    assert value_figures(df.limit(0), ["g"], "v").count() == 0

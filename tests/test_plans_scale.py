@@ -43,13 +43,14 @@ def test_only_needed_task_columns_are_read(spark):
     assert "ReadSchema: struct<log_id:string,stage_id:bigint,stage_attempt_id:bigint,ended:boolean>" in text
 
 
-def test_median_counts_are_shuffled_once(spark):
+def test_skew_reads_tasks_once(spark):
     from workload.queries import facts_of
 
     df = R.skew_suspects(facts_of(spark, SF_DIR))
-    df.collect()
-    final = plan(df).split("== Initial Plan ==")[0]
-    assert "ReusedExchange" in final
+    text = plan(df)
+    scans = [line for line in text.splitlines() if "FileScan" in line and "task_id#" in line]
+    assert len(scans) == 1
+    assert "SortAggregate" not in text
 
 
 def test_the_session_keeps_its_partitions(spark):
