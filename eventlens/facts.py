@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from copy import copy
+from threading import RLock
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,7 @@ class LogFacts:
         self.initial_plans = initial_plans
         self.partitions = partitions
         self._made: dict[str, DataFrame] = {}
+        self._locks: dict[str, RLock] = {}
         self._owner = uuid.uuid4().hex
         self.store = Store(spark, store) if store else None
         self._part: int | None = None
@@ -115,22 +118,33 @@ class LogFacts:
         partition_by: tuple[str, ...] = (),
         say: Callable[[], dict] = dict,
     ) -> DataFrame:
-        """A table by its name; ``make`` makes it from the other tables of the same part."""
-        if name not in self._made:
-            if not self.store:
-                # The condition makes the plan this object's own: Spark looks tables up by
-                # their plans, and another object's unpersist would let go of this one.
-                own = F.lit(self._owner) == F.lit(self._owner)
-                self._made[name] = make(self).filter(own).persist(StorageLevel.MEMORY_AND_DISK)
-            elif self._part is not None:
-                self._made[name] = self.store.make(
-                    name, self._part, lambda: make(self), partition_by, say
-                )
-            else:
-                for part in self._parts:
-                    part._table(name, make, partition_by, say)
-                self._made[name] = self.store.table(name)
-        return self._made[name]
+        """A table by its name; ``make`` makes it from the other tables of the same part.
+
+        Threads that ask for the same table wait for the one that makes it.  Tables need
+        each other in one direction only, so none waits for another without end.
+        """
+        with self._locks.setdefault(name, RLock()):
+            if name not in self._made:
+                self._made[name] = self._make(name, make, partition_by, say)
+            return self._made[name]
+
+    def _make(
+        self,
+        name: str,
+        make: Callable[[LogFacts], DataFrame],
+        partition_by: tuple[str, ...],
+        say: Callable[[], dict],
+    ) -> DataFrame:
+        if not self.store:
+            # The condition makes the plan this object's own: Spark looks tables up by
+            # their plans, and another object's unpersist would let go of this one.
+            own = F.lit(self._owner) == F.lit(self._owner)
+            return make(self).filter(own).persist(StorageLevel.MEMORY_AND_DISK)
+        if self._part is not None:
+            return self.store.make(name, self._part, lambda: make(self), partition_by, say)
+        for part in self._parts:
+            part._table(name, make, partition_by, say)
+        return self.store.table(name)
 
     def _lines(self) -> DataFrame:
         """The lines of this part: all, or those of the files that it added."""
@@ -304,9 +318,19 @@ class LogFacts:
     )
 
     def build(self) -> LogFacts:
-        """Makes all tables: writes them to the store, or marks them to be persisted."""
-        for name in self.TABLES:
-            getattr(self, name)
+        """Makes all tables: writes them to the store, or marks them to be persisted.
+
+        Tables that do not need each other are written at the same time, so that the cluster
+        has work while the last tasks of one of them run.
+        """
+        if not self.store:
+            for name in self.TABLES:
+                getattr(self, name)
+            return self
+        self._decoded
+        make = inheritable_thread_target(self.spark)(lambda name: getattr(self, name))
+        with ThreadPoolExecutor(len(self.TABLES)) as pool:
+            list(pool.map(make, self.TABLES))
         return self
 
 

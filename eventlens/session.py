@@ -63,10 +63,10 @@ class Store:
         self._notes: dict[tuple[str, int], dict] = {}
         self._replaced: DataFrame | None = None
 
-    def _load(self) -> None:
+    def _load(self, folder: str = "notes") -> None:
         reader = self.spark.read.option("wholetext", True).option("recursiveFileLookup", True)
         try:
-            texts = reader.text(f"{self.path}/notes").collect()
+            texts = reader.text(f"{self.path}/{folder}").collect()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -77,8 +77,8 @@ class Store:
 
     def _note(self, name: str, part: int, **said) -> None:
         note = {"name": name, "part": part, **said}
-        text = self.spark.createDataFrame([(json.dumps(note),)], "value string")
-        text.coalesce(1).write.mode("overwrite").text(f"{self.path}/notes/{name}-{part}")
+        text = self.spark.range(0, 1, 1, 1).select(F.lit(json.dumps(note)).alias("value"))
+        text.write.mode("overwrite").text(f"{self.path}/notes/{name}-{part}")
         self._notes[name, part] = note
 
     @property
@@ -86,9 +86,9 @@ class Store:
         return sorted(part for name, part in self._notes if name == "source")
 
     def made(self, name: str, part: int) -> dict | None:
-        """The note of a table's part, if it was made."""
+        """The note of a table's part, if it was made, by this object or another one since."""
         if (name, part) not in self._notes:
-            self._load()
+            self._load(f"notes/{name}-{part}")
         return self._notes.get((name, part))
 
     def open(self) -> None:

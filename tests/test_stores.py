@@ -176,3 +176,57 @@ def test_counts_and_bad_lines_scan_no_text_beside_a_store(spark, tmp_path):
     facts = LogFacts(spark, str(tmp_path / "logs"), store=str(tmp_path / "store"))
     for df in (facts.events, facts.event_counts, facts.bad_lines):
         assert "FileScan text" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_made_at_the_same_time(spark, tmp_path, monkeypatch):
+    from workload.queries import log_files
+    from conftest import SF_DIR
+
+    from eventlens.session import Store
+
+    written, whole = [], Store._note
+
+    def noted(self, name, part, **said):
+        written.append((name, part))
+        whole(self, name, part, **said)
+
+    monkeypatch.setattr(Store, "_note", noted)
+    logs = log_files(spark, SF_DIR)
+    made = LogFacts(spark, logs, store=str(tmp_path / "store")).build()
+    assert len(written) == len(set(written)) >= 12
+    plain = LogFacts(spark, logs)
+    for name in LogFacts.TABLES:
+        ours, theirs = getattr(made, name), getattr(plain, name)
+        assert ours.columns == theirs.columns, name
+        assert ours.count() == theirs.count(), name
+    assert rows(made.stage_scans.drop("file_name")) == rows(plain.stage_scans.drop("file_name"))
+    plain.unpersist()
+
+
+def test_an_error_while_tables_are_made_is_raised(spark, tmp_path, monkeypatch):
+    write(tmp_path / "logs/app", [task_end(1)])
+    facts = LogFacts(spark, str(tmp_path / "logs"), store=str(tmp_path / "store"))
+    from eventlens.operators import jobs as jb
+
+    def broken(events):
+        raise RuntimeError("no jobs today")
+
+    with monkeypatch.context() as m:
+        m.setattr(jb, "jobs", broken)
+        with pytest.raises(RuntimeError, match="no jobs today"):
+            facts.build()
+    # The next call makes what is missing.
+    assert facts.build().jobs.count() == 0
+    assert rows(facts.tasks, "task_id") == [(1,)]
+
+
+def test_tables_that_another_object_made_since_are_found(spark, tmp_path):
+    write(tmp_path / "logs/app", [task_end(1)])
+    store = str(tmp_path / "store")
+    one = LogFacts(spark, str(tmp_path / "logs"), store=store)
+    one.events
+    other = LogFacts(spark, None, store=store)
+    one.tasks
+    assert other.store.made("tasks", 0) is not None
+    assert other.store.made("jobs", 0) is None
+    assert rows(other.tasks, "task_id") == [(1,)]
