@@ -239,8 +239,9 @@ def close_links(
 class Hubs:
     """Centres of large groups of close fingerprints, found in the sample.
 
-    ``group`` tells which hubs are linked within the sample; ``open`` has the groups that
-    could be close to another one, by the triangle bound.
+    ``group`` tells which hubs are linked within the sample, and ``links`` leads from each
+    hub to one member of its group, as the members between two hubs may all be settled;
+    ``open`` has the groups that could be close to another one, by the triangle bound.
     """
 
     def __init__(self, sample: np.ndarray, bits: int):
@@ -263,6 +264,7 @@ class Hubs:
         self.bits = bits
         self.prints = sample[chosen]
         self.group = forest.roots(np.array(chosen, int)) if chosen else np.zeros(0, int)
+        self.links = [(a, b) for a, b in zip(self.prints, sample[self.group], strict=True) if a != b]
         apart = np.bitwise_count(self.prints[:, None] ^ self.prints) > 3 * bits
         other = self.group[:, None] != self.group
         self.open = np.unique(self.group[(~apart & other).any(axis=1)])
@@ -339,7 +341,7 @@ def close_fingerprints(prints: DataFrame, bits: int = 4) -> DataFrame:
 
     A group with a good share of all fingerprints shows in the sample: what is close to its hubs is
     linked to them where it is read, and is then only a query, so its members are never
-    compared with each other.
+    compared with each other; its hubs are linked as they are in the sample.
     """
     n = prints.count()
     drawn = prints.select("print").filter(
@@ -396,7 +398,11 @@ def close_fingerprints(prints: DataFrame, bits: int = 4) -> DataFrame:
         _dealt(visits).repartition("shard", "task").sortWithinPartitions("shard", "task")
         .mapInArrow(search, "a long, b long")
     )
-    return stored(found.union(prints.mapInArrow(to_hub, "a long, b long")).distinct(), "close")
+    found = found.union(prints.mapInArrow(to_hub, "a long, b long"))
+    if hubs.links:
+        longs = np.array(hubs.links, np.uint64).view(np.int64).tolist()
+        found = found.union(prints.sparkSession.createDataFrame(longs, "a long, b long"))
+    return stored(found.distinct(), "close")
 
 
 def simhash_join(

@@ -115,6 +115,14 @@ def test_hot_groups_are_settled(spark, monkeypatch):
     check(spark, sorted(prints))
 
 
+def test_settled_groups_that_only_their_rims_link(spark):
+    """Two hubs 12 bits apart; one member of each, 4 bits from its hub and from the other one."""
+    ends = [0, 0xFFF]
+    prints = {0, 0xFFF, 0xF, 0xFF} | {e ^ 1 << b for e in ends for b in range(20, 40)}
+    assert len(S.Hubs(np.array(sorted(prints), np.uint64), 4).prints) == 2
+    check(spark, sorted(prints))
+
+
 def test_copies_meet_once(spark):
     docs = spark.range(4000).select(
         F.col("id").alias("doc_id"),
