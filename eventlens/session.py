@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
+from threading import RLock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +32,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Files that a task keeps open while it writes a table in folders; further folders are sorted.
+OPEN_FILES = 16
+_OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
+_writing = RLock()
+
+
+@contextmanager
+def _unsorted_folders(spark: SparkSession) -> Iterator[None]:
+    """Tables in folders are written with one open file a folder and task.
+
+    Spark would sort all rows of a task by folder first, which takes memory for every one of
+    them.  The setting is put back: writes whose rows have an order must keep it.
+    """
+    with _writing:
+        before = spark.conf.get(_OPEN_FILES)
+        spark.conf.set(_OPEN_FILES, OPEN_FILES)
+        try:
+            yield
+        finally:
+            spark.conf.set(_OPEN_FILES, before)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables that all machines of the cluster reach.
 
@@ -174,7 +198,8 @@ class Store:
         if self.made(name, part) is None:
             df = make()
             path = f"{self.path}/{name}/part={part}"
-            df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            with _unsorted_folders(self.spark) if partition_by else nullcontext():
+                df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
             self._note(name, part, schema=df.schema.json(), **say())
         return self._read(name, [part]).drop("part")
 
