@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _lines: dict[tuple[str, str], DataFrame] = {}
 _facts: dict[tuple, LogFacts] = {}
-_files: dict[tuple[str, str], str] = {}
+_files: dict[tuple[str, str, str], str] = {}
+
+#: Lines that a task sorts to write logs, some 50 MB of text.
+LINES_PER_TASK = 100_000
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -52,24 +56,30 @@ def facts_of(spark: SparkSession, sf_dir: str, **options) -> LogFacts:
     return _facts[key]
 
 
-def log_files(spark: SparkSession, sf_dir: str) -> str:
+def log_files(spark: SparkSession, sf_dir: str, codec: str = "none") -> str:
     """The logs as text files, one folder per log, lines in log order."""
-    key = _key(spark, sf_dir)
+    key = (*_key(spark, sf_dir), codec)
     if key not in _files:
-        _files[key] = shared_folder(spark, "logs")
-        _write_logs(spark, sf_dir, _files[key])
+        path = shared_folder(spark, "logs")
+        _write_logs(lines_of(spark, sf_dir), path, codec)
+        _files[key] = path
     return _files[key]
 
 
-def _write_logs(spark: SparkSession, sf_dir: str, path: str) -> None:
+def _write_logs(lines: DataFrame, path: str, codec: str = "gzip") -> None:
+    """Adds the lines to the logs of a folder.
+
+    The tasks grow in number with the lines, not in size: left to itself, Spark puts 64 MB
+    of compressed lines in one, whose sort then spills.
+    """
+    tasks = max(1, ceil(lines.count() / LINES_PER_TASK))
     (
-        lines_of(spark, sf_dir)
-        .repartitionByRange("log_id", "seq")
+        lines.repartitionByRange(tasks, "log_id", "seq")
         .sortWithinPartitions("log_id", "seq")
         .select("log_id", "value")
-        .write.partitionBy("log_id")
-        .text(path)
-    )
+        .write.mode("append").partitionBy("log_id")
+        .text(path, compression=codec)
+    )
 
 
 def _log_name(df: DataFrame) -> DataFrame:
@@ -87,7 +97,7 @@ def _flat(df: DataFrame, *arrays: str) -> DataFrame:
 
 
 def q_read_events(spark, sf_dir):
-    lines = read_events(spark, log_files(spark, sf_dir))
+    lines = read_events(spark, log_files(spark, sf_dir, "gzip"))
     return _log_name(lines).groupBy("log_id").agg(F.count("*").alias("n"))
 
 
@@ -95,7 +105,7 @@ def q_read_events_same_name(spark, sf_dir):
     """The logs twice, in two folders with equal names below."""
     path = shared_folder(spark, "same-names")
     for part in ("first", "second"):
-        _write_logs(spark, sf_dir, f"{path}/{part}")
+        _write_logs(lines_of(spark, sf_dir), f"{path}/{part}")
     lines = read_events(spark, path)
     return (
         lines.withColumn("log_id", F.regexp_replace("log_id", "log_id=", ""))
@@ -104,7 +114,8 @@ def q_read_events_same_name(spark, sf_dir):
 
 
 def q_read_events_order(spark, sf_dir):
-    facts = LogFacts(spark, log_files(spark, sf_dir))
+    files = log_files(spark, sf_dir, "gzip")
+    facts = LogFacts(spark, files, store=shared_folder(spark, "ordered"))
     return _log_name(facts.stage_submissions).select(*S.STAGE_KEY, "job_id")
 
 
@@ -159,10 +170,7 @@ def q_read_events_added(spark, sf_dir):
     late = F.substring_index("log_id", "-", -1).cast("int") % 2 == 1
     counts = None
     for some in (~late, late):
-        (
-            lines.filter(some).repartitionByRange("log_id", "seq").sortWithinPartitions("log_id", "seq")
-            .select("log_id", "value").write.mode("append").partitionBy("log_id").text(folder)
-        )
+        _write_logs(lines.filter(some), folder)
         counts = LogFacts(spark, folder, store=store).event_counts
     return _log_name(counts)
 
