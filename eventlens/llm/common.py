@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Tables written meanwhile go to Python tasks in batches of some ``size`` bytes.
+
+    Spark counts rows otherwise, so a task would hold 10,000 texts of any length, on both
+    sides.  The setting is put back.
+    """
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"__{name}_{uuid.uuid4().hex}"

@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventlens.llm.common import KEY, attach, keyed, most_frequent, narrowed, stored
+from eventlens.llm.common import KEY, attach, batches_of, keyed, most_frequent, narrowed, stored
 from eventlens.llm.components import components
-from eventlens.llm.textbytes import pieces, shingle_sets
+from eventlens.llm.textbytes import pieces, shingle_sets, tidy
 
 #: Shingles that are kept in mind as frequent ones, in all and by each task.  They come
 #: last in the order of shingles; how many there are changes speed, never results.
 FREQUENT = 100_000
 #: Shingles that a task looks at together to find those that recur.
 BLOCK = 1 << 22
+#: Bytes of text that go to a Python task at once.
+BATCH_BYTES = 1 << 22
 #: Rounds in which a group is compared with its next ones in a random order, and how many.
 ROUNDS, NEXT = 2, 2
 _PREFIX = (
@@ -42,9 +44,15 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
         def take() -> None:
             nonlocal held_keys, held_counts
-            keys, counts = np.unique(np.concatenate(block), return_counts=True)
+            # As np.unique, without its copies of the block.
+            keys = np.concatenate(block)
+            block.clear()
+            keys.sort()
+            starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            starts = np.concatenate([[0], starts]) if len(keys) else starts
+            counts = np.diff(starts, append=len(keys))
             often = counts > 1
-            keys = np.concatenate([held_keys, keys[often]])
+            keys = np.concatenate([held_keys, keys[starts[often]]])
             counts = np.concatenate([held_counts, counts[often]])
             held_keys, place = np.unique(keys, return_inverse=True)
             held_counts = np.bincount(place, counts, len(held_keys)).astype(np.int64)
@@ -59,14 +67,14 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
                 size += sum(map(len, sets))
                 if size >= BLOCK:
                     take()
-                    block, size = [], 0
+                    size = 0
         if block:
             take()
         yield pa.RecordBatch.from_arrays(
             [pa.array(held_keys.view(np.int64)), pa.array(held_counts)], names=["shingle", "n"]
         )
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, n long")
+    counts = docs.select("text").mapInArrow(tidy(count), "shingle long, n long")
     counts = counts.groupBy("shingle").agg(F.sum("n").alias("n"))
     top = most_frequent(counts, FREQUENT, "shingle-counts")
     return np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
@@ -124,7 +132,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -
                     names=["doc_id", "text_key", "n", "digest", "gid", "rare", "prefix"],
                 )
 
-    return docs.mapInArrow(make, _PREFIX)
+    return docs.mapInArrow(tidy(make), _PREFIX)
 
 
 def _verified(
@@ -165,7 +173,7 @@ def _verified(
         .repartition("a", "salt")
         .sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
         .select("a", "b", "text")
-        .mapInArrow(check, "a binary, b binary")
+        .mapInArrow(tidy(check), "a binary, b binary")
     )
 
 
@@ -269,7 +277,8 @@ def ngram_join(
     other.  Equal rows share their class.  Other columns are not read.
     """
     rows = keyed(docs, id_col, text_col)
-    made = stored(_prefixes(rows, _frequent(rows, words), words, percent), "prefixes")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        made = stored(_prefixes(rows, _frequent(rows, words), words, percent), "prefixes")
 
     full = made.filter("n > 0")
     classes = stored(
@@ -336,7 +345,8 @@ def ngram_join(
         if turn == 0:
             within = classes.select("gid", "digest").join(groups.filter("first <> last"), "gid")
             pairs = pairs.union(within.select("first", "digest"))
-        new = stored(_verified(pairs, classes, rows, words, percent, salts), f"links-{turn}")
+        with batches_of(docs.sparkSession, BATCH_BYTES):
+            new = stored(_verified(pairs, classes, rows, words, percent, salts), f"links-{turn}")
         links = new if links is None else links.union(new)
         part = components(links)
         of_class = stored(
@@ -394,13 +404,9 @@ def ngram_join(
         .join(right_of, F.col("gid") == F.col("r_gid"))
         .filter("ca <> cb and a < b")
     )
-    more = stored(
-        _verified(
-            expanded.select("a", "b").union(inside.select("a", "b")),
-            classes, rows, words, percent, salts,
-        ),
-        "links-last",
-    )
+    left = expanded.select("a", "b").union(inside.select("a", "b"))
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        more = stored(_verified(left, classes, rows, words, percent, salts), "links-last")
     joined = components(links.union(more))
 
     named = made.join(joined, made["digest"] == joined["node"], "left").select(

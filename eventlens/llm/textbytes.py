@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: Task) -> Task:
+    """A task that gives unused memory of Arrow back at its end: its process waits for
+    others, beside stages that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 @lru_cache(maxsize=1)
 def byte_codes(lower: bool = True) -> np.ndarray:
     """A fixed random 64-bit value per byte; A-Z as a-z if ``lower``."""
