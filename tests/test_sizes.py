@@ -68,3 +68,17 @@ def test_logs_of_equal_names_are_compressed(spark, monkeypatch):
     assert counts == {f"{part}/{log}": n for part in ("first", "second") for log, n in (("a", 700), ("b", 100), ("c", 200))}
     files = [f.name for f in Path(paths[0].removeprefix("file:")).rglob("part-*")]
     assert len(files) >= 20 and all(f.endswith(".txt.gz") for f in files)
+
+
+def test_logs_for_two_folders_are_shuffled_once(spark, monkeypatch):
+    dealt, paths, deal = [], [], type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, *a: dealt.append(a) or deal(self, *a))
+    monkeypatch.setattr(Q, "lines_of", lambda spark, sf_dir: lines(spark))
+    monkeypatch.setattr(Q, "LINES_PER_TASK", 100)
+    monkeypatch.setattr(Q, "read_events", lambda spark, path: paths.append(path) or read_events(spark, path))
+    Q.q_read_events_same_name(spark, "tables").collect()
+    # Both copies of the lines count as lines of a task.
+    assert [a[0] for a in dealt] == [20]
+    got = read_events(spark, paths[0]).orderBy("log_id", "seq").select("log_id", "value").collect()
+    want = lines(spark).orderBy("log_id", "seq").select(F.concat(F.lit("log_id="), "log_id"), "value").collect()
+    assert [tuple(r) for r in got] == [(f"folder={part}/{log}", v) for part in ("first", "second") for log, v in want]

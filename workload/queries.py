@@ -8,7 +8,7 @@ run many reports over one set of logs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 from math import ceil
 
@@ -66,18 +66,24 @@ def log_files(spark: SparkSession, sf_dir: str, codec: str = "none") -> str:
     return _files[key]
 
 
-def _write_logs(lines: DataFrame, path: str, codec: str = "gzip") -> None:
-    """Adds the lines to the logs of a folder.
+def _write_logs(
+    lines: DataFrame, path: str, codec: str = "gzip", folders: Sequence[str] = ()
+) -> None:
+    """Adds the lines to the logs of a folder, or to those of each of its ``folders``.
 
     The tasks grow in number with the lines, not in size: left to itself, Spark puts 64 MB
-    of compressed lines in one, whose sort then spills.
+    of compressed lines in one, whose sort then spills.  Lines for several folders are
+    copied behind the shuffle.
     """
-    tasks = max(1, ceil(lines.count() / LINES_PER_TASK))
+    tasks = max(1, ceil(lines.count() * max(1, len(folders)) / LINES_PER_TASK))
+    dealt, by = lines.repartitionByRange(tasks, "log_id", "seq"), ["log_id"]
+    if folders:
+        dealt = dealt.withColumn("folder", F.explode(F.array(*map(F.lit, folders))))
+        by = ["folder", "log_id"]
     (
-        lines.repartitionByRange(tasks, "log_id", "seq")
-        .sortWithinPartitions("log_id", "seq")
-        .select("log_id", "value")
-        .write.mode("append").partitionBy("log_id")
+        dealt.sortWithinPartitions(*by, "seq")
+        .select(*by, "value")
+        .write.mode("append").partitionBy(*by)
         .text(path, compression=codec)
     )
 
@@ -104,11 +110,10 @@ def q_read_events(spark, sf_dir):
 def q_read_events_same_name(spark, sf_dir):
     """The logs twice, in two folders with equal names below."""
     path = shared_folder(spark, "same-names")
-    for part in ("first", "second"):
-        _write_logs(lines_of(spark, sf_dir), f"{path}/{part}")
+    _write_logs(lines_of(spark, sf_dir), path, folders=("first", "second"))
     lines = read_events(spark, path)
     return (
-        lines.withColumn("log_id", F.regexp_replace("log_id", "log_id=", ""))
+        lines.withColumn("log_id", F.regexp_replace("log_id", "folder=|log_id=", ""))
         .groupBy("log_id").agg(F.count("*").alias("n"))
     )
 
